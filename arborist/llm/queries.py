@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, quality, sharding, simhash
+from . import bpe, exact_dedup, licences, mixing, quality, sharding, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,14 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op1(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.op2(table(spark, sf_dir, "documents"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op3(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.op4(table(spark, sf_dir, "documents"))
 
@@ -28,5 +36,18 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op9(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_classifier, op4_exact_dedup, op8_sharding, op9_simhash_near_dedup)}
-SQL = {"op4_exact_dedup": exact_dedup.SQL}
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.op10(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (op1_quality_classifier, op2_license_scan, op3_mixing, op4_exact_dedup, op8_sharding, op9_simhash_near_dedup, op10_bpe)
+}
+SQL = {"op2_license_scan": licences.SQL, "op4_exact_dedup": exact_dedup.SQL}

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arborist.llm import exact_dedup, quality, simhash
+from arborist.llm import bpe, exact_dedup, mixing, quality, simhash
 from arborist.llm.common import saved, table
+from arborist.llm.queries import tokenizer_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,10 +24,22 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return simhash.keep_one(docs)
 
 
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents in the mix, a row for each pass over one; what the mix leaves out goes."""
+    return mixing.mixed(docs)
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """n_tokens and the digests of ids and decoded text of every row."""
+    return bpe.op10(docs, tokenizer_path())
+
+
 STAGES = [
     ("quality classifier", quality_stage),
     ("exact dedup", exact_dedup_stage),
     ("simhash near-dedup", near_dedup_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("BPE encoding and decoding", bpe_stage),
 ]
 
 #: Training and XXH64 have no SQL form; the tests hold run() against a brute-force version.
