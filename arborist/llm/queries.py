@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, licences, mixing, quality, sharding, simhash
+from . import bpe, embeddings, exact_dedup, licences, mixing, quality, sharding, simhash, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,14 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.op4(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.op5(table(spark, sf_dir, "pages"))
+
+
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.op6(table(spark, sf_dir, "embeddings"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op8(table(spark, sf_dir, "documents"))
 
@@ -48,6 +56,16 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_quality_classifier, op2_license_scan, op3_mixing, op4_exact_dedup, op8_sharding, op9_simhash_near_dedup, op10_bpe)
+    for f in (
+        op1_quality_classifier,
+        op2_license_scan,
+        op3_mixing,
+        op4_exact_dedup,
+        op5_warc,
+        op6_embedding_near_dedup,
+        op8_sharding,
+        op9_simhash_near_dedup,
+        op10_bpe,
+    )
 }
-SQL = {"op2_license_scan": licences.SQL, "op4_exact_dedup": exact_dedup.SQL}
+SQL = {"op2_license_scan": licences.SQL, "op4_exact_dedup": exact_dedup.SQL, "op5_warc": warc.SQL}
