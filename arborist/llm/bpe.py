@@ -4,7 +4,8 @@ Encoding. Spark splits every whole text into words (the tokenizer's pre-tokens).
 documents form blocks of a bounded number of words; a block holds its distinct words once and its
 text as codes into them. Each block sends its distinct words to the bucket of their hash, a bucket
 encodes each of its distinct words once, and the ids come back to the places the words have in
-their blocks, where the documents' ids are read off. So what is shuffled are distinct words of
+their blocks, where the documents' ids are read off; the blocks, written once into a bucketed
+table, don't move. So what is shuffled are distinct words of
 blocks, never occurrences; a word in every text costs one entry a block. The number of buckets
 follows the number of distinct words, so a bucket's memory is bounded like a block's.
 
@@ -24,8 +25,9 @@ from __future__ import annotations
 import json
 import os
 import re
+import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import sha256
 
 import numpy as np
@@ -36,15 +38,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved, text_of
+from .common import shared_path, text_of
 
 BLOCK_WORDS = 2_000_000
+SLICE = 256
 BUCKET_WORDS = 250_000
+BUCKETS = 256
 #: White space as Unicode has it, and the words' pattern; both must equal the tokenizer's.
 _SPACE = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?(?:NOT_SPECIAL[^SPACE\p{L}\p{N}])+|BEFORE_SPECIAL[SPACE]+(?![^SPACE])|[SPACE]+"
 
 
+def _alphabet() -> dict[str, int]:
+    """The byte that each letter of byte-level pieces stands for: visible bytes for themselves."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = sorted(set(range(256)) - set(shown))
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 class Vocabulary:
     """A byte-level BPE tokenizer file, as text that goes to the tasks."""
 
@@ -77,11 +88,24 @@ class Vocabulary:
             out += [part] if i % 2 else [part[s:e] for _, (s, e) in tokenizer.pre_tokenizer.pre_tokenize_str(part)]
         return [x for x in out if x]
 
+    def encoder(self):
+        """A function from a word (bytes) to its ids: the tokenizer's model, after its byte alphabet."""
+        made = self.tokenizer()
+        letters = {b: c for c, b in _alphabet().items()}
+        special = {x.encode(): made.token_to_id(x) for x in self.special}
+        tokenize = made.model.tokenize
+
+        def encode(word: bytes) -> list[int]:
+            if word in special:
+                return [special[word]]
+            return [x.id for x in tokenize(word.decode("latin-1").translate(letters))]
+
+        return encode
+
     def pieces(self) -> pa.Array:
         """The bytes of each id, in the order of ids: the id-to-piece table."""
         made = self.tokenizer()
-        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-        byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+        byte_of = _alphabet()
         vocabulary = made.get_vocab(with_added_tokens=True)
         table: list[bytes] = [b""] * (max(vocabulary.values()) + 1)
         for piece, i in vocabulary.items():
@@ -107,18 +131,25 @@ def _column(data: bytes, name: str) -> pa.Array:
     return column.chunk(0) if column.num_chunks else pa.array([], column.type)
 
 
+def _body(values: pa.Array) -> tuple[np.ndarray, memoryview]:
+    """Where each value starts and the last ends, and the bytes that hold them."""
+    values = values.cast(pa.large_binary())
+    if not len(values):
+        return np.zeros(1, np.int64), memoryview(b"")
+    return np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1], memoryview(values.buffers()[2] or b"")
+
+
 def _squeezed(words: pa.Array) -> bytes:
     """Words in few bytes however few they are: lengths and bytes, compressed."""
-    words = words.cast(pa.large_binary())
-    lengths = pc.binary_length(words).to_numpy().astype("<u4")
-    return zlib.compress(lengths.tobytes() + pc.binary_join(pa.array([words.to_pylist()], pa.list_(pa.binary())), b"")[0].as_py(), 1)
+    offsets, body = _body(words)
+    return zlib.compress(np.diff(offsets).astype("<u4").tobytes() + bytes(body[offsets[0] : offsets[-1]]), 1)
 
 
-def _words_of(data: bytes, n: int) -> list[str]:
+def _words_of(data: bytes, n: int) -> list[bytes]:
     data = zlib.decompress(data)
     ends = np.cumsum(np.frombuffer(data, "<u4", n)).tolist()
     body = data[4 * n :]
-    return [body[s:e].decode() for s, e in zip([0, *ends], ends)]
+    return [body[s:e] for s, e in zip([0, *ends], ends)]
 
 
 def blocks(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -129,8 +160,8 @@ def blocks(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         coded = (coded if isinstance(coded, pa.Array) else coded.chunk(0)).dictionary_encode()
         codes, words = coded.indices.to_numpy(), coded.dictionary
         order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")  # common words get small codes
-        place = np.empty(len(words), dtype=np.int64)
-        place[order] = np.arange(len(words))
+        place = np.empty(len(words), dtype=np.int32)
+        place[order] = np.arange(len(words), dtype=np.int32)
         codes, words = place[codes], words.take(pa.array(order))
         return pa.RecordBatch.from_pydict(
             {
@@ -143,10 +174,8 @@ def blocks(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
-
         tokenizer, held, total = None, [], 0
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             odd = pc.is_valid(batch.column("odd"))
             for rows, is_odd in ((batch.filter(pc.invert(odd)), False), (batch.filter(odd), True)):
                 if not rows.num_rows:
@@ -200,7 +229,7 @@ def encoded_words(block_rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     def encode(rows: pa.Table) -> pa.Table:
         lists = [_words_of(x, n) for x, n in zip(rows.column("words").to_pylist(), rows.column("n").to_pylist())]
         place = {word: i for i, word in enumerate(dict.fromkeys(w for words in lists for w in words))}
-        made = [x.ids for x in shared.value.tokenizer().encode_batch_fast(list(place), add_special_tokens=False)]
+        made = list(map(shared.value.encoder(), place))
         out = []
         for words in lists:
             own = [made[place[w]] for w in words]
@@ -212,11 +241,19 @@ def encoded_words(block_rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return asked.groupBy("bucket").applyInArrow(encode, "block string, places binary, n int, ids binary")
 
 
-def encode(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """doc_id, ids (array of int) of every document."""
-    block_rows = saved(blocks(documents, vocabulary))
-    id_type = documents.schema["doc_id"].dataType
-    back = T.StructType([T.StructField("doc_id", id_type), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+def stored(block_rows: DataFrame) -> DataFrame:
+    """The blocks, written once into a table bucketed by block, so that what comes back meets them unshuffled."""
+    spark = block_rows.sparkSession
+    name = f"bpe_blocks_{uuid.uuid4().hex}"
+    path = shared_path(spark, "bpe-blocks")
+    block_rows.write.option("path", path).option("compression", "uncompressed").bucketBy(BUCKETS, "block").saveAsTable(name)
+    return spark.table(name)
+
+
+def derived(documents: DataFrame, vocabulary: Vocabulary, derive: Callable[[pa.ListArray], dict], columns: str) -> DataFrame:
+    """doc_id of every document, and the columns that derive makes of an array of documents' ids."""
+    block_rows = stored(blocks(documents, vocabulary))
+    back = T.StructType([T.StructField("doc_id", documents.schema["doc_id"].dataType), *T._parse_datatype_string(columns).fields])
 
     def read_off(texts: pa.Table, words: pa.Table) -> pa.Table:
         """Texts of one block and the ids of its words: the ids of its documents."""
@@ -239,46 +276,41 @@ def encode(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         word_ends = np.concatenate([[0], np.cumsum(docs.column("n").to_numpy(), dtype=np.int64)])
         id_ends = ids.offsets.to_numpy()[word_ends] - ids.offsets[0].as_py()
         doc_id = docs.column("doc_id")
-        return pa.table({"doc_id": doc_id, "ids": pa.ListArray.from_arrays(pa.array(id_ends.astype(np.int32)), ids.flatten())})
+        return pa.table({"doc_id": doc_id} | derive(pa.ListArray.from_arrays(pa.array(id_ends.astype(np.int32)), ids.flatten())))
 
     found = encoded_words(block_rows, vocabulary)
     return block_rows.select("block", "docs", "codes", "n_words").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(read_off, back)
 
 
-def _flat(ids: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    offsets = ids.offsets.to_numpy()
-    return ids.flatten(), offsets - offsets[0]
+def encode(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """doc_id, ids (array of int) of every document."""
+    return derived(documents, vocabulary, lambda ids: {"ids": ids}, "ids array<int>")
 
 
 def _slices(values: pa.Array, table: pa.Array, ends: np.ndarray) -> Iterator[memoryview]:
     """For each run of values, what the table has for them, put together."""
-    got = table.cast(pa.large_binary()).take(values)
-    offsets = np.frombuffer(got.buffers()[1], np.int64)[got.offset : got.offset + len(got) + 1] if len(got) else np.zeros(1, np.int64)
-    body = memoryview(got.buffers()[2] or b"") if len(got) else memoryview(b"")
+    offsets, body = _body(table.cast(pa.large_binary()).take(values))
     at = offsets[ends]
     return (body[s:e] for s, e in zip(at, at[1:]))
 
 
-def decode(ids: Column, vocabulary: Vocabulary) -> Column:
-    """The text of an array of ids, special tokens included."""
-    pieces = vocabulary.pieces()
+def _decoded(ids: pa.Array, pieces: pa.Array) -> list[bytes]:
+    """The texts of arrays of ids, in UTF-8: ids joined to their pieces."""
+    return [bytes(x).decode("utf-8", "replace").encode() for x in _slices(*_flat_with(ids, pieces))]
 
-    @F.arrow_udf(T.StringType())
-    def of(rows: pa.Array) -> pa.Array:
-        flat, ends = _flat(rows)
-        return pa.array([bytes(x).decode("utf-8", "replace") for x in _slices(flat, pieces, ends)], pa.string())
 
-    return of(ids)
+def _flat_with(ids: pa.Array, table: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    offsets = ids.offsets.to_numpy()
+    return ids.flatten(), table, offsets - offsets[0]
 
 
-def ids_digest(ids: Column, size: int) -> Column:
-    """SHA-256 of the decimal ids joined by commas; ids are below size."""
-    decimal = pa.array([b"%d," % i for i in range(size)], pa.binary())
+def decode(ids: Column, vocabulary: Vocabulary) -> Column:
+    """The text of an array of ids, special tokens included."""
+    pieces = vocabulary.pieces()
 
     @F.arrow_udf(T.StringType())
     def of(rows: pa.Array) -> pa.Array:
-        flat, ends = _flat(rows)
-        return pa.array([sha256(x[:-1]).hexdigest() for x in _slices(flat, decimal, ends)], pa.string())
+        return pa.array([x.decode() for x in _decoded(rows, pieces)], pa.string())
 
     return of(ids)
 
@@ -286,10 +318,14 @@ def ids_digest(ids: Column, size: int) -> Column:
 def op10(documents: DataFrame, path: str) -> DataFrame:
     """n_tokens and the digests of ids and of the decoded text of every document."""
     vocabulary = Vocabulary(path)
-    size = len(vocabulary.pieces())
-    return encode(documents, vocabulary).select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        ids_digest(F.col("ids"), size).alias("ids_sha256"),
-        F.sha2(F.encode(decode(F.col("ids"), vocabulary), "UTF-8"), 256).alias("decoded_sha256"),
-    )
+    pieces = vocabulary.pieces()
+
+    def digests(ids: pa.ListArray) -> dict:
+        decimal = pa.array([b"%d," % i for i in range(len(pieces))], pa.binary())
+        return {
+            "n_tokens": pc.list_value_length(ids).cast(pa.int64()),
+            "ids_sha256": [sha256(x[:-1]).hexdigest() for x in _slices(*_flat_with(ids, decimal))],
+            "decoded_sha256": [sha256(x).hexdigest() for x in _decoded(ids, pieces)],
+        }
+
+    return derived(documents, vocabulary, digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")
