@@ -77,9 +77,9 @@ def rebalanced(slots: DataFrame, latest: DataFrame, shards: int) -> DataFrame:
     """The latest map, edited so that shards 0 to shards - 1 come near equal; few slots move."""
     held = slots.join(latest, "virtual_slot")
     mean = slots.agg((F.sum("bytes") / shards).alias("mean"))
-    by_size = Window.partitionBy("shard").orderBy("bytes", "virtual_slot")
+    by_chance = Window.partitionBy("shard").orderBy(F.xxhash64("virtual_slot"), "virtual_slot")
     held = held.crossJoin(mean).withColumn("load", F.sum("bytes").over(Window.partitionBy("shard")))
-    held = held.withColumn("leaves", (F.sum("bytes").over(by_size) <= F.col("load") - F.col("mean")) | (F.col("shard") >= shards))
+    held = held.withColumn("leaves", (F.sum("bytes").over(by_chance) <= F.col("load") - F.col("mean")) | (F.col("shard") >= shards))
     stays = held.where(~F.col("leaves"))
     every = slots.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
     loads = every.join(stays.groupBy("shard").agg(F.sum("bytes").alias("load")), "shard", "left").agg(
