@@ -166,7 +166,7 @@ def train(documents: DataFrame, labels: DataFrame, settings: Settings = Settings
     """2**bits weights and the bias, as one array: of a size that settings fix."""
     s = settings
     spark = documents.sparkSession
-    sample = saved(training_rows(documents, labels, s).repartition(s.partitions, F.xxhash64("doc_id")).sortWithinPartitions(F.xxhash64("doc_id", F.lit(7)), "doc_id"))
+    sample = saved(training_rows(documents, labels, s).repartition(s.partitions).sortWithinPartitions(F.xxhash64("doc_id", F.lit(7)), "doc_id"))
     shares = sample.groupBy(F.spark_partition_id()).count().count()
     size = (1 << s.bits) + 1
     z, n = np.zeros(size), np.zeros(size)
