@@ -1 +1 @@
-"""functions"""
+"""Scalar functions: the trees' instruction set and numeric guards."""

@@ -1 +1 @@
-"""operators"""
+"""Operators over populations, points and the records of runs."""

@@ -1 +1 @@
-"""sources"""
+"""Sources and sinks: population files, registries, records, reports."""
