@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embeddings, exact_dedup, licences, mixing, quality, sharding, simhash, warc
+from . import bpe, embeddings, exact_dedup, langid, licences, mixing, quality, sharding, simhash, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.op6(table(spark, sf_dir, "embeddings"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.op7(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op8(table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Query] = {
         op4_exact_dedup,
         op5_warc,
         op6_embedding_near_dedup,
+        op7_language_id,
         op8_sharding,
         op9_simhash_near_dedup,
         op10_bpe,

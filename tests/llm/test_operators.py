@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from arborist.llm import bpe, embeddings, exact_dedup, licences, mixing, quality, sharding, simhash, warc
+from arborist.llm import bpe, embeddings, exact_dedup, langid, licences, mixing, quality, sharding, simhash, warc
 from arborist.llm.common import table
 from arborist.llm.queries import tokenizer_path
 
@@ -326,3 +326,27 @@ def test_bpe_round_trip(docs):
     vocabulary = bpe.Vocabulary(tokenizer_path())
     back = bpe.encode(docs, vocabulary).select("doc_id", bpe.decode(F.col("ids"), vocabulary).alias("text"))
     assert rows_of(back, "doc_id", "text") == rows_of(docs.na.fill("", ["text"]), "doc_id", "text")
+
+
+def test_language_id_held_out(spark):
+    d = table(spark, "/root/testdata/sf0.01", "documents")
+    model = langid.train(d.where("doc_id % 2 = 0"))
+    pages = d.where("doc_id % 2 = 1").select(F.col("doc_id").alias("page_id"), F.lit("http://a.example.com/").alias("url"), F.concat(F.lit("<p>"), "text").alias("html"), F.col("lang").alias("truth"))
+    got = langid.identify(pages.drop("truth"), model).join(pages.select("page_id", "truth"), "page_id")
+    assert got.where("lang = truth").count() >= 0.95 * pages.count()
+
+
+def test_language_id_fuses_evidence(spark):
+    texts = [("le chat et la souris dans la maison " * 5, "fr"), ("the cat and the mouse in the house " * 5, "en")] * 10
+    model = langid.train(spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(texts)], "doc_id long, text string, lang string"))
+    page = lambda text, lang: f'<html lang="{lang}"><script>the the the</script><body>{text}</body></html>'
+    rows = [(i, f"http://h{i % 2}.example.{'fr' if i % 2 else 'com'}/", page(texts[1 - i % 2][0], "fr" if i % 2 else "en")) for i in range(20)]
+    rows = [(i, u, h.replace(texts[0][0], "@").replace(texts[1][0], texts[0][0] if i % 2 else texts[1][0]).replace("@", texts[0][0] if i % 2 else texts[1][0])) for i, u, h in rows]
+    rows += [(100, "http://h1.example.fr/x", page("", "fr")), (101, "http://h0.example.com/y", "<html></html>"), (102, None, None), (None, "not an address", ""), rows[0]]
+    got = {r.page_id: r for r in langid.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), model).collect()}
+    assert [got[i].lang for i in range(4)] == ["en", "fr", "en", "fr"]
+    assert got[100].lang == "fr" and got[101].lang == "en" and 0 < got[102].confidence <= 1 and got[None].host is None
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert langid.identify(empty, model).count() == 0
+    none = langid.train(spark.createDataFrame([], "doc_id long, text string, lang string"))
+    assert {r.lang for r in langid.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), none).collect()} == {None}
