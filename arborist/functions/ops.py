@@ -33,6 +33,11 @@ def divide(left: Column, right: Column) -> Column:
     return F.when(right == 0, left * F.pow(right, F.lit(-1.0))).otherwise(left / right)
 
 
+def power(left: Column, right: Column) -> Column:
+    """pow, with 1 for a base of 1 and for -1 to an infinite power, where the JVM's has NaN."""
+    return F.when((left == 1) | ((left == -1) & (F.abs(right) == INF)), F.lit(1.0)).otherwise(F.pow(left, right))
+
+
 def log(a: Column) -> Column:
     return F.when(a > 0, F.ln(a)).when(a == 0, F.lit(-INF)).otherwise(F.lit(NAN))
 
@@ -61,8 +66,7 @@ class Arrays:
 class Columns:
     """The same over Spark columns."""
 
-    divide, log, cos, sin, sinh, cosh, sign = divide, log, F.cos, F.sin, F.sinh, F.cosh, F.signum
-    power = F.pow
+    divide, power, log, cos, sin, sinh, cosh, sign = divide, power, log, F.cos, F.sin, F.sinh, F.cosh, F.signum
 
     @staticmethod
     def at_least(x: Column, y: Column) -> Column:
@@ -83,8 +87,8 @@ TABLE = (
     Op(3, "MUL", 2, np.multiply, lambda x, y: x * y, lambda m, x, y, o: (y, x), 1),
     Op(4, "DIV", 2, np.divide, divide, lambda m, x, y, o: (m.divide(1 + 0 * y, y), m.divide(-o, y)), 4),
     Op(5, "LOOSE_DIV", 2, np.divide, divide, None, 4),
-    Op(6, "POW", 2, np.power, F.pow, lambda m, x, y, o: (y * m.power(x, y - 1), o * m.log(x)), 8),
-    Op(7, "LOOSE_POW", 2, lambda x, y: np.power(np.abs(x), y), lambda x, y: F.pow(F.abs(x), y), None, 8),
+    Op(6, "POW", 2, np.power, power, lambda m, x, y, o: (y * m.power(x, y - 1), o * m.log(x)), 8),
+    Op(7, "LOOSE_POW", 2, lambda x, y: np.power(np.abs(x), y), lambda x, y: power(F.abs(x), y), None, 8),
     Op(8, "MAX", 2, np.maximum, F.greatest, lambda m, x, y, o: (m.at_least(x, y), 1 - m.at_least(x, y)), 1),
     Op(9, "MIN", 2, np.minimum, least, lambda m, x, y, o: (m.at_least(y, x), 1 - m.at_least(y, x)), 1),
     Op(10, "LT", 2, *_LT, _flat, 1),
