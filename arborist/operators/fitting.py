@@ -10,6 +10,7 @@ is a K by K solve on a few numbers. Trees that have ended are left out of later
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -52,32 +53,75 @@ def gradient(tree: t.Tree, x: Callable[[int], Column], c: Callable[[int], Column
     return out
 
 
-@F.arrow_udf(T.ArrayType(T.DoubleType()))
-def _steps(jtj: pa.Array, jtr: pa.Array, damping: pa.Array) -> pa.Array:
+@dataclass(frozen=True)
+class Options:
+    """jacobian: "reverse" derivatives, or "forward" differences of relative step 1e-3 (an ablation).
+    damping: "relative" scales the diagonal by 1 + lambda, "absolute" adds lambda to it.
+    pivot_floor: added to the diagonal before the solve (0 in the standard form)."""
+
+    jacobian: str = "reverse"
+    damping: str = "relative"
+    pivot_floor: float = 0.0
+
+
+def square(upper: list[float], k: int) -> np.ndarray:
+    """The symmetric matrix of an upper triangle by rows."""
+    matrix = np.zeros((k, k))
+    matrix[np.triu_indices(k)] = upper
+    return matrix + np.triu(matrix, 1).T
+
+
+def damped_step(jtj: Column, jtr: Column, damping: Column, options: Options = Options()) -> Column:
     """The damped normal step of each tree, null where the matrix isn't positive definite."""
+    relative, floor = options.damping == "relative", options.pivot_floor
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def steps(jtj: pa.Array, jtr: pa.Array, damping: pa.Array) -> pa.Array:
+        out = []
+        for a, g, lam in zip(jtj.to_pylist(), jtr.to_pylist(), damping.to_pylist()):
+            matrix = square(a, len(g))
+            diagonal = np.diag_indices(len(g))
+            matrix[diagonal] = (matrix[diagonal] * (1 + lam) if relative else matrix[diagonal] + lam) + floor
+            try:
+                low = np.linalg.cholesky(matrix)
+                out.append((-np.linalg.solve(low.T, np.linalg.solve(low, np.asarray(g)))).tolist())
+            except np.linalg.LinAlgError:
+                out.append(None)
+        return pa.array(out, pa.list_(pa.float64()))
+
+    return steps(jtj, jtr, damping)
+
+
+def differences(tree: t.Tree, x: Callable[[int], Column], c: Callable[[int], Column], k: int) -> dict[int, Column]:
+    """Forward differences by each of k constants, divided by the step that is really taken."""
+    here, out = t.compiled(tree, x, c), {}
+    for i in range(k):
+        moved = c(i) + F.when(c(i) == 0, F.lit(1e-3)).otherwise(1e-3 * F.abs(c(i)))
+        there = t.compiled(tree, x, lambda j, i=i, moved=moved: moved if j == i else c(j))
+        out[i] = (there - here) / (moved - c(i))
+    return out
+
+
+@F.arrow_udf(T.StructType([T.StructField("rank", T.IntegerType()), T.StructField("condition", T.DoubleType())]))
+def conditioning(jtj: pa.Array, k: pa.Array) -> pa.Array:
+    """Numeric rank (1e-12 of the largest eigenvalue) and condition number of each normal matrix."""
     out = []
-    for a, g, lam in zip(jtj.to_pylist(), jtr.to_pylist(), damping.to_pylist()):
-        matrix = np.zeros((len(g), len(g)))
-        matrix[np.triu_indices(len(g))] = a
-        matrix = matrix + np.triu(matrix, 1).T
-        matrix[np.diag_indices(len(g))] *= 1 + lam
-        try:
-            low = np.linalg.cholesky(matrix)
-            out.append((-np.linalg.solve(low.T, np.linalg.solve(low, np.asarray(g)))).tolist())
-        except np.linalg.LinAlgError:
-            out.append(None)
-    return pa.array(out, pa.list_(pa.float64()))
-
-
-def pass_over(state: DataFrame, points: DataFrame, known: list[tuple[str, t.Tree]]) -> DataFrame:
+    for a, n in zip(jtj.to_pylist(), k.to_pylist()):
+        values = np.linalg.eigvalsh(square(a, n)) if n and np.isfinite(a).all() else np.zeros(1)
+        top = values[-1]
+        out.append({"rank": int((values > 1e-12 * top).sum()) if top > 0 else 0, "condition": float(top / values[0]) if values[0] > 0 else float("inf")})
+    return pa.array(out, pa.struct([("rank", pa.int32()), ("condition", pa.float64())]))
+
+
+def pass_over(state: DataFrame, points: DataFrame, known: list[tuple[str, t.Tree]], options: Options = Options()) -> DataFrame:
     """tree_id with loss, jtj (upper triangle by rows) and jtr at the constants in column `at`."""
     x, c = (lambda k: F.col("x")[k]), (lambda k: F.col("at")[k])
-    widest = max([len(gradient(tree, x, c)) for _, tree in known] + [1])
+    widest = max([sum(n[0] == t.CONST for n in t.prefix(tree)) for _, tree in known] + [1])
     value = F.lit(None).cast("double")
     slopes = [F.lit(0.0)] * widest
     for name, tree in known:
         here = F.col("structure") == name
-        own = gradient(tree, x, c)
+        own = gradient(tree, x, c) if options.jacobian == "reverse" else differences(tree, x, c, sum(n[0] == t.CONST for n in t.prefix(tree)))
         value = F.when(here, t.compiled(tree, x, c)).otherwise(value)
         slopes = [F.when(here, own[k]).otherwise(old) if k in own else old for k, old in enumerate(slopes)]
     rows = state.select("tree_id", "problem_id", "structure", "at").join(points, "problem_id")
@@ -95,7 +139,7 @@ def pass_over(state: DataFrame, points: DataFrame, known: list[tuple[str, t.Tree
     return sums.select("tree_id", "loss", F.array_compact(upper).alias("jtj"), F.array_compact(down).alias("jtr"))
 
 
-def fit(population: DataFrame, points: DataFrame, max_iter: int = 50, save: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def fit(population: DataFrame, points: DataFrame, max_iter: int = 50, save: Callable[[DataFrame], DataFrame] | None = None, options: Options = Options()) -> DataFrame:
     """tree_id, c_final, status, n_iter, loss_init, loss_final.
 
     An uphill step is never taken; a step below XTOL relative to the constants, or a gain of
@@ -106,7 +150,7 @@ def fit(population: DataFrame, points: DataFrame, max_iter: int = 50, save: Call
     known = structures(population)
     base = population.withColumn("structure", F.sha2(F.to_json("nodes"), 256)).select("tree_id", "problem_id", "structure", "c")
     some = base.where(F.size("c") > 0)
-    first = pass_over(some.withColumn("at", F.col("c")), points, known)
+    first = pass_over(some.withColumn("at", F.col("c")), points, known, options)
     state = some.join(first, "tree_id").withColumns(
         {"lambda": F.lit(LAMBDA0), "n_iter": F.lit(0), "loss_init": F.col("loss"), "status": F.when(~is_finite(F.col("loss")), F.lit(FAIL_NAN))}
     )
@@ -114,9 +158,9 @@ def fit(population: DataFrame, points: DataFrame, max_iter: int = 50, save: Call
     for _ in range(max_iter):
         if state.where("status is null").limit(1).count() == 0:
             break
-        open_ = state.where("status is null").withColumn("step", _steps("jtj", "jtr", "lambda"))
+        open_ = state.where("status is null").withColumn("step", damped_step(F.col("jtj"), F.col("jtr"), F.col("lambda"), options))
         trial = open_.withColumn("at", F.zip_with("c", "step", lambda a, d: a + d))
-        tried = pass_over(trial.where("step is not null"), points, known)
+        tried = pass_over(trial.where("step is not null"), points, known, options)
         tried = tried.select("tree_id", F.col("loss").alias("t_loss"), F.col("jtj").alias("t_jtj"), F.col("jtr").alias("t_jtr"))
         met = trial.join(tried, "tree_id", "left")
         better = F.coalesce(is_finite(F.col("t_loss")) & (F.col("t_loss") <= F.col("loss")), F.lit(False))

@@ -231,3 +231,37 @@ def has_divergent_loose(nodes: Column) -> Column:
 
 def opcode_name(code: Column) -> Column:
     return F.element_at(F.array(*(F.lit(op.name) for op in TABLE)), code.cast("int"))
+
+
+def to_prefix(postfix: Column) -> Column:
+    """Prefix order of nodes in postfix order (operands first, left before right): subtrees on a stack.
+
+    Constants are numbered anew in the order of the result.
+    """
+    empty = F.array().cast(f"array<{NODES}>")
+
+    def step(stack: Column, node: Column) -> Column:
+        n = arity(node)
+        left = F.size(stack) - n
+        return F.concat(F.slice(stack, 1, left), F.array(F.concat(F.array(node), F.flatten(F.slice(stack, left + 1, n)))))
+
+    nodes = F.aggregate(postfix, empty, step, lambda stack: F.element_at(stack, 1))
+    return renumbered(nodes)
+
+
+def to_postfix(nodes: Column) -> Column:
+    """Postfix order of nodes in prefix order."""
+    empty = F.array().cast(f"array<{NODES}>")
+
+    def step(stack: Column, node: Column) -> Column:
+        n = arity(node)
+        rest = F.slice(stack, n + 1, F.greatest(F.size(stack) - n, F.lit(0)))
+        return F.concat(F.array(F.concat(F.flatten(F.slice(stack, 1, n)), F.array(node))), rest)
+
+    return F.aggregate(F.reverse(nodes), empty, step, lambda stack: F.element_at(stack, 1))
+
+
+def renumbered(nodes: Column) -> Column:
+    """Constants ranked by their place among the nodes."""
+    before = lambda i: F.size(F.filter(F.slice(nodes, 1, i), lambda n: n["nt"] == CONST))
+    return F.transform(nodes, lambda n, i: F.struct(n["nt"].alias("nt"), n["nv"].alias("nv"), F.when(n["nt"] == CONST, before(i)).otherwise(F.lit(-1)).alias("ci")))

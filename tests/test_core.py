@@ -186,3 +186,30 @@ def test_plans_push_down_and_stay_in_generated_code(spark):
     registry.load()
     plan = registry.QUERIES["a02_scoring_loss"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def test_adapter_and_generated_trees(spark):
+    from arborist.operators import workload
+
+    rows = spark.range(300).select("id", workload.generated(F.col("id"), "early-gen", 3).alias("nodes"))
+    nodes = F.col("nodes")
+    got = rows.select(t.constants_in_order(nodes).alias("order"), (t.to_prefix(t.to_postfix(nodes)) == nodes).alias("same"), F.size(nodes).alias("n"), t.span(nodes, F.lit(0)).alias("span")).collect()
+    assert all(r.order and r.same and r.n == r.span for r in got)
+    again = spark.range(300).repartition(7).select("id", workload.generated(F.col("id"), "early-gen", 3).alias("nodes"))
+    assert rows.exceptAll(again).count() == 0
+
+
+def test_catalogue_problems_can_be_fitted(spark):
+    from arborist.operators import workload
+
+    for name, (text, c, (low, high)) in workload.NGUYEN.items():
+        tree = t.parse(text)
+        assert sum(n[0] == t.CONST for n in t.prefix(tree)) == len(c), name
+    text, c, (low, high) = workload.NGUYEN["nguyen_10"]
+    tree = t.parse(text)
+    x = workload.sampled(spark.range(200), [(low, high), (low, high)], 5, "id")
+    points = x.select(F.lit(1).cast("long").alias("problem_id"), "x", t.compiled(tree, lambda k: F.col("x")[k], lambda k: F.lit(c[k])).alias("y"))
+    population = spark.createDataFrame([(1, 1, t.prefix(tree), [0.7])], f"tree_id long, problem_id long, nodes {t.NODES}, c array<double>")
+    for options in (fitting.Options(), fitting.Options(jacobian="forward"), fitting.Options(damping="absolute", pivot_floor=1e-9)):
+        fit = fitting.fit(population, points, 30, kept, options).first()
+        assert fit.c_final[0] == pytest.approx(2.0, rel=1e-4) and fit.status == fitting.CONVERGED
