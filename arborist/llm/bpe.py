@@ -28,6 +28,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cached_property
 from hashlib import sha256
 
 import numpy as np
@@ -38,11 +39,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_path, text_of
+from .common import shared_path, small_batches, text_of
 
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 1_500_000
 SLICE = 256
-BUCKET_WORDS = 250_000
+BUCKET_WORDS = 150_000
 BUCKETS = 256
 #: White space as Unicode has it, and the words' pattern; both must equal the tokenizer's.
 _SPACE = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
@@ -88,8 +89,12 @@ class Vocabulary:
             out += [part] if i % 2 else [part[s:e] for _, (s, e) in tokenizer.pre_tokenizer.pre_tokenize_str(part)]
         return [x for x in out if x]
 
+    @cached_property
     def encoder(self):
-        """A function from a word (bytes) to its ids: the tokenizer's model, after its byte alphabet."""
+        """A function from a word (bytes) to its ids: the tokenizer's model, after its byte alphabet.
+
+        Made once in a Python worker, which keeps the broadcast vocabulary.
+        """
         made = self.tokenizer()
         letters = {b: c for c, b in _alphabet().items()}
         special = {x.encode(): made.token_to_id(x) for x in self.special}
@@ -117,7 +122,7 @@ class Vocabulary:
 def _packed(**columns) -> bytes:
     table = pa.table(columns)
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=7))) as out:
         out.write_table(table)
     return sink.getvalue().to_pybytes()
 
@@ -152,6 +157,14 @@ def _words_of(data: bytes, n: int) -> list[bytes]:
     return [body[s:e] for s, e in zip([0, *ends], ends)]
 
 
+def _dealt(words: pa.Array, buckets: int) -> list[tuple[int, np.ndarray]]:
+    """The buckets of a block's words, and the places of the words in each."""
+    bucket = pd.util.hash_array(words.to_numpy(zero_copy_only=False)) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    runs = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
+    return [(int(bucket[own[0]]), own) for own in runs]
+
+
 def blocks(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """block, docs, codes, words, n_words: bounded runs of documents, their texts as codes."""
 
@@ -199,8 +212,8 @@ def blocks(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return documents.select("doc_id", split.alias("words"), odd.alias("odd")).mapInArrow(run, "block string, docs binary, codes binary, words binary, n_words long")
 
 
-def encoded_words(block_rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """block, places, counts, ids: the ids of each block's distinct words, a row for each bucket.
+def encoded_words(block_rows: DataFrame, vocabulary: Vocabulary) -> tuple[DataFrame, int]:
+    """bucket, block, n, ids: the ids of each block's distinct words; and the number of buckets.
 
     A bucket has all entries of its words from all blocks and encodes each word once.
     """
@@ -212,33 +225,24 @@ def encoded_words(block_rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         for batch in batches:
             for block, packed in zip(batch.column("block").to_pylist(), batch.column("words").to_pylist()):
                 words = _column(packed, "word")
-                bucket = (pd.util.hash_array(words.to_numpy(zero_copy_only=False)) % np.uint64(buckets)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
-                for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-                    if len(own):
-                        yield pa.RecordBatch.from_pydict(
-                            {
-                                "bucket": pa.array(bucket[own[:1]]),
-                                "block": [block],
-                                "places": [zlib.compress(own.astype("<i4").tobytes(), 1)],
-                                "words": [_squeezed(words.take(pa.array(own)))],
-                                "n": pa.array([len(own)], pa.int32()),
-                            }
-                        )
+                for bucket, own in _dealt(words, buckets):
+                    yield pa.RecordBatch.from_pydict(
+                        {"bucket": pa.array([bucket], pa.int32()), "block": [block], "words": [_squeezed(words.take(pa.array(own)))], "n": pa.array([len(own)], pa.int32())}
+                    )
 
     def encode(rows: pa.Table) -> pa.Table:
         lists = [_words_of(x, n) for x, n in zip(rows.column("words").to_pylist(), rows.column("n").to_pylist())]
         place = {word: i for i, word in enumerate(dict.fromkeys(w for words in lists for w in words))}
-        made = list(map(shared.value.encoder(), place))
+        made = list(map(shared.value.encoder, place))
         out = []
         for words in lists:
             own = [made[place[w]] for w in words]
             counts = np.fromiter(map(len, own), "<u4", len(own))
             out.append(zlib.compress(counts.tobytes() + np.concatenate([np.asarray(x, "<u4") for x in own]).tobytes(), 1))
-        return pa.table({"block": rows.column("block"), "places": rows.column("places"), "n": rows.column("n"), "ids": pa.array(out, pa.binary())})
+        return pa.table({"bucket": rows.column("bucket"), "block": rows.column("block"), "n": rows.column("n"), "ids": pa.array(out, pa.binary())})
 
-    asked = block_rows.select("block", "words").mapInArrow(deal, "bucket int, block string, places binary, words binary, n int")
-    return asked.groupBy("bucket").applyInArrow(encode, "block string, places binary, n int, ids binary")
+    asked = block_rows.select("block", "words").mapInArrow(deal, "bucket int, block string, words binary, n int")
+    return asked.groupBy("bucket").applyInArrow(encode, "bucket int, block string, n int, ids binary"), buckets
 
 
 def stored(block_rows: DataFrame) -> DataFrame:
@@ -252,34 +256,39 @@ def stored(block_rows: DataFrame) -> DataFrame:
 
 def derived(documents: DataFrame, vocabulary: Vocabulary, derive: Callable[[pa.ListArray], dict], columns: str) -> DataFrame:
     """doc_id of every document, and the columns that derive makes of an array of documents' ids."""
+    small_batches(documents.sparkSession)
     block_rows = stored(blocks(documents, vocabulary))
     back = T.StructType([T.StructField("doc_id", documents.schema["doc_id"].dataType), *T._parse_datatype_string(columns).fields])
 
     def read_off(texts: pa.Table, words: pa.Table) -> pa.Table:
         """Texts of one block and the ids of its words: the ids of its documents."""
-        row = {k: texts.column(k)[0].as_py() for k in ("docs", "codes", "n_words")}
+        row = {k: texts.column(k)[0].as_py() for k in ("docs", "codes", "words")}
+        place = dict(_dealt(_column(row["words"], "word"), buckets))
         counts, flat, places = [], [], []
-        for place, n, packed in zip(*(words.column(c).to_pylist() for c in ("places", "n", "ids"))):
+        for bucket, n, packed in zip(*(words.column(c).to_pylist() for c in ("bucket", "n", "ids"))):
             raw = np.frombuffer(zlib.decompress(packed), "<u4")
-            places.append(np.frombuffer(zlib.decompress(place), "<i4"))
+            places.append(place[bucket])
             counts.append(raw[:n])
             flat.append(raw[n:])
-        order = np.argsort(np.concatenate([*places, np.zeros(0, "<i4")]), kind="stable")
+        order = np.argsort(np.concatenate([*places, np.zeros(0, np.int64)]), kind="stable")
         ends = np.cumsum(np.concatenate([*counts, np.zeros(0, "<u4")]), dtype=np.int64)
         by_word = pa.ListArray.from_arrays(
             pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.concatenate([*flat, np.zeros(0, "<u4")]).astype(np.int32))
         ).take(pa.array(order))
         codes = _unpacked(row["codes"])
-        codes = codes.column("low").to_numpy().astype(np.int64) | codes.column("high").to_numpy().astype(np.int64) << 16
-        ids = by_word.take(pa.array(codes))
+        codes = codes.column("low").to_numpy().astype(np.int32) | codes.column("high").to_numpy().astype(np.int32) << 16
         docs = _unpacked(row["docs"])
-        word_ends = np.concatenate([[0], np.cumsum(docs.column("n").to_numpy(), dtype=np.int64)])
-        id_ends = ids.offsets.to_numpy()[word_ends] - ids.offsets[0].as_py()
-        doc_id = docs.column("doc_id")
-        return pa.table({"doc_id": doc_id} | derive(pa.ListArray.from_arrays(pa.array(id_ends.astype(np.int32)), ids.flatten())))
-
-    found = encoded_words(block_rows, vocabulary)
-    return block_rows.select("block", "docs", "codes", "n_words").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(read_off, back)
+        ends = np.concatenate([[0], np.cumsum(docs.column("n").to_numpy(), dtype=np.int64)])
+        done = []
+        for at in range(0, len(docs), SLICE):  # the ids of a few documents at a time
+            to = min(at + SLICE, len(docs))
+            ids = by_word.take(pa.array(codes[ends[at] : ends[to]]))
+            id_ends = ids.offsets.to_numpy()[ends[at : to + 1] - ends[at]]
+            done.append(pa.table({"doc_id": docs.column("doc_id").slice(at, to - at)} | derive(pa.ListArray.from_arrays(pa.array(id_ends), ids.values))))
+        return pa.concat_tables(done)
+
+    found, buckets = encoded_words(block_rows, vocabulary)
+    return block_rows.select("block", "docs", "codes", "words").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(read_off, back)
 
 
 def encode(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:

@@ -52,6 +52,17 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of an Arrow batch, for rows that hold texts: what a task's Python holds at once stays small.
+BATCH_ROWS = 512
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS rows; smaller ones stay as they are."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def shared_path(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved, text_of
+from .common import saved, small_batches, text_of
 
 BUCKETS = 1 << 14
 
@@ -71,6 +71,7 @@ def _trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def train(documents: DataFrame, settings: Settings = Settings()) -> Model:
     """Trigram models of the languages of documents, from at most max_rows of them by a hash of doc_id."""
+    small_batches(documents.sparkSession)
     known = documents.where(F.col("lang").isNotNull() & (F.length(text_of()) > 0)).select("lang", F.xxhash64("doc_id").alias("h"), text_of().alias("text"))
     total = known.count()
     if not total:

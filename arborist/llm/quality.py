@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved, text_of
+from .common import saved, small_batches, text_of
 
 _PRIME = 0x9E3779B97F4A7C15 | 1
 _CHUNK = 1 << 20
@@ -166,6 +166,7 @@ def train(documents: DataFrame, labels: DataFrame, settings: Settings = Settings
     """2**bits weights and the bias, as one array: of a size that settings fix."""
     s = settings
     spark = documents.sparkSession
+    small_batches(spark)
     sample = saved(training_rows(documents, labels, s).repartition(s.partitions).sortWithinPartitions(F.xxhash64("doc_id", F.lit(7)), "doc_id"))
     shares = sample.groupBy(F.spark_partition_id()).count().count()
     size = (1 << s.bits) + 1

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hex64, lower_az, saved, text_of
+from .common import hex64, lower_az, saved, small_batches, text_of
 from .graph import components
 
 SHINGLE = 3
@@ -135,14 +135,20 @@ def grouped(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return rows.join(resolved, "fp")
 
 
+def fingerprints(documents: DataFrame) -> DataFrame:
+    """doc_id and fp of every row, computed once."""
+    small_batches(documents.sparkSession)
+    return saved(documents.select("doc_id", fingerprint(F.col("text")).alias("fp")))
+
+
 def op9(documents: DataFrame) -> DataFrame:
     """Fingerprint and component of every document."""
-    rows = saved(documents.select("doc_id", fingerprint(F.col("text")).alias("fp")))
+    rows = fingerprints(documents)
     return grouped(rows).select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
     """One row of each group of near copies, that of the smallest doc_id, with all its columns."""
-    rows = saved(documents.select("doc_id", fingerprint(F.col("text")).alias("fp")))
+    rows = fingerprints(documents)
     kept = grouped(rows).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
     return documents.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates(["doc_id"])
