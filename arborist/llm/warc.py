@@ -40,6 +40,8 @@ SCHEMA = (
 PARTITION_BYTES = 64 << 20
 FILE_BYTES = 256 << 20
 BATCH_BYTES = 16 << 20
+#: Groups of copies that are sent to all tasks if they are no more than this: about 10 MB.
+BROADCAST_ROWS = 100_000
 #: A header name for each column, as the WARC format has them.
 HEADERS = {
     "record_type": b"warc-type",
@@ -198,11 +200,12 @@ class WarcReader(DataSourceReader):
 
 
 class WarcWriter(DataSourceWriter):
-    def __init__(self, path: str):
+    def __init__(self, path: str, zipped: bool):
+        self.zipped = zipped
         self.path, self.temporary = path, f"_temporary-{uuid.uuid4().hex}"
 
     def write(self, rows: Iterator[Row]) -> WriterCommitMessage:
-        """One or more files of bounded size under temporary names."""
+        """One or more files of bounded size under temporary names; gzip makes each record a member of its own."""
         store, root = fs.FileSystem.from_uri(self.path)
         store.create_dir(f"{root}/{self.temporary}")
         out, size, paths = None, 0, []
@@ -211,9 +214,9 @@ class WarcWriter(DataSourceWriter):
                 if out is None or size >= FILE_BYTES:
                     if out:
                         out.close()
-                    paths.append(f"{root}/{self.temporary}/{uuid.uuid4().hex}.warc")
+                    paths.append(f"{root}/{self.temporary}/{uuid.uuid4().hex}.warc{".gz" if self.zipped else ""}")
                     out, size = store.open_output_stream(paths[-1]), 0
-                record = _record(row)
+                record = gzip.compress(_record(row)) if self.zipped else _record(row)
                 out.write(record)
                 size += len(record)
         finally:
@@ -237,7 +240,7 @@ class WarcWriter(DataSourceWriter):
 
 
 class WarcDataSource(DataSource):
-    """Options: path; partition_bytes. A schema given by the reader chooses the columns."""
+    """Options: path; partition_bytes; compression (none or gzip). A schema given by the reader chooses the columns."""
 
     @classmethod
     def name(cls) -> str:
@@ -252,7 +255,7 @@ class WarcDataSource(DataSource):
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
         if overwrite:
             raise ValueError("archives are only added to")
-        return WarcWriter(self.options["path"])
+        return WarcWriter(self.options["path"], self.options.get("compression", "none") == "gzip")
 
 
 def register(spark: SparkSession) -> None:
@@ -270,6 +273,8 @@ def archived(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
     rows = rows.withColumns({"digest": F.sha1("payload"), "n": F.length("payload")})
     copies = rows.where(F.col("n") >= min_bytes).groupBy("digest", "n").agg(F.max("page_id").alias("first"), F.count("*").alias("copies"))
     copies = saved(copies.where("copies > 1").select("digest", "n", "first"))
+    if copies.count() <= BROADCAST_ROWS:  # else the pages' payloads are shuffled to meet them
+        copies = F.broadcast(copies)
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return rows.join(copies, ["digest", "n"], "left").select(
