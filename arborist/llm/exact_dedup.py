@@ -45,6 +45,10 @@ class DigestIndex:
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def lookup(self) -> DataFrame:
+        """The same rows read as plain files: a join shuffles them, and so can split a hot digest."""
+        return self.spark.read.schema("digest string, keep_id bigint, group_size bigint").parquet(self.path)
+
     def add(self, rows: DataFrame) -> None:
         """Append rows (digest, keep_id, group_size), as many files as buckets."""
         rows.select("digest", "keep_id", "group_size").repartition(self.buckets, "digest").write.insertInto(self.name)
@@ -69,8 +73,8 @@ def deduplicate(documents: DataFrame, index: DigestIndex) -> DataFrame:
     """doc_id, digest, keep_id, group_size, kept of every row; the index gains the new texts."""
     rows = signatures(documents)
     index.add(new_groups(rows, index))
-    # a join of two plain shuffles: one digest with a third of all rows is split at run time
-    found = rows.join(index.rows().repartition("digest"), "digest")
+    # two plain shuffles: one digest with a third of all rows is split at run time
+    found = rows.join(index.lookup(), "digest")
     return found.select("doc_id", "digest", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))
 
 
