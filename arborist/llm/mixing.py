@@ -33,7 +33,7 @@ BLOCK = 512
 SHARD_SLOTS = 1024
 LIMIT = 3
 WEIGHTS = (5, 2, 1)
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 1024
 #: Steps of a cycle walk. A step falls outside with a chance under size**-0.5, and at most size**0.5
 #: values are outside, so 32 steps always suffice up to 1024 and else but for a chance of 32**-32.
 _STEPS = 32
@@ -76,6 +76,7 @@ def permuted(index: Column, size: Column, *keys: Column) -> Column:
     Two digits in bases about the root of size, added to hashes of each other in turn; a value
     that falls outside walks on.
     """
+    size = F.greatest(size, F.lit(1).cast("long"))
     a = F.ceil(F.sqrt(size.cast("double"))).cast("long")
     b = F.ceil(size / a).cast("long")
 
