@@ -96,8 +96,8 @@ def train(documents: DataFrame, settings: Settings = Settings()) -> Model:
     counts = saved(counts)
     languages = sorted(r.lang for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(settings.max_languages).collect())
     table = np.full((BUCKETS, len(languages)), settings.smoothing)
-    got = counts.where(F.col("lang").isin(languages)).toPandas()  # BUCKETS rows a language at most
-    table[got.bucket, [languages.index(x) for x in got.lang]] += got.n
+    got = counts.where(F.col("lang").isin(languages)).toArrow()  # BUCKETS rows a language at most
+    table[got.column("bucket").to_numpy(), [languages.index(x) for x in got.column("lang").to_pylist()]] += got.column("n").to_numpy()
     return Model(languages, np.log(table / table.sum(axis=0)))
 
 

@@ -20,7 +20,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -184,10 +183,10 @@ def train(documents: DataFrame, labels: DataFrame, settings: Settings = Settings
         # a share that never met a bucket counts as zeros in its average
         states = sample.mapInArrow(one_share, "bucket long, z double, n double")
         mean = states.groupBy("bucket").agg(F.sum("z").alias("z"), F.sum("n").alias("n"))
-        got: pd.DataFrame = mean.toPandas()
+        got = mean.toArrow()  # 2**bits rows at most
+        at = got.column("bucket").to_numpy()
         z, n = np.zeros(size), np.zeros(size)
-        if len(got):
-            z[got.bucket], n[got.bucket] = got.z / max(shares, 1), got.n / max(shares, 1)
+        z[at], n[at] = got.column("z").to_numpy() / max(shares, 1), got.column("n").to_numpy() / max(shares, 1)
         state.unpersist()
     return _weights(z, n, s)
 
