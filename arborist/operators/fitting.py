@@ -166,7 +166,9 @@ def fit(population: DataFrame, points: DataFrame, max_iter: int = 50, save: Call
         better = F.coalesce(is_finite(F.col("t_loss")) & (F.col("t_loss") <= F.col("loss")), F.lit(False))
         moved = F.aggregate(F.zip_with("step", "c", lambda d, a: F.abs(d) / (F.abs(a) + XTOL)), F.lit(0.0), lambda m, v: F.greatest(m, v))
         damped = F.when(better, F.greatest(F.col("lambda") * 0.1, F.lit(LAMBDA_MIN))).otherwise(F.col("lambda") * 10)
-        ended = F.when(better & ((moved < XTOL) | (F.col("loss") - F.col("t_loss") <= 1e-14 * F.col("loss"))), F.lit(CONVERGED)).when(
+        # a step too small to matter ends a fit, taken or not: rounding alone can make it look uphill
+        still = F.coalesce(moved < XTOL, F.lit(False)) | (better & (F.col("loss") - F.col("t_loss") <= 1e-14 * F.col("loss")))
+        ended = F.when(still, F.lit(CONVERGED)).when(
             damped > LAMBDA_MAX, F.when(F.col("step").isNull(), F.lit(FAIL_CHOLESKY)).otherwise(F.lit(CONVERGED))
         )
         pick = lambda new, old: F.when(better, F.col(new)).otherwise(F.col(old))
