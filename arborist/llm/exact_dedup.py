@@ -84,11 +84,23 @@ def op4(documents: DataFrame) -> DataFrame:
     return deduplicate(documents, index).select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def document_key(documents: DataFrame) -> Column:
+    """What tells one document of a table from another: its doc_id together with its text's digest."""
+    return F.concat(F.coalesce(documents["doc_id"].cast("string"), F.lit("")), F.lit(":"), digest(documents["text"]))
+
+
 def keep_first(documents: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """The rows of documents that stay, with all their columns; repeats of one doc_id go too."""
+    """The rows of documents that stay, with all their columns; repeats of a doc_id with its text go too.
+
+    Rows are told apart by doc_id and digest, so a row stays by its own verdict alone.
+    """
     index = index or DigestIndex(documents.sparkSession)
-    kept = deduplicate(documents, index).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return documents.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates(["doc_id"])
+    kept = deduplicate(documents, index).where("kept")
+    kept = kept.select(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "digest").alias("__key")).distinct()
+    stay = documents.withColumn("__key", document_key(documents)).join(kept, "__key", "left_semi")
+    # rows without an id are no repeats of each other
+    own = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    return stay.withColumn("__own", own).dropDuplicates(["__key", "__own"]).drop("__key", "__own")
 
 
 SQL = """

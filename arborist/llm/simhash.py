@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import hex64, lower_az, saved, small_batches, text_of
+from .exact_dedup import document_key
 from .graph import components
 
 SHINGLE = 3
@@ -126,12 +127,13 @@ def links(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 
 def grouped(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """rows (doc_id, fp) with component_id, the smallest doc_id that links reach."""
+    """rows (doc_id, fp) with root, a fingerprint that names the component, and component_id, the
+    smallest doc_id that links reach."""
     nodes = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = components(links(nodes, threshold))
     named = nodes.join(found, nodes.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    resolved = saved(named.select("fp", "root").join(roots, "root").select("fp", "component_id"))
+    resolved = saved(named.select("fp", "root").join(roots, "root").select("fp", "root", "component_id"))
     return rows.join(resolved, "fp")
 
 
@@ -148,7 +150,10 @@ def op9(documents: DataFrame) -> DataFrame:
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """One row of each group of near copies, that of the smallest doc_id, with all its columns."""
-    rows = fingerprints(documents)
-    kept = grouped(rows).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return documents.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates(["doc_id"])
+    """One row of each group of near copies, with all its columns: that of the smallest doc_id (of
+    any doc_id before null), and of several texts with that doc_id the one of the smallest digest."""
+    small_batches(documents.sparkSession)
+    rows = saved(documents.select("doc_id", fingerprint(F.col("text")).alias("fp"), document_key(documents).alias("__key")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__key"))
+    kept = grouped(rows).groupBy("root").agg(first.alias("first")).select("first.__key")
+    return documents.withColumn("__key", document_key(documents)).join(kept, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")

@@ -350,3 +350,20 @@ def test_language_id_fuses_evidence(spark):
     assert langid.identify(empty, model).count() == 0
     none = langid.train(spark.createDataFrame([], "doc_id long, text string, lang string"))
     assert {r.lang for r in langid.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), none).collect()} == {None}
+
+
+def test_dedup_stages_tell_rows_of_one_id_apart(spark):
+    """Rows without an id, and an id with two texts, stay or go each by its own text."""
+    near = " ".join(f"word{i}" for i in range(2000))
+    rows = [(None, "no id one"), (None, "no id two"), (None, "taken by an id"), (1, "taken by an id"), (5, "first text of five"), (5, "second text of five"), (5, "first text of five"), (9, "second text of five")]
+    rows += [(3, near), (4, near + " more"), (4, "a text that only four has")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    exact = rows_of(exact_dedup.keep_first(docs), "doc_id", "text")
+    assert exact == Counter({r: 1 for r in rows} | {(None, "taken by an id"): 0, (5, "second text of five"): 0}) - Counter()
+    same = spark.createDataFrame([(None, "same"), (None, "same"), (None, "other")], "doc_id long, text string")
+    assert rows_of(exact_dedup.keep_first(same), "text") == {("same",): 2, ("other",): 1}
+    prints = {t: int(r.fingerprint, 16) for (_, t), r in zip(rows, simhash.op9(docs.select(F.monotonically_increasing_id().alias("doc_id"), "text")).orderBy("doc_id").collect())}
+    assert (prints[near] ^ prints[near + " more"]).bit_count() <= 2
+    kept = rows_of(simhash.keep_one(docs), "doc_id", "text")
+    assert kept == Counter({(None, "no id one"): 1, (None, "no id two"): 1, (1, "taken by an id"): 1, (5, "first text of five"): 1, (5, "second text of five"): 1, (3, near): 1, (4, "a text that only four has"): 1})
+    assert rows_of(simhash.keep_one(same), "text") == {("same",): 1, ("other",): 1}
