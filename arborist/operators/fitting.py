@@ -20,7 +20,8 @@ from pyspark.sql import types as T
 
 from ..functions.ops import BY_NAME, INF, Columns, annihilating, is_finite
 from ..plans import trees as t
-from .scoring import half_sse, structures
+from . import arrays
+from .scoring import few_structures, half_sse
 
 #: Statuses of a fit.
 CONVERGED, MAXITER, FAIL_NAN, K0_SKIP, FAIL_CHOLESKY = range(5)
@@ -147,10 +148,17 @@ def fit(population: DataFrame, points: DataFrame, max_iter: int = 50, save: Call
     the lineage between rounds.
     """
     save = save or (lambda df: df.checkpoint())
-    known = structures(population)
-    base = population.withColumn("structure", F.sha2(F.to_json("nodes"), 256)).select("tree_id", "problem_id", "structure", "c")
+    known = few_structures(population)
+    # with too many structures to compile, the trees' nodes are the data
+    structure = F.sha2(F.to_json("nodes"), 256) if known is not None else F.col("nodes")
+    base = population.withColumn("structure", structure).select("tree_id", "problem_id", "structure", "c")
     some = base.where(F.size("c") > 0)
-    first = pass_over(some.withColumn("at", F.col("c")), points, known, options)
+    if known is not None:
+        over = lambda rows: pass_over(rows, points, known, options)
+    else:
+        blocks = save(arrays.blocked(points))
+        over = lambda rows: arrays.pass_over(rows.withColumnRenamed("structure", "nodes"), blocks, options.jacobian)
+    first = over(some.withColumn("at", F.col("c")))
     state = some.join(first, "tree_id").withColumns(
         {"lambda": F.lit(LAMBDA0), "n_iter": F.lit(0), "loss_init": F.col("loss"), "status": F.when(~is_finite(F.col("loss")), F.lit(FAIL_NAN))}
     )
@@ -160,7 +168,7 @@ def fit(population: DataFrame, points: DataFrame, max_iter: int = 50, save: Call
             break
         open_ = state.where("status is null").withColumn("step", damped_step(F.col("jtj"), F.col("jtr"), F.col("lambda"), options))
         trial = open_.withColumn("at", F.zip_with("c", "step", lambda a, d: a + d))
-        tried = pass_over(trial.where("step is not null"), points, known, options)
+        tried = over(trial.where("step is not null"))
         tried = tried.select("tree_id", F.col("loss").alias("t_loss"), F.col("jtj").alias("t_jtj"), F.col("jtr").alias("t_jtr"))
         met = trial.join(tried, "tree_id", "left")
         better = F.coalesce(is_finite(F.col("t_loss")) & (F.col("t_loss") <= F.col("loss")), F.lit(False))

@@ -14,23 +14,32 @@ from pyspark.sql import functions as F
 
 from ..functions.ops import INF, is_finite
 from ..plans import trees as t
+from . import arrays
 
-#: More structures than this belong to the array path, which evaluates them as data.
+#: More structures than this go the array path (arrays.py), which evaluates them as data.
 MAX_STRUCTURES = 64
 
 
-def structures(population: DataFrame) -> list[tuple[str, t.Tree]]:
-    """The distinct structures, by a digest; their number is checked, not assumed."""
+def few_structures(population: DataFrame) -> list[tuple[str, t.Tree]] | None:
+    """The distinct structures, by a digest, or None if they are too many to compile."""
     found = population.select(F.sha2(F.to_json("nodes"), 256).alias("s"), "nodes").groupBy("s").agg(F.first("nodes").alias("nodes"))
     rows = found.orderBy("s").limit(MAX_STRUCTURES + 1).collect()
-    if len(rows) > MAX_STRUCTURES:
-        raise ValueError(f"more than {MAX_STRUCTURES} structures: evaluate them as data")
-    return [(r.s, t.from_prefix(r.nodes)) for r in rows]
+    return [(r.s, t.from_prefix(r.nodes)) for r in rows] if len(rows) <= MAX_STRUCTURES else None
+
+
+def structures(population: DataFrame) -> list[tuple[str, t.Tree]]:
+    """The distinct structures, for what can only be compiled; their number is checked, not assumed."""
+    known = few_structures(population)
+    if known is None:
+        raise ValueError(f"more than {MAX_STRUCTURES} structures can't be compiled here")
+    return known
 
 
 def evaluated(population: DataFrame, points: DataFrame, known: list[tuple[str, t.Tree]] | None = None) -> DataFrame:
     """All columns of the population with y and yh for each point of its problem."""
-    known = known or structures(population)
+    known = known if known is not None else few_structures(population)
+    if known is None:
+        return _evaluated_as_data(population, points)
     keyed = population.withColumn("structure", F.sha2(F.to_json("nodes"), 256))
     case = reduce(
         lambda done, one: done.when(F.col("structure") == one[0], t.compiled(one[1], lambda k: F.col("x")[k], lambda k: F.col("c")[k])),
@@ -40,6 +49,14 @@ def evaluated(population: DataFrame, points: DataFrame, known: list[tuple[str, t
     return keyed.join(points, "problem_id").withColumn("yh", case).drop("structure", "x")
 
 
+def _evaluated_as_data(population: DataFrame, points: DataFrame) -> DataFrame:
+    arrays.small_batches(population)
+    met = population.join(arrays.blocked(points), "problem_id").withColumn("__yh", arrays.predictions("nodes", "c", "block"))
+    one = met.select("problem_id", *(c for c in population.columns if c != "problem_id"), F.explode(F.arrays_zip("block", "__yh")).alias("__at"))
+    rest = [F.col(f"__at.block.{c}").alias(c) for c in points.columns if c not in ("problem_id", "x")]
+    return one.select("problem_id", *(c for c in population.columns if c != "problem_id"), *rest, F.col("__at.__yh").alias("yh"))
+
+
 def half_sse(y: Column, yh: Column) -> Column:
     """0.5 * sum of squared residuals, +inf if any prediction isn't finite, 0 over no rows."""
     r = yh - y

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ops import is_finite
-from ..operators import fitting, scoring, search
+from ..operators import fitting, scoring, search, workload
 from ..sources.shared import kept
 from . import population as p
+from . import trees as t
 from .registry import query
 
 _OLS = "WITH " + p.TREES_SQL
@@ -38,6 +39,23 @@ def l01_l22_population_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fits.select("tree_id", "status", "n_iter", F.round("loss_init", 3).alias("loss_init"), F.round("loss_final", 3).alias("loss_final"), worse.alias("worse"))
 
 
+@query()
+def t12_a02_l01_generated_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A random tree of each preset for every supplier, scored and fitted: as many structures as trees, nearly."""
+    suppliers = p.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("problem_id"))
+    made = [suppliers.select((F.col("problem_id") * 3 + i).alias("tree_id"), "problem_id", F.lit(name).alias("preset"), workload.generated(F.col("problem_id"), name, 3).alias("nodes")) for i, name in enumerate(workload.PRESETS)]
+    rows = made[0].unionByName(made[1]).unionByName(made[2])
+    ranks = F.filter("nodes", lambda n: n["nt"] == t.CONST)
+    start = F.transform(ranks, lambda n: F.lit(0.25) + F.pmod(F.xxhash64("tree_id", n["ci"]), F.lit(16)) / F.lit(8.0))
+    rows = kept(rows.withColumn("c", start))
+    points = p.points(spark, sf_dir)
+    loss = scoring.losses(rows, points)
+    fits = fitting.fit(rows, points, 50, kept)
+    worse = F.coalesce(F.col("loss_final") > F.col("loss_init"), F.lit(False))
+    met = rows.select("tree_id", "preset", F.size("c").alias("k")).join(fits, "tree_id").join(loss.select("tree_id", "loss"), "tree_id")
+    return met.select("tree_id", "preset", "k", "status", "n_iter", F.round("loss", 3).alias("loss"), F.round("loss_init", 3).alias("loss_init"), F.round("loss_final", 3).alias("loss_final"), worse.alias("worse"))
+
+
 @query(_OLS + """SELECT tree_id, CAST(4 AS BIGINT) AS trials, round(0.5 * regr_syy(y, x0) * (1 - regr_r2(y, x0)), 2) AS loss FROM trees JOIN points USING (problem_id) WHERE shape = 0 GROUP BY tree_id""")
 def l21_a38_restarts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four starts for each linear tree, fitted in one batch; the best of them is least squares too."""

@@ -213,3 +213,47 @@ def test_catalogue_problems_can_be_fitted(spark):
     for options in (fitting.Options(), fitting.Options(jacobian="forward"), fitting.Options(damping="absolute", pivot_floor=1e-9)):
         fit = fitting.fit(population, points, 30, kept, options).first()
         assert fit.c_final[0] == pytest.approx(2.0, rel=1e-4) and fit.status == fitting.CONVERGED
+
+
+def test_many_structures_are_scored_and_fitted_as_data(spark, monkeypatch):
+    """More trees than are compiled, and the array path gives what compiled trees give."""
+    rng, gen = random.Random(4), np.random.default_rng(2)
+    made = {}
+    while len(made) < scoring.MAX_STRUCTURES + 6:
+        tree = numbered(random_tree(rng, 3, True))
+        made[t.infix(tree)] = tree
+    trees = list(made.values())
+    rows = []
+    for i, tree in enumerate(trees):
+        nodes = t.prefix(tree)
+        rows.append((i, i % 2, nodes, gen.uniform(0.5, 1.5, sum(n[0] == 1 for n in nodes)).tolist()))
+    population = kept(spark.createDataFrame(rows, f"tree_id long, problem_id long, nodes {t.NODES}, c array<double>"))
+    x = gen.uniform(0.5, 1.5, (1500, 3))
+    points = kept(spark.createDataFrame([(int(i > 20), i, a.tolist(), float(a.sum())) for i, a in enumerate(x)], "problem_id long, i long, x array<double>, y double"))
+    loss = {r.tree_id: r for r in scoring.losses(population, points).collect()}
+    fits = {r.tree_id: r for r in fitting.fit(population, points, 2, kept).collect()}
+    assert len(loss) == len(fits) == len(rows)
+    for i, problem, _, c in rows:
+        mine = x[21:] if problem else x[:21]
+        with np.errstate(all="ignore"):
+            yh = np.array([value(trees[i], a, c) for a in mine])
+        want = 0.5 * ((yh - mine.sum(axis=1)) ** 2).sum() if np.isfinite(yh).all() else math.inf
+        assert (loss[i].loss, loss[i].n) == (pytest.approx(want, rel=1e-9), len(mine))
+        assert not c or fits[i].loss_init == pytest.approx(want, rel=1e-9)
+        assert not c or fits[i].loss_final <= fits[i].loss_init
+
+    def some(options):
+        few = population.where("tree_id < 8")
+        places = {r.tree_id: r.s for r in scoring.evaluated(few, points).groupBy("tree_id").agg(F.sum("i").alias("s")).collect()}
+        return places, {r.tree_id: r for r in fitting.fit(few, points, 2, kept, options).collect()}
+
+    for options in (fitting.Options(), fitting.Options(jacobian="forward")):
+        monkeypatch.setattr(scoring, "MAX_STRUCTURES", 64)
+        places, compiled = some(options)
+        monkeypatch.setattr(scoring, "MAX_STRUCTURES", 0)
+        places_, data = some(options)
+        assert places == places_ and set(compiled) == set(data)
+        for i, a in compiled.items():
+            b = data[i]
+            assert (a.status, a.n_iter) == (b.status, b.n_iter)
+            assert a.loss_final is None and b.loss_final is None or a.loss_final == pytest.approx(b.loss_final, rel=1e-6, abs=1e-9)
