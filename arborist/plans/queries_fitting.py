@@ -34,7 +34,7 @@ def f01_k0_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def l01_l22_population_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All shapes of all suppliers fitted; no tree ends above its start."""
-    fits = fitting.fit(p.trees(spark, sf_dir), p.points(spark, sf_dir), 12, kept)
+    fits = fitting.fit(p.trees(spark, sf_dir), p.points(spark, sf_dir), save=kept)
     worse = F.coalesce(F.col("loss_final") > F.col("loss_init"), F.lit(False))
     return fits.select("tree_id", "status", "n_iter", F.round("loss_init", 3).alias("loss_init"), F.round("loss_final", 3).alias("loss_final"), worse.alias("worse"))
 

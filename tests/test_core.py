@@ -257,3 +257,23 @@ def test_many_structures_are_scored_and_fitted_as_data(spark, monkeypatch):
             b = data[i]
             assert (a.status, a.n_iter) == (b.status, b.n_iter)
             assert a.loss_final is None and b.loss_final is None or a.loss_final == pytest.approx(b.loss_final, rel=1e-6, abs=1e-9)
+
+
+def test_population_fits_run_as_many_rounds_as_fit_does(spark, monkeypatch):
+    """The query leaves the number of rounds at fit's 50."""
+    import inspect
+
+    from arborist.plans import queries_fitting
+
+    bound = []
+    signature = inspect.signature(fitting.fit)
+
+    def fit(*args, **named):
+        call = signature.bind(*args, **named)
+        call.apply_defaults()
+        bound.append(call.arguments["max_iter"])
+        return spark.createDataFrame([], "tree_id long, status int, n_iter int, loss_init double, loss_final double")
+
+    monkeypatch.setattr(queries_fitting.fitting, "fit", fit)
+    queries_fitting.l01_l22_population_fits(spark, "/root/testdata/sf0.001")
+    assert bound == [50]
