@@ -6,7 +6,7 @@ import string
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space that separates words where a contract says [^\x20\x09-\x0D]+.
@@ -66,3 +66,27 @@ def small_batches(spark: SparkSession) -> None:
 def shared_path(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def running(rows: DataFrame, order: list[Column], values: dict[str, Column], within: str | None = None) -> DataFrame:
+    """rows with, under each name of values, the sum of its column over the rows before in that order.
+
+    order tells any two rows apart; within starts the sums anew in each group, nulls being one.
+    Rows are cut by ranges of the order, so neither a group nor the table is ever one task: the
+    sums inside a range start at those of the ranges before, a row for each range and group.
+    """
+    group = [within] if within else []
+    keys = {f"__key{i}": c for i, c in enumerate(order)}
+    cut = saved(rows.withColumns(keys).repartitionByRange(*group, *keys).withColumn("__range", F.spark_partition_id()))
+    sums = cut.groupBy("__range", *group).agg(*(F.sum(c).alias(f"__sum_{k}") for k, c in values.items()))
+    before = Window.partitionBy(*group).orderBy("__range")
+    starts = sums.select(
+        F.col("__range").alias("__r"),
+        *(F.col(g).alias("__g") for g in group),
+        *((F.sum(f"__sum_{k}").over(before) - F.col(f"__sum_{k}")).alias(f"__start_{k}") for k in values),
+    )
+    inside = Window.partitionBy("__range", *group).orderBy(*keys)
+    placed = cut.withColumns({f"__in_{k}": F.sum(c).over(inside) - c for k, c in values.items()})
+    same = F.col("__range") == F.col("__r")
+    met = placed.join(starts, same & F.col(within).eqNullSafe(F.col("__g")) if within else same)
+    return met.select(*rows.columns, *((F.col(f"__start_{k}") + F.col(f"__in_{k}")).alias(k) for k in values))
