@@ -5,13 +5,17 @@ Their 1- and 2-grams are hashed into 2**bits buckets; a 2-gram of one word twice
 feature "a word repeated", whatever the word. A text is the vector of its n-gram counts divided
 by the root of their number; its score is the logistic function of a sparse dot product.
 
-Training is data parallel: each of a few partitions runs FTRL over its share of a bounded sample
-of labelled rows, the per-coordinate states are averaged by bucket (a grouped aggregation of
-2**bits rows at most), and the next round starts from the average.
+Training is data parallel: doc_ids hash to a few shares of a bounded sample of labelled rows, each
+share runs FTRL in the order of a second hash, the per-coordinate states are averaged by bucket (a
+grouped aggregation of 2**bits rows at most, in fixed point, so that no order of adding matters),
+and the next round starts from the average. So the weights follow from the rows alone, however
+the tables are laid out.
 
 Defined cases: null and empty texts have no n-gram and score by the bias alone; label rows with a
-null doc_id or quality are ignored, a doc_id labelled twice takes the majority (a tie is 1);
-without a usable label every score is 0.5.
+null doc_id or quality are ignored, a doc_id labelled twice takes the majority (a tie is 1) and
+one with several texts is learned by the text of the smallest hash; without a usable label every
+score is 0.5; a very long text is taken in pieces that end where a word ends; repeated rows are
+scored like any other; an empty table gives no row; columns of other names are not looked at.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ from .common import saved, small_batches, text_of
 
 _PRIME = 0x9E3779B97F4A7C15 | 1
 _CHUNK = 1 << 20
+#: Steps of the states' fixed point in 1.
+_UNIT = 1 << 32
 
 
 @dataclass(frozen=True)
@@ -70,10 +76,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def _features(data: np.ndarray, ends: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _features(data: np.ndarray, ends: np.ndarray, bits: int, carried: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """n-gram buckets of consecutive texts, and how many each text has.
 
-    data: the texts' bytes; ends: where each text ends in them.
+    data: the texts' bytes; ends: where each text ends in them. carried: the first word is the
+    last one of the piece before, there for its 2-gram alone.
     """
     up, down = _powers(len(data) + 1)
     kinds = _KINDS[data]
@@ -90,35 +97,56 @@ def _features(data: np.ndarray, ends: np.ndarray, bits: int) -> tuple[np.ndarray
     pair = text[1:] == text[:-1]
     left, right = words[:-1][pair], words[1:][pair]
     pairs = np.where(left == right, np.uint64(12345), left * np.uint64(0xC2B2AE3D27D4EB4F) + right * np.uint64(0x165667B19E3779F9))
-    grams = np.concatenate([words, pairs])
-    owner = np.concatenate([text, text[:-1][pair]])
+    grams = np.concatenate([words[int(carried) :], pairs])
+    owner = np.concatenate([text[int(carried) :], text[:-1][pair]])
     grams = (grams ^ (grams >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     order = np.argsort(owner, kind="stable")
     buckets = (grams >> np.uint64(64 - bits)).astype(np.int64)[order]
     return buckets, np.bincount(owner, minlength=len(ends))
 
 
-def _chunks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The bytes of the texts and their ends, about _CHUNK bytes at a time; a text is never split."""
+def _parts(data: np.ndarray) -> Iterator[tuple[np.ndarray, bool]]:
+    """One text in parts of about _CHUNK bytes that end where a word ends, each after the first
+    begun by the last word before it; and whether it is so begun."""
+    start, word = 0, data[:0]
+    while start < len(data):
+        end = min(start + _CHUNK, len(data))
+        while end < len(data) and _KINDS[data[end]] and _KINDS[data[end]] == _KINDS[data[end - 1]]:
+            end += 1
+        yield np.concatenate([word, np.full(min(len(word), 1), 32, np.uint8), data[start:end]]), len(word) > 0
+        kinds = _KINDS[data[start:end]]
+        seen = np.flatnonzero(kinds)
+        if len(seen):
+            other = np.flatnonzero(kinds[: seen[-1]] != kinds[seen[-1]])
+            word = data[start + (other[-1] + 1 if len(other) else 0) : start + seen[-1] + 1]
+        start = end
+
+
+def _pieces(texts: pa.Array, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First text, buckets and counts of runs of texts of about _CHUNK bytes; a longer text is cut into pieces."""
     texts = texts.cast(pa.large_binary())
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
     at = 0
     while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + _CHUNK, side="right")) - 1)
-        yield data[offsets[at] : offsets[to]], offsets[at + 1 : to + 1] - offsets[at]
+        to = int(np.searchsorted(offsets, offsets[at] + _CHUNK, side="right")) - 1
+        if to > at:
+            yield at, *_features(data[offsets[at] : offsets[to]], offsets[at + 1 : to + 1] - offsets[at], bits)
+        else:
+            to = at + 1
+            for part, carried in _parts(data[offsets[at] : offsets[to]]):
+                yield at, *_features(part, np.array([len(part)]), bits, carried)
         at = to
 
 
 def margins(texts: pa.Array, weights: np.ndarray, bits: int) -> np.ndarray:
     """bias + w·x for each text; weights[-1] is the bias."""
-    out = []
-    for data, ends in _chunks(texts):
-        buckets, counts = _features(data, ends, bits)
-        owner = np.repeat(np.arange(len(ends)), counts)
-        sums = np.bincount(owner, weights=weights[buckets], minlength=len(ends))
-        out.append(weights[-1] + sums / np.sqrt(np.maximum(counts, 1)))
-    return np.concatenate(out) if out else np.zeros(0)
+    sums, grams = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+    for at, buckets, counts in _pieces(texts, bits):
+        owner = np.repeat(np.arange(len(counts)), counts)
+        sums[at : at + len(counts)] += np.bincount(owner, weights=weights[buckets], minlength=len(counts))
+        grams[at : at + len(counts)] += counts
+    return weights[-1] + sums / np.sqrt(np.maximum(grams, 1))
 
 
 def _weights(z: np.ndarray, n: np.ndarray, s: Settings) -> np.ndarray:
@@ -139,13 +167,15 @@ def _learn(z: np.ndarray, n: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray
 
 
 def _rows(texts: pa.Array, labels: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    own: list[list[np.ndarray]] = [[] for _ in range(len(texts))]
+    for at, buckets, counts in _pieces(texts, bits):
+        for i, part in enumerate(np.split(buckets, np.cumsum(counts)[:-1])):
+            own[at + i].append(part)
     out = []
-    for data, ends in _chunks(texts):
-        buckets, counts = _features(data, ends, bits)
-        for own in np.split(buckets, np.cumsum(counts)[:-1]):
-            index, times = np.unique(own, return_counts=True)
-            value = times / np.sqrt(max(len(own), 1))
-            out.append((np.append(index, 1 << bits), np.append(value, 1.0), labels[len(out)]))
+    for parts, label in zip(own, labels):
+        grams = np.concatenate([*parts, np.zeros(0, np.int64)])
+        index, times = np.unique(grams, return_counts=True)
+        out.append((np.append(index, 1 << bits), np.append(times / np.sqrt(max(len(grams), 1)), 1.0), label))
     return out
 
 
@@ -158,7 +188,15 @@ def training_rows(documents: DataFrame, labels: DataFrame, settings: Settings =
     may = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
     one = may.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("label"))
     few = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.max_rows)
-    return documents.select("doc_id", text_of().alias("text")).join(F.broadcast(few), "doc_id")
+    met = documents.select("doc_id", text_of().alias("text")).join(F.broadcast(few), "doc_id")
+    first = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))
+    return met.groupBy("doc_id").agg(first["text"].alias("text"), F.first("label").alias("label"))
+
+
+def _state(z: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """The states of the buckets that a share has met, in fixed point."""
+    used = np.flatnonzero(n)
+    return pa.record_batch({"bucket": used, **{k: np.rint(x[used] * _UNIT).astype(np.int64) for k, x in (("z", z), ("n", n))}})
 
 
 def train(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> np.ndarray:
@@ -166,27 +204,36 @@ def train(documents: DataFrame, labels: DataFrame, settings: Settings = Settings
     s = settings
     spark = documents.sparkSession
     small_batches(spark)
-    sample = saved(training_rows(documents, labels, s).repartition(s.partitions).sortWithinPartitions(F.xxhash64("doc_id", F.lit(7)), "doc_id"))
-    shares = sample.groupBy(F.spark_partition_id()).count().count()
+    sample = training_rows(documents, labels, s).withColumn("share", F.pmod(F.xxhash64("doc_id"), F.lit(s.partitions)))
+    sample = saved(sample.repartition(s.partitions, "share").sortWithinPartitions("share", F.xxhash64("doc_id", F.lit(7)), "doc_id"))
+    shares = sample.select("share").distinct().count()
     size = (1 << s.bits) + 1
     z, n = np.zeros(size), np.zeros(size)
     for _ in range(s.rounds):
         state = spark.sparkContext.broadcast((z, n))
 
-        def one_share(batches: Iterator[pa.RecordBatch], state=state) -> Iterator[pa.RecordBatch]:
-            z, n = (x.copy() for x in state.value)
+        def learn(batches: Iterator[pa.RecordBatch], state=state) -> Iterator[pa.RecordBatch]:
+            z, n, last = None, None, None
             for batch in batches:
-                _learn(z, n, _rows(batch.column("text"), batch.column("label").to_numpy(zero_copy_only=False), s.bits), s)
-            used = np.flatnonzero(n)
-            yield pa.record_batch({"bucket": used, "z": z[used], "n": n[used]})
+                own = batch.column("share").to_numpy()
+                at = [0, *(np.flatnonzero(np.diff(own)) + 1), len(own)]
+                for start, end in zip(at, at[1:]):
+                    if end > start and own[start] != last:
+                        if last is not None:
+                            yield _state(z, n)
+                        (z, n), last = (x.copy() for x in state.value), own[start]
+                    rows = batch.slice(start, end - start)
+                    _learn(z, n, _rows(rows.column("text"), rows.column("label").to_numpy(zero_copy_only=False), s.bits), s)
+            if last is not None:
+                yield _state(z, n)
 
         # a share that never met a bucket counts as zeros in its average
-        states = sample.mapInArrow(one_share, "bucket long, z double, n double")
+        states = sample.mapInArrow(learn, "bucket long, z long, n long")
         mean = states.groupBy("bucket").agg(F.sum("z").alias("z"), F.sum("n").alias("n"))
         got = mean.toArrow()  # 2**bits rows at most
         at = got.column("bucket").to_numpy()
         z, n = np.zeros(size), np.zeros(size)
-        z[at], n[at] = got.column("z").to_numpy() / max(shares, 1), got.column("n").to_numpy() / max(shares, 1)
+        z[at], n[at] = (got.column(c).to_numpy() / (_UNIT * max(shares, 1)) for c in ("z", "n"))
         state.unpersist()
     return _weights(z, n, s)
 

@@ -367,3 +367,78 @@ def test_dedup_stages_tell_rows_of_one_id_apart(spark):
     kept = rows_of(simhash.keep_one(docs), "doc_id", "text")
     assert kept == Counter({(None, "no id one"): 1, (None, "no id two"): 1, (1, "taken by an id"): 1, (5, "first text of five"): 1, (5, "second text of five"): 1, (3, near): 1, (4, "a text that only four has"): 1})
     assert rows_of(simhash.keep_one(same), "text") == {("same",): 1, ("other",): 1}
+
+
+def brute_grams(text, bits):
+    """Buckets of one text's words and pairs of words, word by word in whole numbers."""
+    mask, prime = (1 << 64) - 1, quality._PRIME
+    runs = re.findall(rb"[0-9A-Za-z\x80-\xff]+|[\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+", text)
+    hashes = [sum((b + 1) * pow(prime, i, 1 << 64) for i, b in enumerate(run)) & mask for run in runs]
+    pairs = [12345 if a == b else (a * 0xC2B2AE3D27D4EB4F + b * 0x165667B19E3779F9) & mask for a, b in zip(hashes, hashes[1:])]
+    return [(((h ^ h >> 29) * 0xBF58476D1CE4E5B9) & mask) >> (64 - bits) for h in hashes + pairs]
+
+
+def brute_scores(rows, labels, s):
+    """FTRL-proximal as its paper has it, a coordinate at a time; rows are (doc_id, text), one a doc_id."""
+    grams = {i: brute_grams((t or "").encode(), s.bits) for i, t in rows}
+    vectors = {i: {b: n / max(len(g), 1) ** 0.5 for b, n in Counter(g).items()} | {1 << s.bits: 1.0} for i, g in grams.items()}
+
+    def weight(z, n, k):
+        if abs(z[k]) <= s.l1:
+            return 0.0
+        return -(z[k] - (1 if z[k] > 0 else -1) * s.l1) / ((s.beta + n[k] ** 0.5) / s.alpha + s.l2)
+
+    def chance(z, n, x):
+        return 1 / (1 + np.exp(-sum(v * weight(z, n, k) for k, v in x.items())))
+
+    z, n = defaultdict(float), defaultdict(float)
+    for _ in range(s.rounds):
+        ends = []
+        for share in labels:  # labels: shares of (doc_id, label) in their order
+            own_z, own_n = z.copy(), n.copy()
+            for i, label in share:
+                p = chance(own_z, own_n, vectors[i])
+                old = {k: weight(own_z, own_n, k) for k in vectors[i]}
+                for k, v in vectors[i].items():
+                    g = (p - label) * v
+                    own_z[k] += g - ((own_n[k] + g * g) ** 0.5 - own_n[k] ** 0.5) / s.alpha * old[k]
+                    own_n[k] += g * g
+            ends.append((own_z, own_n))
+        z, n = (defaultdict(float, {k: sum(e[j][k] for e in ends) / len(ends) for k in set().union(*(e[j] for e in ends))}) for j in (0, 1))
+    return {i: chance(z, n, x) for i, x in vectors.items()}
+
+
+def test_quality_against_a_plain_loop(spark, docs):
+    settings = quality.Settings(bits=10, partitions=2, rounds=2)
+    some = docs.where("doc_id is not null and doc_id < 40").dropDuplicates(["doc_id"]).select("doc_id", "text")
+    labels = some.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    order = quality.training_rows(some, labels, settings).select("doc_id", "label", F.xxhash64("doc_id", F.lit(7)).alias("h"), F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("share"))
+    sample = sorted(order.collect(), key=lambda r: (r.h, r.doc_id))
+    assert {r.doc_id for r in sample} == {i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2}
+    shares = [own for k in range(2) if (own := [(r.doc_id, r.label) for r in sample if r.share == k])]
+    want = brute_scores([(r.doc_id, r.text) for r in some.collect()], shares, settings)
+    for r in quality.classify(some, labels, settings).collect():
+        assert r.score == pytest.approx(want[r.doc_id], abs=1e-5)
+
+
+def test_quality_does_not_depend_on_the_layout(spark):
+    d, labels = (table(spark, SF, name) for name in ("documents", "labels"))
+    d = d.unionByName(d.where("doc_id < 20").withColumn("text", F.concat("text", F.lit(" again"))))
+    scores = [rows_of(quality.classify(x, y), "doc_id", "score") for x, y in ((d, labels), (d.repartition(13), labels.repartition(5)))]
+    assert scores[0] == scores[1]
+
+
+def test_a_long_text_is_taken_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    texts = ["", "ab  cd!!ef " * 30, "w" * 100, " " * 90 + "x y" + " " * 90, "short one", "é" * 70 + " é"]
+    whole = quality._rows(pa.array(texts), [0.0] * len(texts), 12)
+    monkeypatch.setattr(quality, "_CHUNK", 16)
+    cut = quality._rows(pa.array(texts), [0.0] * len(texts), 12)
+    for text, (a, b, _), (c, d, _) in zip(texts, whole, cut):
+        assert a.tolist() == c.tolist() and b.tolist() == d.tolist()
+        assert a.tolist()[:-1] == sorted(set(brute_grams(text.encode(), 12)))
+    weights = np.random.default_rng(0).normal(size=(1 << 12) + 1)
+    together = quality.margins(pa.array(texts), weights, 12)
+    monkeypatch.undo()
+    assert np.allclose(together, quality.margins(pa.array(texts), weights, 12))
