@@ -1,18 +1,20 @@
 """Licence scans by a positional index of rare words.
 
-Each template's rarest words, by inverse document frequency over all documents, are indexed with
-their positions. A document's words that the index holds are looked up; each posting votes for
-(template, place in the document where the template would begin), and the votes of one place are
-the template's positions found there in the right order and distance. A template is found where
-at least `coverage` of its indexed positions agree and all its mandatory key phrases stand in the
-text. Plain phrases (the base) are found where their words stand consecutively.
-
-The index has a few words for each template, whatever the corpus; documents without a key phrase
-are not taken apart. Votes are grouped by document, template and place.
-
-Defined cases: null and empty texts have no word and no label, n_words 0 and score 0; rows equal
-in doc_id and text share their result; overlapping and repeated phrases all count; an empty table
-gives no row; columns of other names are not looked at.
+Templates are a table: label, notice, mandatory key phrases. Each template's rarest words, by
+inverse document frequency over all documents, are indexed with their positions. Texts are taken
+apart once; of each, the words that any template has are kept with their places, as columns of a
+written table. The index looks up the rare ones: each posting votes for (template, place in the
+document where the template would begin), and the votes of one place are the template's positions
+found there in the right order and distance. Where at least `coverage` of a template's indexed
+positions agree, its mandatory key phrases are verified on the kept words of that document, and
+only there. Plain phrases (the base) are found where their words stand consecutively.
+
+The index has a few words for each template, whatever the corpus; the words of the templates are
+read by the driver. No join is forced to broadcast: tables are written, so Spark knows their sizes.
+
+Defined cases: null and empty texts have no word and no label, n_words 0 and score 0; repeated
+rows are rows like any other; overlapping and repeated phrases all count; a very long text is one
+row of arrays; an empty table gives no row; columns of other names are not looked at.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import lower_az, text_of
+from .common import lower_az, stored, text_of
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Base phrases and their labels.
@@ -38,6 +40,18 @@ TEMPLATES = (
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution",)),
     ("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions", ("to deal in the software without restriction",)),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license", ("unless required by applicable law or agreed to in writing",)),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", ("gnu general public license", "in the hope that it will be useful")),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", ("gnu lesser general public license",)),
+    ("agpl", "it under the terms of the gnu affero general public license as published by the free software foundation", ("gnu affero general public license",)),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("endorse or promote products derived from this software",)),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ("in no event will the authors be held liable",)),
+    ("boost", "distributed under the boost software license version 1 0", ("boost software license",)),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", ("eclipse public license",)),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software", ("free and unencumbered software",)),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ("waived all copyright and related or neighboring rights",)),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", ("creative commons attribution sharealike",)),
 )
 COVERAGE = 0.6
 
@@ -60,64 +74,72 @@ def _phrase_places(words: Column, phrase: str) -> Column:
     return F.when(F.array_contains(words, parts[last]), F.filter(F.transform(words, start), F.isnotnull)).otherwise(F.array().cast("array<int>"))
 
 
-def template_words(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
-    """template, word, position, key: the templates' words; their number is fixed."""
-    rows = [(t, word, i) for t, (_, text, _) in enumerate(templates) for i, word in enumerate(text.split())]
-    return spark.createDataFrame(rows, "template int, word string, position int")
+def templates_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
+    """template, label, notice, keys: one row for each template."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({i}, {quote(label)}, {quote(notice)}, array({', '.join(map(quote, keys))}))" for i, (label, notice, keys) in enumerate(templates))
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(template, label, notice, keys)")
 
 
-def rare_words(documents: DataFrame, templates=TEMPLATES) -> DataFrame:
-    """template, word, position of each template's rarest words, three fifths of its words, at most eight.
+def known_words(templates: DataFrame) -> list[str]:
+    """The distinct words of all templates and their key phrases, for the driver: templates are few."""
+    lines = templates.select(F.explode(F.array_append("keys", F.col("notice"))).alias("line"))
+    return sorted(r.word for r in lines.select(F.explode(F.split("line", " ")).alias("word")).distinct().collect())
 
-    Rarity is the number of documents with the word, over all documents; ties go by word.
+
+def taken_apart(documents: DataFrame, known: list[str], phrases: dict[str, str] = PHRASES) -> DataFrame:
+    """row, doc_id, n_words, p0, p1, ... (places of phrases), hit_words and hit_at (the known words
+    and where they stand) of every document: the one pass over the texts, written."""
+    texts = documents.select("doc_id", F.monotonically_increasing_id().alias("row"), words_of(text_of()).alias("words"))
+    hit = F.transform("words", lambda word, i: F.when(word.isin(known), F.struct(word.alias("word"), i.alias("at"))))
+    texts = texts.withColumn("hits", F.filter(hit, F.isnotnull))
+    base = (_phrase_places(F.col("words"), phrase).alias(f"p{i}") for i, phrase in enumerate(phrases))
+    return stored(texts.select("row", "doc_id", F.size("words").alias("n_words"), *base, F.col("hits.word").alias("hit_words"), F.col("hits.at").alias("hit_at")), "licence-words")
+
+
+def rare_words(texts: DataFrame, templates: DataFrame) -> DataFrame:
+    """template, word, position, n_indexed of each template's rarest words, three fifths of its words, at most eight.
+
+    Rarity is the number of documents with the word, over all documents; ties go by word. n_indexed:
+    the positions of the template that the index has.
     """
-    notices = template_words(documents.sparkSession, templates)
-    known = sorted({word for _, text, _ in templates for word in text.split()})
-    met = F.array_intersect(words_of(text_of()), F.array(*map(F.lit, known)))
-    frequency = documents.select(F.explode(met).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    notices = templates.select("template", F.posexplode(F.split("notice", " ")).alias("position", "word"))
+    frequency = texts.select(F.explode(F.array_distinct("hit_words")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     distinct = notices.select("template", "word").distinct().join(frequency, "word", "left").na.fill(0, ["df"])
-    own = Window.partitionBy("template")
+    own = Window.partitionBy("template")  # a template's words
     ranked = distinct.withColumns({"rank": F.row_number().over(own.orderBy("df", "word")), "n": F.count("*").over(own)})
     chosen = ranked.where(F.col("rank") <= F.least(F.ceil(F.col("n") * 3 / 5), F.lit(8))).select("template", "word")
-    return notices.join(chosen, ["template", "word"])
-
-
-def scan(documents: DataFrame, templates=TEMPLATES, phrases: dict[str, str] = PHRASES, coverage: float = COVERAGE) -> DataFrame:
-    """doc_id, n_words, places (by phrase), found (label and coverage of templates) of every document."""
-    index = rare_words(documents, templates).collect()  # a few words for each template
-    spark = documents.sparkSession
-    postings = spark.createDataFrame([(r.word, r.template, r.position) for r in index], "word string, template int, position int")
-    indexed = sorted({r.word for r in index})
-    size = {t: sum(r.template == t for r in index) for t in range(len(templates))}
-
-    texts = documents.select("doc_id", F.xxhash64(text_of()).alias("mark"), words_of(text_of()).alias("words"))
-    base = {f"p{i}": _phrase_places(F.col("words"), phrase) for i, phrase in enumerate(phrases)}
-    line = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
-    may = F.arrays_overlap("words", F.array(*map(F.lit, indexed)))
-    verified = F.array_compact(
-        F.array(*(F.when(_all(F.contains(line, F.lit(f" {key} ")) for key in keys), F.lit(t)) for t, (_, _, keys) in enumerate(templates)))
-    )
-    looked = F.filter(F.transform("words", lambda word, i: F.when(word.isin(indexed), F.struct(word.alias("word"), i.alias("at")))), F.isnotnull)
-    seen = texts.select("doc_id", "mark", F.size("words").alias("n_words"), *(v.alias(k) for k, v in base.items()))
+    return notices.join(chosen, ["template", "word"]).withColumn("n_indexed", F.count("*").over(own))
+
+
+def _stands(key: Column) -> Column:
+    """Whether a key phrase (array of words) stands in the text: all its words are known, so they
+    are neighbours among the hits, one place apart."""
+
+    def begins(i: Column) -> Column:
+        agrees = lambda k: (F.get("hit_words", i + k) == F.get(key, k)) & (F.get("hit_at", i + k) == F.get("hit_at", i) + k)
+        return F.forall(F.sequence(F.lit(0), F.size(key) - 1), lambda k: F.coalesce(agrees(k), F.lit(False)))
 
-    candidates = texts.where(may).select("doc_id", "mark", "words", verified.alias("verified")).where(F.size("verified") > 0)
-    lookups = candidates.select("doc_id", "mark", "verified", F.explode(looked).alias("hit")).select("doc_id", "mark", "verified", "hit.word", "hit.at")
-    votes = lookups.join(F.broadcast(postings), "word").where(F.array_contains("verified", F.col("template")))
-    begins = (F.col("at") - F.col("position")).alias("begins")
-    places = votes.groupBy("doc_id", "mark", "template", begins).agg(F.count_distinct("position").alias("agree"))
-    sizes = F.element_at(F.create_map(*(F.lit(x) for pair in size.items() for x in pair)), F.col("template"))
-    label = F.element_at(F.array(*(F.lit(name) for name, _, _ in templates)), F.col("template") + 1)
-    scored = places.withColumn("share", F.col("agree") / sizes).where(F.col("share") >= coverage)
-    found = scored.groupBy("doc_id", "mark").agg(F.collect_set(label).alias("found"), F.max("share").alias("share"))
-    found = found.select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "found", "share")
-    return seen.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")), "left").drop("d", "m", "mark")
+    return F.exists(F.sequence(F.lit(0), F.size("hit_words") - 1), begins)
 
 
-def _all(conditions) -> Column:
-    out = F.lit(True)
-    for condition in conditions:
-        out = out & condition
-    return out
+def scan(documents: DataFrame, templates: DataFrame | None = None, phrases: dict[str, str] = PHRASES, coverage: float = COVERAGE) -> DataFrame:
+    """doc_id, n_words, p0, p1, ... (places of phrases), found and share (labels and greatest coverage
+    of templates) of every document."""
+    templates = templates if templates is not None else templates_table(documents.sparkSession)
+    texts = taken_apart(documents, known_words(templates), phrases)
+    postings = stored(rare_words(texts, templates), "licence-index")
+    hits = texts.select("row", F.explode(F.arrays_zip("hit_words", "hit_at")).alias("hit")).select("row", F.col("hit.hit_words").alias("word"), F.col("hit.hit_at").alias("at"))
+    votes = hits.join(postings, "word")
+    # a place's votes come from different positions, as each position has one word
+    places = votes.groupBy("row", "template", (F.col("at") - F.col("position")).alias("begins")).agg(F.count("*").alias("agree"), F.first("n_indexed").alias("n_indexed"))
+    scored = places.withColumn("share", F.col("agree") / F.col("n_indexed")).where(F.col("share") >= coverage)
+    candidates = stored(scored.groupBy("row", "template").agg(F.max("share").alias("share")), "licence-candidates")
+    asked = candidates.join(templates.select("template", "label", "keys"), "template")
+    met = texts.select("row", "hit_words", "hit_at").join(asked, "row")
+    verified = met.where(F.forall("keys", lambda key: _stands(F.split(key, " "))))
+    found = stored(verified.groupBy("row").agg(F.collect_set("label").alias("found"), F.max("share").alias("share")), "licence-found")
+    return texts.drop("hit_words", "hit_at").join(found, "row", "left").drop("row")
 
 
 def op2(documents: DataFrame) -> DataFrame:
@@ -145,40 +167,40 @@ def _sql() -> str:
     keys = ", ".join(f"({t}, {quote(key)})" for t, (_, _, keys) in enumerate(TEMPLATES) for key in keys)
     phrases = ", ".join(f"({quote(phrase)}, {quote(label)})" for phrase, label in PHRASES.items())
     return rf"""
-WITH d AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
-line AS (SELECT doc_id, ' ' || array_to_string(words, ' ') || ' ' AS line FROM d),
-w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS pos FROM d),
+line AS (SELECT r, ' ' || array_to_string(words, ' ') || ' ' AS line FROM d),
+w AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS pos FROM d),
 phrase AS (SELECT phrase, label, string_split(phrase, ' ') AS parts FROM (VALUES {phrases}) t(phrase, label)),
 base AS (
-  SELECT w.doc_id, w.pos, p.label FROM w JOIN phrase p ON w.word = p.parts[1] JOIN d USING (doc_id)
+  SELECT w.r, w.pos, p.label FROM w JOIN phrase p ON w.word = p.parts[1] JOIN d USING (r)
   WHERE d.words[w.pos + 1 : w.pos + len(p.parts)] = p.parts),
-bases AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word FROM base GROUP BY doc_id),
+bases AS (SELECT r, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word FROM base GROUP BY r),
 notice AS (SELECT t, label, string_split(text, ' ') AS words FROM (VALUES {notices}) t(t, label, text)),
 tw AS (SELECT t, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS position FROM notice),
-df AS (SELECT word, count(DISTINCT doc_id) AS df FROM w WHERE word IN (SELECT word FROM tw) GROUP BY word),
+df AS (SELECT word, count(DISTINCT r) AS df FROM w WHERE word IN (SELECT word FROM tw) GROUP BY word),
 ranked AS (
-  SELECT t, word, row_number() OVER (PARTITION BY t ORDER BY coalesce(df, 0), word) AS r, count(*) OVER (PARTITION BY t) AS n
+  SELECT t, word, row_number() OVER (PARTITION BY t ORDER BY coalesce(df, 0), word) AS rank, count(*) OVER (PARTITION BY t) AS n
   FROM (SELECT DISTINCT t, word FROM tw) LEFT JOIN df USING (word)),
-idx AS (SELECT tw.t, tw.word, tw.position FROM tw JOIN ranked USING (t, word) WHERE r <= least(ceil(n * 3 / 5), 8)),
+idx AS (SELECT tw.t, tw.word, tw.position FROM tw JOIN ranked USING (t, word) WHERE rank <= least(ceil(n * 3 / 5), 8)),
 need AS (SELECT t, key FROM (VALUES {keys}) k(t, key)),
 verified AS (
-  SELECT doc_id, t FROM line CROSS JOIN need GROUP BY doc_id, t HAVING bool_and(contains(line, ' ' || key || ' '))),
+  SELECT r, t FROM line CROSS JOIN need GROUP BY r, t HAVING bool_and(contains(line, ' ' || key || ' '))),
 votes AS (
-  SELECT doc_id, t, pos - position AS begins, count(DISTINCT position) AS agree
-  FROM w JOIN idx USING (word) JOIN verified USING (doc_id, t) GROUP BY doc_id, t, pos - position),
-scored AS (SELECT doc_id, t, agree / (SELECT count(*) FROM idx i WHERE i.t = votes.t) AS share FROM votes),
-found AS (SELECT doc_id, label, share FROM scored JOIN notice USING (t) WHERE share >= {COVERAGE}),
-labelled AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
-  FROM (SELECT doc_id, label FROM base UNION ALL SELECT doc_id, label FROM found) GROUP BY doc_id),
-based AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY doc_id),
-shares AS (SELECT doc_id, max(share) AS share FROM found GROUP BY doc_id)
+  SELECT r, t, pos - position AS begins, count(DISTINCT position) AS agree
+  FROM w JOIN idx USING (word) JOIN verified USING (r, t) GROUP BY r, t, pos - position),
+scored AS (SELECT r, t, agree / (SELECT count(*) FROM idx i WHERE i.t = votes.t) AS share FROM votes),
+found AS (SELECT r, label, share FROM scored JOIN notice USING (t) WHERE share >= {COVERAGE}),
+labelled AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM (SELECT r, label FROM base UNION ALL SELECT r, label FROM found) GROUP BY r),
+based AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY r),
+shares AS (SELECT r, max(share) AS share FROM found GROUP BY r)
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
   CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
   coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
   CAST(CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0.0) END AS DOUBLE) AS score
-FROM d LEFT JOIN bases USING (doc_id) LEFT JOIN labelled USING (doc_id) LEFT JOIN based USING (doc_id) LEFT JOIN shares USING (doc_id)
+FROM d LEFT JOIN bases USING (r) LEFT JOIN labelled USING (r) LEFT JOIN based USING (r) LEFT JOIN shares USING (r)
 """
 
 
