@@ -3,14 +3,18 @@
 The index is a table of one row per distinct text (digest, keep_id, group_size), bucketed and
 sorted by digest. New documents are reduced to one row per digest, those that the index holds
 fall out in a sort-merge anti-join that does not shuffle the index, and the rest are appended.
-Every row then finds its keeper by digest. Only digests and ids are shuffled, never texts.
+The batch's digests then find their keepers in a second sort-merge join, for which the index stays
+in place too, and the rows find theirs among those, as many as the batch has texts. Only digests
+and ids are shuffled, never texts.
 
 Texts are equal when identical after lower-casing A-Z. Of equal texts in one batch the row with
 the largest doc_id stays; a text that an earlier batch has indexed keeps that batch's row.
 
 Defined cases: a null text is the empty text; a null doc_id never stays if its group holds another
 (in a group of null doc_ids only, keep_id is null and none is dropped); rows that repeat a doc_id
-with its text are one document and share one verdict; an empty table gives no row.
+with its text are one document and share one verdict; group_size counts the rows of the batch that
+brought the text; a very long text is hashed like any other; an empty table gives no row. Columns
+of other names are not looked at by op4; keep_first carries them, and __key and __own are its own.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import lower_az, saved, shared_path, text_of
 
 BUCKETS = 64
+BUCKET_ROWS = 4_000_000
 
 
 def digest(text: Column) -> Column:
@@ -30,25 +35,32 @@ def digest(text: Column) -> Column:
     return F.sha2(F.encode(lower_az(text_of(text)), "UTF-8"), 256)
 
 
+def buckets_for(n: int) -> int:
+    """Buckets of an index that is to hold n texts."""
+    return max(BUCKETS, -(-n // BUCKET_ROWS))
+
+
 class DigestIndex:
-    """A bucketed and sorted table of the digests seen so far, at a path that all executors share."""
+    """A bucketed and sorted table of the digests seen so far, at a path that all executors share.
+
+    An index opened again keeps the number of buckets that it was made with.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = BUCKETS):
-        self.spark, self.buckets = spark, buckets
+        self.spark = spark
         self.path = path or shared_path(spark, "digest-index")
+        if path is None:
+            spark.range(1).select(F.lit(buckets).alias("buckets")).write.parquet(f"{self.path}-made")
+        self.buckets = spark.read.schema("buckets int").parquet(f"{self.path}-made").first().buckets
         self.name = f"digest_index_{uuid.uuid4().hex}"
         spark.sql(
             f"CREATE TABLE {self.name} (digest STRING, keep_id BIGINT, group_size BIGINT) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.path}'"
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
         )
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def lookup(self) -> DataFrame:
-        """The same rows read as plain files: a join shuffles them, and so can split a hot digest."""
-        return self.spark.read.schema("digest string, keep_id bigint, group_size bigint").parquet(self.path)
-
     def add(self, rows: DataFrame) -> None:
         """Append rows (digest, keep_id, group_size), as many files as buckets."""
         rows.select("digest", "keep_id", "group_size").repartition(self.buckets, "digest").write.insertInto(self.name)
@@ -63,25 +75,43 @@ def signatures(documents: DataFrame) -> DataFrame:
     return saved(documents.select("doc_id", digest(F.col("text")).alias("digest")))
 
 
+def groups_of(rows: DataFrame) -> DataFrame:
+    """One row for each digest, with the largest doc_id and the number of rows."""
+    return rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+
+
+def absent(groups: DataFrame, index: DigestIndex) -> DataFrame:
+    """The groups whose digest the index lacks; the index is not shuffled."""
+    return groups.join(index.rows().select("digest").hint("merge"), "digest", "left_anti")
+
+
 def new_groups(rows: DataFrame, index: DigestIndex) -> DataFrame:
     """One row for each digest of rows that the index lacks, with the largest doc_id."""
-    groups = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return groups.join(index.rows().select("digest").hint("merge"), "digest", "left_anti")
+    return absent(groups_of(rows), index)
 
 
 def deduplicate(documents: DataFrame, index: DigestIndex) -> DataFrame:
     """doc_id, digest, keep_id, group_size, kept of every row; the index gains the new texts."""
     rows = signatures(documents)
-    index.add(new_groups(rows, index))
+    groups = saved(groups_of(rows))
+    index.add(absent(groups, index))
+    found = saved(groups.select("digest").join(index.rows().hint("merge"), "digest"))
     # two plain shuffles: one digest with a third of all rows is split at run time
-    found = rows.join(index.lookup(), "digest")
-    return found.select("doc_id", "digest", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))
+    met = rows.join(found, "digest")
+    return met.select("doc_id", "digest", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))
+
+
+def against_new_index(documents: DataFrame) -> DataFrame:
+    """deduplicate against an index that starts empty and is let go, as nothing is to follow."""
+    index = DigestIndex(documents.sparkSession, buckets=buckets_for(documents.count()))
+    verdicts = deduplicate(documents, index)
+    index.close()
+    return verdicts
 
 
 def op4(documents: DataFrame) -> DataFrame:
     """Verdict on every row, against an index that starts empty."""
-    index = DigestIndex(documents.sparkSession)
-    return deduplicate(documents, index).select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+    return against_new_index(documents).select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
 def document_key(documents: DataFrame) -> Column:
@@ -94,8 +124,8 @@ def keep_first(documents: DataFrame, index: DigestIndex | None = None) -> DataFr
 
     Rows are told apart by doc_id and digest, so a row stays by its own verdict alone.
     """
-    index = index or DigestIndex(documents.sparkSession)
-    kept = deduplicate(documents, index).where("kept")
+    verdicts = deduplicate(documents, index) if index else against_new_index(documents)
+    kept = verdicts.where("kept")
     kept = kept.select(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "digest").alias("__key")).distinct()
     stay = documents.withColumn("__key", document_key(documents)).join(kept, "__key", "left_semi")
     # rows without an id are no repeats of each other
