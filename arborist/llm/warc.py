@@ -11,8 +11,11 @@ A response record holds an HTTP header and the payload; a revisit record holds t
 alone, whose Content-Length still tells the payload's size, and names the record it repeats.
 
 Defined cases: a null payload is empty; null ids and addresses are left out of the headers and
-read back as null; line breaks in addresses are percent-encoded; an empty table makes no archive
-file and reads back as no record; extra columns of the table written are not looked at.
+read back as null; line breaks in addresses are percent-encoded; repeated rows are records like
+any other; a very long payload is one record, held by the task that reads or writes it; a file is
+one partition however large, as a payload may hold the text of a header, and what is written here
+is cut at FILE_BYTES; an empty table makes no archive file and reads back as no record; extra
+columns of the table written are not looked at.
 """
 
 from __future__ import annotations
@@ -40,8 +43,6 @@ SCHEMA = (
 PARTITION_BYTES = 64 << 20
 FILE_BYTES = 256 << 20
 BATCH_BYTES = 16 << 20
-#: Groups of copies that are sent to all tasks if they are no more than this: about 10 MB.
-BROADCAST_ROWS = 100_000
 #: A header name for each column, as the WARC format has them.
 HEADERS = {
     "record_type": b"warc-type",
@@ -215,7 +216,7 @@ class WarcWriter(DataSourceWriter):
                     if out:
                         out.close()
                     paths.append(f"{root}/{self.temporary}/{uuid.uuid4().hex}.warc{".gz" if self.zipped else ""}")
-                    out, size = store.open_output_stream(paths[-1]), 0
+                    out, size = store.open_output_stream(paths[-1], compression=None), 0
                 record = gzip.compress(_record(row)) if self.zipped else _record(row)
                 out.write(record)
                 size += len(record)
@@ -266,15 +267,15 @@ def register(spark: SparkSession) -> None:
 def archived(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
     """The records of pages (page_id, url, html): copies of a payload revisit that of the largest page_id.
 
-    Copies are found by SHA-1 and size; only payloads of min_bytes or more count.
+    Copies are found by SHA-1 and size; only payloads of min_bytes or more count. Pages meet the
+    groups of copies by digest in a plain join: payloads are shuffled once, and a payload with a
+    third of all pages is split at run time.
     """
     payload = F.encode(text_of("html"), "UTF-8")
     rows = pages.select("page_id", "url", payload.alias("payload"))
     rows = rows.withColumns({"digest": F.sha1("payload"), "n": F.length("payload")})
     copies = rows.where(F.col("n") >= min_bytes).groupBy("digest", "n").agg(F.max("page_id").alias("first"), F.count("*").alias("copies"))
     copies = saved(copies.where("copies > 1").select("digest", "n", "first"))
-    if copies.count() <= BROADCAST_ROWS:  # else the pages' payloads are shuffled to meet them
-        copies = F.broadcast(copies)
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return rows.join(copies, ["digest", "n"], "left").select(
@@ -297,7 +298,7 @@ def op5(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     register(spark)
     path = shared_path(spark, "warc")
-    archived(pages).write.format("warc").mode("append").save(path)
+    archived(pages).write.format("warc").mode("append").option("compression", "gzip").save(path)
     page = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1)
     number = lambda c: F.when(page(c) != "", page(c).cast("long"))
     records = spark.read.format("warc").load(path)
