@@ -8,12 +8,13 @@ the mean until they don't, and go to the least loaded ones, a new shard included
 stay. Maps have a row for each virtual slot, a fixed number whatever the data.
 
 Records hash by doc_id and text together, so neither copies of a text nor repeats of an id meet
-in one slot. A row's place in its shard is the rows of the shard's earlier slots plus its place
+in one slot; rows that repeat in full hash by their row number too. A row's place in its shard is the rows of the shard's earlier slots plus its place
 in its own slot, so no shard is ever sorted in one task.
 
 Defined cases: a null text is empty (16 bytes); null and repeated doc_ids are records like others,
-and rows equal in doc_id and text take consecutive places; ties in bytes go by slot number, then
-by the lower shard; an empty table gives no row.
+and rows equal in doc_id and text are spread over slots like any other; ties in bytes go by slot
+number, then by the lower shard; a very long text is one record of its size; an empty table gives
+no row; columns of other names are not looked at.
 """
 
 from __future__ import annotations
@@ -28,11 +29,14 @@ OVERHEAD = 16
 
 
 def records(documents: DataFrame, virtual_slots: int = VIRTUAL_SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, virtual_slot of every row."""
+    """doc_id, size, text_crc32, row, virtual_slot of every row."""
     raw = F.encode(text_of(), "UTF-8")
-    return documents.select("doc_id", (F.length(raw) + OVERHEAD).cast("long").alias("size"), F.crc32(raw).alias("text_crc32")).withColumn(
-        "virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(virtual_slots)).cast("int")
-    )
+    rows = documents.select("doc_id", (F.length(raw) + OVERHEAD).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
+    rows = saved(rows.withColumns({"row": F.monotonically_increasing_id(), "hash": F.xxhash64("doc_id", "text_crc32", "size")}))
+    repeated = rows.groupBy("hash").count().where("count > 1").select("hash", F.lit(True).alias("repeated"))
+    salted = F.when(F.col("repeated"), F.xxhash64("hash", "row")).otherwise(F.col("hash"))
+    met = rows.join(repeated, "hash", "left").withColumn("virtual_slot", F.pmod(salted, F.lit(virtual_slots)).cast("int"))
+    return met.drop("hash", "repeated")
 
 
 def slot_bytes(rows: DataFrame, virtual_slots: int = VIRTUAL_SLOTS) -> DataFrame:
@@ -108,7 +112,7 @@ def assign(rows: DataFrame, slots: DataFrame, shard_of: DataFrame) -> DataFrame:
     """rows with shard and slot, their place in it (from 0, without gaps)."""
     before = F.sum("rows").over(Window.partitionBy("shard").orderBy("virtual_slot")) - F.col("rows")
     places = slots.join(shard_of, "virtual_slot").select("virtual_slot", "shard", before.alias("before"))
-    within = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size"))
+    within = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size", "row"))
     return rows.withColumn("place", within).join(F.broadcast(places), "virtual_slot").withColumn("slot", F.col("before") + F.col("place") - 1)
 
 
