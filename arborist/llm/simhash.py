@@ -2,23 +2,29 @@
 
 A fingerprint has a bit for each bit position that is set in over half of the XXH64 values of
 the text's 3-word shingles. Pairs within two bits are found through anchors: the codewords of
-the perfect binary Golay code of length 23 on each of two blocks of the fingerprint. Its covering
-radius is 3, so each block has exactly one codeword within 3 bits, and the pair of them is the
-fingerprint's home anchor. Fingerprints are replicated to every anchor within radius plus
-threshold that the home of a fingerprint two bits away can be: per block 3 + t1 and 3 + t2 bits
-with t1 + t2 <= 2. So if two fingerprints differ in at most two bits, each is replicated to the
-other's home; they are compared there, on all 64 bits. About 61 anchors per fingerprint and 2**24
-anchors, at every size. Equal fingerprints are one node throughout.
+the perfect binary Golay code of length 23 on each of two blocks of the fingerprint and, for large
+tables, those of the perfect Hamming code of length 15 on a third block. Their covering radii are
+3, 3 and 1, so each block has exactly one codeword within its radius, and the codewords of all
+blocks are the fingerprint's home anchor. Fingerprints are replicated to every anchor within radius
+plus threshold that the home of a fingerprint two bits away can be: per block radius + t bits, with
+the t of all blocks adding up to 2 at most. So if two fingerprints differ in at most two bits, each
+is replicated to the other's home; they are compared there, on all 64 bits, whatever the number of
+blocks. Two blocks give about 61 anchors a fingerprint out of 2**24, three about 250 out of 2**35:
+the third block is for tables so large that fingerprints would crowd at 2**24 anchors. Equal
+fingerprints are one node throughout.
 
 Defined cases: null and empty texts and texts of blanks have fingerprint zero and link like any
 other; texts of one or two words have one shingle, the whole sequence; a null doc_id counts as
 larger than any other and is component_id only of rows without another; repeated rows link as
-equal fingerprints do; an empty table gives no row.
+equal fingerprints do; a very long text is one row, its hashes are counted in pieces; an empty
+table gives no row. Columns of other names are not looked at by op9; keep_one carries them, and
+__key is its own.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -34,10 +40,59 @@ from .graph import components
 
 SHINGLE = 3
 THRESHOLD = 2
-#: The generator polynomial of the perfect Golay code and its length and radius.
-GENERATOR, BLOCK, RADIUS = 0b110001110101, 23, 3
-#: First bits of the two blocks in the fingerprint.
-BLOCKS = (0, 32)
+#: Fingerprints that meet at an anchor on average, above which a third block is used.
+CROWD = 8
+
+
+@dataclass(frozen=True)
+class Block:
+    """A perfect code on some bits of a fingerprint: its generator polynomial, length and radius,
+    and where the runs of bits begin and how long they are."""
+
+    generator: int
+    length: int
+    radius: int
+    runs: tuple[tuple[int, int], ...]
+
+    @property
+    def parities(self) -> int:
+        return self.generator.bit_length() - 1
+
+    def syndrome_of(self, word: int) -> int:
+        """The remainder of a word modulo the generator: zero for codewords alone."""
+        for bit in range(self.length - 1, self.parities - 1, -1):
+            if word >> bit & 1:
+                word ^= self.generator << (bit - self.parities)
+        return word
+
+    def bits(self, fp: Column) -> Column:
+        """The block's bits of a fingerprint."""
+        out, at = F.lit(0).cast("long"), 0
+        for first, length in self.runs:
+            out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << length) - 1)), at))
+            at += length
+        return out
+
+    def syndrome(self, block: Column) -> Column:
+        """The syndrome of a block: bit i is the parity of the block's bits whose own syndrome has bit i."""
+        own = [self.syndrome_of(1 << b) for b in range(self.length)]
+        out = F.lit(0)
+        for i in range(self.parities):
+            mask = sum(1 << b for b in range(self.length) if own[b] >> i & 1)
+            out = out.bitwiseOR(F.shiftleft(F.bit_count(block.bitwiseAND(F.lit(mask).cast("long"))).cast("int").bitwiseAND(F.lit(1)), i))
+        return out
+
+    def offsets(self, spark: SparkSession, within: int) -> DataFrame:
+        """syndrome, flip, far: all ways to reach a codeword by flipping at most `within` bits of a block.
+
+        A fixed table: the words of that weight, by their syndrome.
+        """
+        flips = ((far, sum(1 << b for b in bits)) for far in range(within + 1) for bits in combinations(range(self.length), far))
+        return spark.createDataFrame([(self.syndrome_of(flip), flip, far) for far, flip in flips], "syndrome int, flip long, far int")
+
+
+#: The generator polynomials of the perfect Golay and Hamming codes.
+BLOCKS = (Block(0b110001110101, 23, 3, ((0, 23),)), Block(0b110001110101, 23, 3, ((32, 23),)), Block(0b10011, 15, 1, ((23, 9), (55, 6))))
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _BITS = np.array([7 - i % 8 + i // 8 * 8 for i in range(64)])
@@ -74,52 +129,30 @@ def fingerprint(text: Column) -> Column:
     return _fingerprints(lower_az(text_of(text)))
 
 
-def _syndrome_of(word: int) -> int:
-    """The remainder of a block modulo the generator: zero for codewords alone."""
-    for bit in range(BLOCK - 1, 10, -1):
-        if word >> bit & 1:
-            word ^= GENERATOR << (bit - 11)
-    return word
-
-
-def offsets(spark: SparkSession, within: int) -> DataFrame:
-    """syndrome, flip, far: all ways to reach a codeword by flipping at most `within` bits of a block.
-
-    A fixed table: the words of that weight, by their syndrome.
-    """
-    rows = [(_syndrome_of(flip), flip, far) for far in range(within + 1) for flip in (sum(1 << b for b in bits) for bits in combinations(range(BLOCK), far))]
-    return spark.createDataFrame(rows, "syndrome int, flip long, far int")
-
-
-def _block(fp: Column, first: int) -> Column:
-    return F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << BLOCK) - 1))
-
-
-def _syndrome(block: Column) -> Column:
-    """The syndrome of a block: bit i is the parity of the block's bits whose own syndrome has bit i."""
-    own = [_syndrome_of(1 << b) for b in range(BLOCK)]
-    out = F.lit(0)
-    for i in range(11):
-        mask = sum(1 << b for b in range(BLOCK) if own[b] >> i & 1)
-        out = out.bitwiseOR(F.shiftleft(F.bit_count(block.bitwiseAND(F.lit(mask).cast("long"))).cast("int").bitwiseAND(F.lit(1)), i))
-    return out
-
-
-def anchored(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def anchored(nodes: DataFrame, threshold: int = THRESHOLD, blocks: int = 2) -> DataFrame:
     """fp, anchor, home: each fingerprint at all the anchors that it must be compared at."""
-    table = offsets(nodes.sparkSession, RADIUS + threshold)
-    first, second = (F.broadcast(table.select(*(F.col(c).alias(f"{c}{i}") for c in table.columns))) for i in (1, 2))
-    placed = nodes.select("fp", *(_block(F.col("fp"), b).alias(f"block{i}") for i, b in enumerate(BLOCKS, 1)))
-    placed = placed.withColumns({f"s{i}": _syndrome(F.col(f"block{i}")) for i in (1, 2)})
-    spare = sum(F.greatest(F.col(f"far{i}") - RADIUS, F.lit(0)) for i in (1, 2))
-    placed = placed.join(first, F.col("s1") == F.col("syndrome1")).join(second, (F.col("s2") == F.col("syndrome2")) & (spare <= threshold))
-    anchor = F.shiftleft(F.col("block1").bitwiseXOR(F.col("flip1")), BLOCK).bitwiseOR(F.col("block2").bitwiseXOR(F.col("flip2")))
-    return placed.select("fp", anchor.alias("anchor"), ((F.col("far1") <= RADIUS) & (F.col("far2") <= RADIUS)).alias("home"))
-
-
-def links(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """u, v: the pairs of different fingerprints within threshold bits; nodes holds each fp once."""
-    placed = anchored(nodes, threshold)
+    codes = BLOCKS[:blocks]
+    placed = nodes.select("fp", *(code.bits(F.col("fp")).alias(f"block{i}") for i, code in enumerate(codes)))
+    placed = placed.withColumns({f"s{i}": code.syndrome(F.col(f"block{i}")) for i, code in enumerate(codes)})
+    spare, anchor, home = F.lit(0), F.lit(0).cast("long"), F.lit(True)
+    for i, code in enumerate(codes):
+        table = code.offsets(nodes.sparkSession, code.radius + threshold)  # of a fixed size
+        spare = spare + F.greatest(F.col(f"far{i}") - code.radius, F.lit(0))
+        table = F.broadcast(table.select(*(F.col(c).alias(f"{c}{i}") for c in table.columns)))
+        placed = placed.join(table, (F.col(f"s{i}") == F.col(f"syndrome{i}")) & (spare <= threshold))
+        anchor = F.shiftleft(anchor, code.length).bitwiseOR(F.col(f"block{i}").bitwiseXOR(F.col(f"flip{i}")))
+        home = home & (F.col(f"far{i}") <= code.radius)
+    return placed.select("fp", anchor.alias("anchor"), home.alias("home"))
+
+
+def links(nodes: DataFrame, threshold: int = THRESHOLD, blocks: int | None = None) -> DataFrame:
+    """u, v: the pairs of different fingerprints within threshold bits; nodes holds each fp once.
+
+    The number of blocks, chosen by that of fingerprints if not given, changes the work alone.
+    """
+    if blocks is None:
+        blocks = 2 if nodes.count() * 61 <= CROWD << 24 else 3
+    placed = anchored(nodes, threshold, blocks)
     homes = placed.where("home").select(F.col("fp").alias("u"), "anchor")
     near = placed.select(F.col("fp").alias("v"), "anchor")
     apart = F.bit_count(F.col("u").bitwiseXOR(F.col("v")))

@@ -296,14 +296,17 @@ def test_every_pair_within_two_bits_meets(spark):
     base = [rng.getrandbits(64) for _ in range(40)]
     values = base + [b ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for b in base] + [b ^ (1 << 63) for b in base] + [b ^ 0b111 for b in base]
     signed = sorted({v - (1 << 64) if v >> 63 else v for v in values})
-    got = {(r.u, r.v) for r in simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long")).collect()}
     want = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 2}
-    assert got == want
+    nodes = spark.createDataFrame([(v,) for v in signed], "fp long")
+    for blocks in (None, 2, 3):
+        assert {(r.u, r.v) for r in simhash.links(nodes, blocks=blocks).collect()} == want
+    assert simhash.anchored(nodes, blocks=3).count() < 300 * len(signed)
 
 
 def test_the_code_is_perfect():
-    near = {simhash._syndrome_of(sum(1 << b for b in bits)) for k in range(4) for bits in simhash.combinations(range(23), k)}
-    assert len(near) == 2048
+    for code in simhash.BLOCKS:
+        words = [bits for k in range(code.radius + 1) for bits in simhash.combinations(range(code.length), k)]
+        assert len(words) == len({code.syndrome_of(sum(1 << b for b in bits)) for bits in words}) == 2**code.parities
 
 
 @pytest.mark.parametrize("which", ["docs", "table"])
