@@ -7,7 +7,9 @@ encodes each of its distinct words once, and the ids come back to the places the
 their blocks, where the documents' ids are read off; the blocks, written once into a bucketed
 table, don't move. So what is shuffled are distinct words of
 blocks, never occurrences; a word in every text costs one entry a block. The number of buckets
-follows the number of distinct words, so a bucket's memory is bounded like a block's.
+follows the number of distinct words, and each bucket is split by runs of at most about MET_BLOCKS
+blocks, so that the bucket of a word that all blocks have is bounded like any other: beyond so
+many blocks a word is encoded once in each run.
 
 Decoding. The ids join the table of id to piece (as many rows as the vocabulary, a fixed bound)
 and the pieces' bytes are put together.
@@ -17,7 +19,8 @@ don't know yet are split by the tokenizer itself, so both sides always agree.
 
 Defined cases: a null or empty text has no id and decodes to the empty text; special tokens in a
 text become their ids, as the tokenizer makes them; repeated rows and null doc_ids are rows like
-any other; an empty table gives no row; columns of other names are not looked at.
+any other; a very long text is a block of its own; an empty table gives no row; columns of other names
+are not looked at.
 """
 
 from __future__ import annotations
@@ -45,6 +48,7 @@ BLOCK_WORDS = 1_500_000
 SLICE = 256
 BUCKET_WORDS = 150_000
 BUCKETS = 256
+MET_BLOCKS = 2048
 #: White space as Unicode has it, and the words' pattern; both must equal the tokenizer's.
 _SPACE = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?(?:NOT_SPECIAL[^SPACE\p{L}\p{N}])+|BEFORE_SPECIAL[SPACE]+(?![^SPACE])|[SPACE]+"
@@ -213,21 +217,23 @@ def blocks(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 
 def encoded_words(block_rows: DataFrame, vocabulary: Vocabulary) -> tuple[DataFrame, int]:
-    """bucket, block, n, ids: the ids of each block's distinct words; and the number of buckets.
+    """bucket, run, block, n, ids: the ids of each block's distinct words; and the number of buckets.
 
-    A bucket has all entries of its words from all blocks and encodes each word once.
+    A bucket has all entries of its words from the blocks of one run and encodes each word once.
     """
-    wanted = block_rows.agg(F.sum("n_words")).first()[0] or 0
-    buckets = max(64, -(-wanted // BUCKET_WORDS))
+    whole = block_rows.agg(F.sum("n_words").alias("words"), F.count("*").alias("blocks")).first()
+    runs = max(1, -(-whole.blocks // MET_BLOCKS))
+    buckets = max(64, -(-(whole.words or 0) // (BUCKET_WORDS * runs)))
     shared = block_rows.sparkSession.sparkContext.broadcast(vocabulary)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, packed in zip(batch.column("block").to_pylist(), batch.column("words").to_pylist()):
                 words = _column(packed, "word")
+                run = zlib.crc32(block.encode()) % runs
                 for bucket, own in _dealt(words, buckets):
                     yield pa.RecordBatch.from_pydict(
-                        {"bucket": pa.array([bucket], pa.int32()), "block": [block], "words": [_squeezed(words.take(pa.array(own)))], "n": pa.array([len(own)], pa.int32())}
+                        {"bucket": pa.array([bucket], pa.int32()), "run": pa.array([run], pa.int32()), "block": [block], "words": [_squeezed(words.take(pa.array(own)))], "n": pa.array([len(own)], pa.int32())}
                     )
 
     def encode(rows: pa.Table) -> pa.Table:
@@ -239,10 +245,10 @@ def encoded_words(block_rows: DataFrame, vocabulary: Vocabulary) -> tuple[DataFr
             own = [made[place[w]] for w in words]
             counts = np.fromiter(map(len, own), "<u4", len(own))
             out.append(zlib.compress(counts.tobytes() + np.concatenate([np.asarray(x, "<u4") for x in own]).tobytes(), 1))
-        return pa.table({"bucket": rows.column("bucket"), "block": rows.column("block"), "n": rows.column("n"), "ids": pa.array(out, pa.binary())})
+        return pa.table({"bucket": rows.column("bucket"), "run": rows.column("run"), "block": rows.column("block"), "n": rows.column("n"), "ids": pa.array(out, pa.binary())})
 
-    asked = block_rows.select("block", "words").mapInArrow(deal, "bucket int, block string, words binary, n int")
-    return asked.groupBy("bucket").applyInArrow(encode, "bucket int, block string, n int, ids binary"), buckets
+    asked = block_rows.select("block", "words").mapInArrow(deal, "bucket int, run int, block string, words binary, n int")
+    return asked.groupBy("bucket", "run").applyInArrow(encode, "bucket int, run int, block string, n int, ids binary"), buckets
 
 
 def stored(block_rows: DataFrame) -> DataFrame:
@@ -258,7 +264,7 @@ def derived(documents: DataFrame, vocabulary: Vocabulary, derive: Callable[[pa.L
     """doc_id of every document, and the columns that derive makes of an array of documents' ids."""
     small_batches(documents.sparkSession)
     block_rows = stored(blocks(documents, vocabulary))
-    back = T.StructType([T.StructField("doc_id", documents.schema["doc_id"].dataType), *T._parse_datatype_string(columns).fields])
+    back = T.StructType([T.StructField("doc_id", documents.schema["doc_id"].dataType), *T.StructType.fromDDL(columns).fields])
 
     def read_off(texts: pa.Table, words: pa.Table) -> pa.Table:
         """Texts of one block and the ids of its words: the ids of its documents."""

@@ -13,8 +13,10 @@ Equal vectors of one label are one node with a count. Hash tables, probes and si
 work grows with the number of vectors and of those that share buckets.
 
 Defined cases: a null label, and vectors that are null, empty, zero or hold null or non-finite
-components, link with nothing, and neither do vectors of different lengths; repeated rows are
-equal vectors and link; null vec_ids count as larger than any other; an empty table gives no row.
+components, link with nothing, and neither do vectors of different lengths; labels may be of any
+type; repeated rows are equal vectors and link; null vec_ids count as larger than any other; very
+long vectors are hashed in memory of their own size times the hashes; an empty table gives no row;
+columns of other names are not looked at.
 """
 
 from __future__ import annotations
@@ -64,7 +66,7 @@ def buckets(vectors: np.ndarray) -> np.ndarray:
             top = np.argpartition(-np.abs(x), PROBES - 1, axis=1)[:, :PROBES]
             best[:, t] = 2 * top + (np.take_along_axis(x, top, axis=1) < 0)
         out = (out[:, :, :, None] * (2 * d) + best[:, :, None, :]).reshape(n, TABLES, -1)
-    return np.sort(out, axis=2)
+    return np.sort(out % (2**31 - 1), axis=2).astype(np.int32)  # buckets that fall together only meet more
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +81,7 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             norm = np.abs(vectors).max(axis=1, keepdims=True)  # so that no square overflows
             found = buckets(vectors / norm).reshape(len(at), -1)
             yield pa.RecordBatch.from_arrays(
-                [own.column("node"), own.column("label"), own.column("n"), own.column("embedding"), pa.array(list(found), pa.list_(pa.int64()))],
+                [own.column("node"), own.column("label"), own.column("n"), own.column("embedding"), pa.array(list(found), pa.list_(pa.int32()))],
                 names=["node", "label", "n", "embedding", "buckets"],
             )
 
@@ -167,8 +169,8 @@ def _in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def linked(nodes: DataFrame) -> DataFrame:
     """node, links, root of each node (node, label, n, embedding) in each bucket where it has links."""
-    bare = nodes.select("node", "label", "n", "embedding")
-    hashed = bare.mapInArrow(_hashed, T.StructType([*bare.schema.fields, T.StructField("buckets", T.ArrayType(T.LongType()))]))
+    bare = nodes.select("node", F.xxhash64("label").alias("label"), "n", "embedding")
+    hashed = bare.mapInArrow(_hashed, T.StructType([*bare.schema.fields, T.StructField("buckets", T.ArrayType(T.IntegerType()))]))
     a_table = PROBES**HASHES
     entries = saved(hashed).select("node", "n", "embedding", "label", "buckets", F.size("embedding").alias("width"), F.posexplode("buckets").alias("at", "bucket"))
     entries = entries.withColumn("table", F.floor(F.col("at") / a_table).cast("int")).drop("at")

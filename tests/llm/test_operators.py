@@ -445,3 +445,115 @@ def test_a_long_text_is_taken_in_pieces(monkeypatch):
     together = quality.margins(pa.array(texts), weights, 12)
     monkeypatch.undo()
     assert np.allclose(together, quality.margins(pa.array(texts), weights, 12))
+
+
+def test_bpe_of_many_blocks(docs, monkeypatch):
+    """Blocks of a few words, met in runs of two: the same ids."""
+    vocabulary = bpe.Vocabulary(tokenizer_path())
+    few = docs.where("length(text) < 1000")
+    want = Counter((r.doc_id, tuple(r.ids)) for r in bpe.encode(few, vocabulary).collect())
+    monkeypatch.setattr(bpe, "BLOCK_WORDS", 30)
+    monkeypatch.setattr(bpe, "SLICE", 4)
+    monkeypatch.setattr(bpe, "MET_BLOCKS", 2)
+    assert Counter((r.doc_id, tuple(r.ids)) for r in bpe.encode(few, vocabulary).collect()) == want
+
+
+def planted(rng, n, width, sparse=False):
+    """n pairs of vectors of cosine 0.98 or a little more."""
+    out = []
+    for _ in range(n):
+        a = rng.normal(size=width) * (rng.random(width) < 0.1 if sparse else 1)
+        a[rng.integers(width)] += 1
+        a /= np.linalg.norm(a)
+        b = rng.normal(size=width)
+        b -= (b @ a) * a
+        c = rng.uniform(0.9801, 0.985)
+        out += [a, c * a + (1 - c * c) ** 0.5 * b / np.linalg.norm(b)]
+    return out
+
+
+@pytest.mark.parametrize("width, sparse", [(8, False), (64, False), (64, True), (200, False)])
+def test_recall_of_buckets(width, sparse):
+    """Of pairs just above the threshold, how many share a bucket in some table."""
+    vectors = np.asarray(planted(np.random.default_rng(width), 1000, width, sparse))
+    found = embeddings.buckets(vectors)
+    a, b = found[0::2], found[1::2]
+    met = (a[:, :, :, None] == b[:, :, None, :]).any(axis=(1, 2, 3))
+    assert met.mean() >= 0.97
+
+
+def test_recall_of_planted_pairs(spark):
+    vectors = planted(np.random.default_rng(0), 300, 48)
+    rows = [(i, f"label {i // 2 % 3}", [float(x) for x in v]) for i, v in enumerate(vectors)]
+    got = {r.vec_id: r for r in embeddings.op6(spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")).collect()}
+    assert sum(got[i].n_links for i in got) >= 0.97 * len(rows)
+    assert all(got[i].component_id in (i, i - i % 2) for i in got)
+
+
+def test_shards_decide_the_mix(spark):
+    """Each shard is full; its counts are draws: they vary, and another seed gives others."""
+    sources = spark.createDataFrame([("a", 300_000, 450_000.0), ("b", 200_000, 100_000.0), (None, 100_000, 50_000.0)], "source string, source_size long, target double")
+    runs = [mixing.draws(sources, 100, 64, seed).collect() for seed in (1, 1, 2)]
+    shards = []
+    for run in runs:
+        counts = Counter((r.shard, r.source) for r in run)
+        sums = Counter(r.shard for r in run)
+        assert {n for s, n in sums.items() if s != max(sums)} == {64}
+        assert len({counts[(s, "a")] for s in sums}) > 5
+        assert len({(r.shard, r.place) for r in run}) == len(run) and len({(r.source, r["pass"], r.block) for r in run}) == len(run)
+        assert {s: sum(r.keep for r in run if r.source == s) for s in ("a", "b", None)} == {"a": 450_000, "b": 100_000, None: 50_000}
+        shards.append(counts)
+    assert shards[0] == shards[1] != shards[2]
+
+
+def test_rows_that_repeat_in_full_are_spread(spark):
+    rows = [(1, "the same text " * 10)] * 400 + [(i, "another text " * 10) for i in range(800)]
+    got = sharding.op8(spark.createDataFrame(rows, "doc_id long, text string"), 10).collect()
+    sizes = [sum(r.size for r in got if r.shard == s) for s in range(10)]
+    assert max(sizes) - min(sizes) <= max(r.size for r in got)
+
+
+def test_language_posterior_by_hand(spark):
+    """identify against the fusion written out page by page."""
+    s = langid.Settings()
+    texts = [("le chat et la souris dans la maison " * 3, "fr"), ("the cat and the mouse in the house " * 3, "en"), ("die katze und die maus im haus " * 3, "de")] * 4
+    model = langid.train(spark.createDataFrame([(None, t, lang) for t, lang in texts], "doc_id long, text string, lang string"))
+    assert model.languages == ["de", "en", "fr"]
+    urls = ["http://a.x.fr/", "https://a.x.fr/2", "http://b.x.fr", "http://c.y.com/", None, "http://c.y.com:80/q", "http://d.y.com/"]
+    rows = [(i, urls[i % 7], f'<html lang="{texts[i % 3][1]}">{texts[(i * i) % 3][0][: 40 + i]}<script>the the') for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    clues = {r.page_id: r for r in langid.clues(pages, model, s).collect()}
+    soft = lambda x: np.exp(np.asarray(x) - max(x)) / np.exp(np.asarray(x) - max(x)).sum()
+    p = {i: soft(r.logs) for i, r in clues.items()}
+    mass = sum(p.values()) + s.smoothing
+    for r in langid.identify(pages, model, s).collect():
+        own, clue = p[r.page_id], clues[r.page_id]
+        rest = mass - own
+        post, mixed = np.asarray(clue.logs, float), rest / rest.sum()
+        for by in ("declared", "suffix", "domain", "host"):
+            if clue[by] is None:
+                continue
+            same = [i for i, c in clues.items() if c[by] == clue[by]]
+            others = sum((p[i] for i in same if i != r.page_id), np.zeros(3))
+            if by in ("declared", "suffix"):
+                post = post + np.log((others + s.strength * len(same) / len(rows)) / (rest + s.strength))
+            else:
+                mixed = (others + s.strength * mixed) / (len(same) - 1 + s.strength)
+        want = soft(post + np.log(mixed))
+        assert r.lang == model.languages[int(want.argmax())] and r.confidence == pytest.approx(want.max(), rel=1e-6)
+
+
+def test_trigrams_of_a_long_text(monkeypatch):
+    import pyarrow as pa
+
+    texts = pa.array(["", "Un  chat!! et", "é" * 40 + " 12 " + "zz " * 30, "a", "1 2 3"])
+    sums = lambda: Counter((int(b), int(o)) for bs, os in langid._trigrams(texts) for b, o in zip(bs, os))
+    whole = sums()
+    monkeypatch.setattr(langid, "_CHUNK", 7)
+    assert sums() == whole
+
+
+def test_unclosed_markup_hides_the_rest(spark):
+    rows = [("a<script>b",), ("a<!-- b",), ("<p>a</p><b <i>c",), ("<script " * 20000,), ("x<style>y</style>z",)]
+    got = [r.t.split() for r in spark.createDataFrame(rows, "html string").select(langid.visible(F.col("html")).alias("t")).collect()]
+    assert got == [["a"], ["a"], ["a", "c"], [], ["x", "z"]]
