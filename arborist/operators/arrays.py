@@ -103,10 +103,10 @@ def _doubles(values: pa.Array) -> Array:
     return values.cast(pa.float64()).to_numpy(zero_copy_only=False)
 
 
-def _points(block: pa.Array) -> tuple[Array, Array, Array]:
+def points_of(block: pa.Array) -> tuple[Array, Array, Array]:
     """x (a row a point), y and whether y is there, of one block."""
     x = block.field("x")
-    width = max([*(len(v) for v in x), 0]) if x.null_count == 0 else max([len(v.as_py() or ()) for v in x], default=0)
+    width = int(np.diff(x.offsets.to_numpy()).max(initial=0)) if x.null_count == 0 else max([len(v.as_py() or ()) for v in x], default=0)
     if x.null_count == 0 and len(x.flatten()) == width * len(x):
         matrix = _doubles(x.flatten()).reshape(len(x), width)
     else:
@@ -120,10 +120,19 @@ def _points(block: pa.Array) -> tuple[Array, Array, Array]:
 def predictions(nodes: pa.Array, c: pa.Array, block: pa.Array) -> pa.Array:
     """The tree's value at each point of the block."""
     with np.errstate(all="ignore"):
-        out = [value(n, _points(b.values)[0], np.array(k, dtype=float)) for n, k, b in zip(nodes.to_pylist(), c.to_pylist(), block)]
+        out = [value(n, points_of(b.values)[0], np.array(k, dtype=float)) for n, k, b in zip(nodes.to_pylist(), c.to_pylist(), block)]
     return pa.array([v.tolist() for v in out], pa.list_(pa.float64()))
 
 
+def numbers(nodes: list[dict], c: Array, points: tuple[Array, Array, Array], jacobian: str) -> tuple[float, Array, Array]:
+    """loss, jtj and jtr of a tree over all points of its problem, as the passes over blocks add them up."""
+    x, y, there = points
+    yh, j = (slopes if jacobian == "reverse" else differences)(nodes, x, c)
+    r = yh - y
+    loss = 0.5 * float((r[there] ** 2).sum()) if np.isfinite(yh).all() else float("inf")
+    return loss, j @ j.T, j[:, there] @ r[there]
+
+
 def sums(nodes: Column, c: Column, block: Column, jacobian: str) -> Column:
     """Half the squared residuals, predictions that aren't finite, then the sums of the derivatives'
     products with the residual (K) and each other (upper triangle by rows)."""
@@ -134,7 +143,7 @@ def sums(nodes: Column, c: Column, block: Column, jacobian: str) -> Column:
         out = []
         with np.errstate(all="ignore"):
             for n, k, b in zip(nodes.to_pylist(), c.to_pylist(), block):
-                x, y, there = _points(b.values)
+                x, y, there = points_of(b.values)
                 yh, j = run(n, x, np.array(k, dtype=float))
                 r, fine = yh - y, np.isfinite(yh)
                 # point by point products, so that inf and 0 meet as they do in columns

@@ -1,15 +1,18 @@
 """Fitting every tree's own constants at once: batched Levenberg-Marquardt as Spark jobs.
 
-Each round is one pass over the points: trees join the points of their problem, predictions and
-the reverse-mode derivatives by each constant are columns in generated code, and their products
-are summed by tree, with partial sums before the shuffle. So a problem with a third of all points
-is no single task, and no tree is padded to another's number of constants. What is left per tree
-is a K by K solve on a few numbers. Trees that have ended are left out of later rounds.
+Two plans, one schedule. A problem of up to LOCAL_POINTS points is gathered once, each of its trees
+meets it in one row, and a task runs the whole fit of a tree over numpy arrays; problems with many
+trees are spread over tasks. A larger problem is fitted in rounds, each one pass over the points:
+trees join the points of their problem, predictions and the derivatives by each constant are
+columns in generated code, and their products are summed by tree, with partial sums before the
+shuffle, so a problem with a third of all points is no single task. Compiled trees then carry as
+many slopes as the widest of them. Trees that have ended are left out of later rounds. What is left
+per tree is a K by K solve on a few numbers.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +29,8 @@ from .scoring import few_structures, half_sse
 #: Statuses of a fit.
 CONVERGED, MAXITER, FAIL_NAN, K0_SKIP, FAIL_CHOLESKY = range(5)
 LAMBDA0, LAMBDA_MIN, LAMBDA_MAX, XTOL = 1e-3, 1e-12, 1e12, 1e-6
+#: Points of a problem up to which a task fits a tree by itself, and trees of a problem that meet it in one place.
+LOCAL_POINTS, LOCAL_TREES = 8192, 4096
 
 
 def gradient(tree: t.Tree, x: Callable[[int], Column], c: Callable[[int], Column], weight: Column | float = 1.0) -> dict[int, Column]:
@@ -58,11 +63,16 @@ def gradient(tree: t.Tree, x: Callable[[int], Column], c: Callable[[int], Column
 class Options:
     """jacobian: "reverse" derivatives, or "forward" differences of relative step 1e-3 (an ablation).
     damping: "relative" scales the diagonal by 1 + lambda, "absolute" adds lambda to it.
-    pivot_floor: added to the diagonal before the solve (0 in the standard form)."""
+    pivot_floor: added to the diagonal before the solve (0 in the standard form).
+    order: "improve" takes a step only if the loss doesn't grow, and only then asks whether it was
+    small; "step" asks first and takes a small step even uphill (the ablation that claims too much).
+    plan: "tasks" or "rounds" whatever the sizes, or "size", which chooses for each problem."""
 
     jacobian: str = "reverse"
     damping: str = "relative"
     pivot_floor: float = 0.0
+    order: str = "improve"
+    plan: str = "size"
 
 
 def square(upper: list[float], k: int) -> np.ndarray:
@@ -72,27 +82,65 @@ def square(upper: list[float], k: int) -> np.ndarray:
     return matrix + np.triu(matrix, 1).T
 
 
+def solved(matrix: np.ndarray, down: np.ndarray, damping: float, options: Options) -> np.ndarray | None:
+    """The damped normal step of one tree, None where the matrix isn't positive definite."""
+    damped, diagonal = matrix.copy(), np.diag_indices(len(down))
+    damped[diagonal] = (matrix[diagonal] * (1 + damping) if options.damping == "relative" else matrix[diagonal] + damping) + options.pivot_floor
+    try:
+        low = np.linalg.cholesky(damped)
+    except np.linalg.LinAlgError:
+        return None
+    return -np.linalg.solve(low.T, np.linalg.solve(low, down))
+
+
 def damped_step(jtj: Column, jtr: Column, damping: Column, options: Options = Options()) -> Column:
     """The damped normal step of each tree, null where the matrix isn't positive definite."""
-    relative, floor = options.damping == "relative", options.pivot_floor
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def steps(jtj: pa.Array, jtr: pa.Array, damping: pa.Array) -> pa.Array:
-        out = []
-        for a, g, lam in zip(jtj.to_pylist(), jtr.to_pylist(), damping.to_pylist()):
-            matrix = square(a, len(g))
-            diagonal = np.diag_indices(len(g))
-            matrix[diagonal] = (matrix[diagonal] * (1 + lam) if relative else matrix[diagonal] + lam) + floor
-            try:
-                low = np.linalg.cholesky(matrix)
-                out.append((-np.linalg.solve(low.T, np.linalg.solve(low, np.asarray(g)))).tolist())
-            except np.linalg.LinAlgError:
-                out.append(None)
-        return pa.array(out, pa.list_(pa.float64()))
+        rows = zip(jtj.to_pylist(), jtr.to_pylist(), damping.to_pylist())
+        out = (solved(square(a, len(g)), np.asarray(g), lam, options) for a, g, lam in rows)
+        return pa.array([None if step is None else step.tolist() for step in out], pa.list_(pa.float64()))
 
     return steps(jtj, jtr, damping)
 
 
+def fit_one(nodes: list[dict], c: np.ndarray, points: tuple[np.ndarray, np.ndarray, np.ndarray], max_iter: int, options: Options) -> tuple:
+    """c_final, status, n_iter, loss_init, loss_final of one tree over its points: the schedule.
+
+    A step that can't be solved for or that is uphill raises lambda; beyond LAMBDA_MAX the fit has
+    failed. A step to a loss that isn't finite ends it as failed. A step that is taken and small
+    ends it as converged, and no other does.
+    """
+    loss, jtj, jtr = arrays.numbers(nodes, c, points, options.jacobian)
+    first, damping = loss, LAMBDA0
+    if not np.isfinite(loss):
+        return c, FAIL_NAN, 0, first, loss
+    for i in range(1, max_iter + 1):
+        step = solved(jtj, jtr, damping, options)
+        if step is None:
+            damping *= 10
+            if damping > LAMBDA_MAX:
+                return c, FAIL_CHOLESKY, i, first, loss
+            continue
+        there = c + step
+        t_loss, t_jtj, t_jtr = arrays.numbers(nodes, there, points, options.jacobian)
+        if not np.isfinite(t_loss):
+            return c, FAIL_NAN, i, first, loss
+        small = np.linalg.norm(step) < XTOL * (np.linalg.norm(there) + XTOL)
+        better = t_loss <= loss
+        if better or (small and options.order == "step"):
+            c, loss, jtj, jtr = there, t_loss, t_jtj, t_jtr
+            if small:
+                return c, CONVERGED, i, first, loss
+            damping = max(damping * 0.1, LAMBDA_MIN)
+        else:
+            damping *= 10
+            if damping > LAMBDA_MAX:
+                return c, FAIL_NAN, i, first, loss
+    return c, MAXITER, max_iter, first, loss
+
+
 def differences(tree: t.Tree, x: Callable[[int], Column], c: Callable[[int], Column], k: int) -> dict[int, Column]:
     """Forward differences by each of k constants, divided by the step that is really taken."""
     here, out = t.compiled(tree, x, c), {}
@@ -140,19 +188,41 @@ def pass_over(state: DataFrame, points: DataFrame, known: list[tuple[str, t.Tree
     return sums.select("tree_id", "loss", F.array_compact(upper).alias("jtj"), F.array_compact(down).alias("jtr"))
 
 
-def fit(population: DataFrame, points: DataFrame, max_iter: int = 50, save: Callable[[DataFrame], DataFrame] | None = None, options: Options = Options()) -> DataFrame:
-    """tree_id, c_final, status, n_iter, loss_init, loss_final.
+_DONE = ["tree_id", "c_final", "status", "n_iter", "loss_init", "loss_final"]
 
-    An uphill step is never taken; a step below XTOL relative to the constants, or a gain of
-    nothing, ends a fit as converged; trees without constants are passed by (status 3). save cuts
-    the lineage between rounds.
-    """
-    save = save or (lambda df: df.checkpoint())
-    known = few_structures(population)
+
+def fit_in_tasks(some: DataFrame, points: DataFrame, max_iter: int, options: Options, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The fits of some (tree_id, problem_id, nodes, c), each in one task; problems of few points alone."""
+    arrays.small_batches(some)
+    counts = save(some.groupBy("problem_id").agg(F.ceil(F.count("*") / LOCAL_TREES).alias("parts")))
+    gathered = points.groupBy("problem_id").agg(F.collect_list(F.struct("x", "y")).alias("block")).join(counts, "problem_id")
+    blocks = gathered.select("problem_id", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    placed = some.join(counts, "problem_id").withColumn("part", F.pmod(F.xxhash64("tree_id"), F.col("parts"))).drop("parts")
+    spark = some.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # by number, so that small tables aren't put together into one task
+    met = placed.repartition(tasks, "problem_id", "part").join(blocks.repartition(tasks, "problem_id", "part"), ["problem_id", "part"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(batch.column("nodes").to_pylist(), batch.column("c").to_pylist(), batch.column("block"))
+            with np.errstate(all="ignore"):
+                done = [fit_one(n, np.array(c, dtype=float), arrays.points_of(b.values), max_iter, options) for n, c, b in rows]
+            c, status, n_iter, first, last = zip(*done) if done else ((),) * 5
+            columns = [batch.column("tree_id"), pa.array([v.tolist() for v in c], pa.list_(pa.float64())), pa.array(status, pa.int32()), pa.array(n_iter, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(first, pa.float64()), pa.array(last, pa.float64())], names=_DONE)
+
+    kinds = [T.ArrayType(T.DoubleType()), T.IntegerType(), T.IntegerType(), T.DoubleType(), T.DoubleType()]
+    schema = T.StructType([some.schema["tree_id"], *(T.StructField(name, kind) for name, kind in zip(_DONE[1:], kinds))])
+    return save(met.select("tree_id", "nodes", "c", "block").mapInArrow(run, schema))
+
+
+def fit_in_rounds(some: DataFrame, points: DataFrame, max_iter: int, options: Options, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The fits of some (tree_id, problem_id, nodes, c), a pass over the points each round."""
+    known = few_structures(some)
     # with too many structures to compile, the trees' nodes are the data
     structure = F.sha2(F.to_json("nodes"), 256) if known is not None else F.col("nodes")
-    base = population.withColumn("structure", structure).select("tree_id", "problem_id", "structure", "c")
-    some = base.where(F.size("c") > 0)
+    some = some.withColumn("structure", structure).drop("nodes")
     if known is not None:
         over = lambda rows: pass_over(rows, points, known, options)
     else:
@@ -163,6 +233,7 @@ def fit(population: DataFrame, points: DataFrame, max_iter: int = 50, save: Call
         {"lambda": F.lit(LAMBDA0), "n_iter": F.lit(0), "loss_init": F.col("loss"), "status": F.when(~is_finite(F.col("loss")), F.lit(FAIL_NAN))}
     )
     state = save(state)
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda m, a: m + a * a))
     for _ in range(max_iter):
         if state.where("status is null").limit(1).count() == 0:
             break
@@ -171,25 +242,53 @@ def fit(population: DataFrame, points: DataFrame, max_iter: int = 50, save: Call
         tried = over(trial.where("step is not null"))
         tried = tried.select("tree_id", F.col("loss").alias("t_loss"), F.col("jtj").alias("t_jtj"), F.col("jtr").alias("t_jtr"))
         met = trial.join(tried, "tree_id", "left")
-        better = F.coalesce(is_finite(F.col("t_loss")) & (F.col("t_loss") <= F.col("loss")), F.lit(False))
-        moved = F.aggregate(F.zip_with("step", "c", lambda d, a: F.abs(d) / (F.abs(a) + XTOL)), F.lit(0.0), lambda m, v: F.greatest(m, v))
-        damped = F.when(better, F.greatest(F.col("lambda") * 0.1, F.lit(LAMBDA_MIN))).otherwise(F.col("lambda") * 10)
-        # a step too small to matter ends a fit, taken or not: rounding alone can make it look uphill
-        still = F.coalesce(moved < XTOL, F.lit(False)) | (better & (F.col("loss") - F.col("t_loss") <= 1e-14 * F.col("loss")))
-        ended = F.when(still, F.lit(CONVERGED)).when(
-            damped > LAMBDA_MAX, F.when(F.col("step").isNull(), F.lit(FAIL_CHOLESKY)).otherwise(F.lit(CONVERGED))
+        fine = F.coalesce(is_finite(F.col("t_loss")), F.lit(False))
+        small = F.coalesce(norm(F.col("step")) < XTOL * (norm(F.col("at")) + XTOL), F.lit(False))
+        taken = fine & (F.col("t_loss") <= F.col("loss"))
+        if options.order == "step":
+            taken = fine & ((F.col("t_loss") <= F.col("loss")) | small)
+        damped = F.when(taken, F.greatest(F.col("lambda") * 0.1, F.lit(LAMBDA_MIN))).otherwise(F.col("lambda") * 10)
+        unsolved = F.col("step").isNull()
+        ended = (
+            F.when(unsolved, F.when(damped > LAMBDA_MAX, F.lit(FAIL_CHOLESKY)))
+            .when(~fine, F.lit(FAIL_NAN))
+            .when(taken, F.when(small, F.lit(CONVERGED)))
+            .when(damped > LAMBDA_MAX, F.lit(FAIL_NAN))
         )
-        pick = lambda new, old: F.when(better, F.col(new)).otherwise(F.col(old))
+        pick = lambda new, old: F.when(taken, F.col(new)).otherwise(F.col(old))
         went = met.select(
             "tree_id", "problem_id", "structure", pick("at", "c").alias("c"), pick("t_loss", "loss").alias("loss"), pick("t_jtj", "jtj").alias("jtj"),
             pick("t_jtr", "jtr").alias("jtr"), damped.alias("lambda"), (F.col("n_iter") + 1).alias("n_iter"), "loss_init", ended.alias("status"),
         )
         state = save(went.unionByName(state.where("status is not null").select(*went.columns)))
-    done = state.select(
+    return state.select(
         "tree_id", F.col("c").alias("c_final"), F.coalesce("status", F.lit(MAXITER)).alias("status"), "n_iter", "loss_init", F.col("loss").alias("loss_final")
     )
+
+
+def fit(population: DataFrame, points: DataFrame, max_iter: int = 50, save: Callable[[DataFrame], DataFrame] | None = None, options: Options = Options()) -> DataFrame:
+    """tree_id, c_final, status, n_iter, loss_init, loss_final.
+
+    An uphill step is never taken; trees without constants are passed by (status 3). save keeps
+    what is computed and cuts the lineage.
+    """
+    save = save or (lambda df: df.checkpoint())
+    base = population.select("tree_id", "problem_id", "nodes", "c")
+    some = base.where(F.size("c") > 0)
+    large = None
+    if options.plan == "size":
+        large = save(points.groupBy("problem_id").count().where(F.col("count") > LOCAL_POINTS).select("problem_id"))
+        large = large if large.limit(1).count() else None
+    if options.plan == "rounds":
+        done = fit_in_rounds(some, points, max_iter, options, save)
+    elif large is None:
+        done = fit_in_tasks(some, points, max_iter, options, save)
+    else:
+        apart = lambda how: (some.join(large, "problem_id", how), points.join(large, "problem_id", how))
+        done = fit_in_tasks(*apart("left_anti"), max_iter, options, save).unionByName(fit_in_rounds(*apart("left_semi"), max_iter, options, save))
+    none = F.lit(None).cast("double")
     without = base.where(F.size("c") == 0).select(
-        "tree_id", F.col("c").alias("c_final"), F.lit(K0_SKIP).alias("status"), F.lit(0).alias("n_iter"), F.lit(None).cast("double").alias("loss_init"), F.lit(None).cast("double").alias("loss_final")
+        "tree_id", F.col("c").alias("c_final"), F.lit(K0_SKIP).alias("status"), F.lit(0).alias("n_iter"), none.alias("loss_init"), none.alias("loss_final")
     )
     return done.unionByName(without)
 

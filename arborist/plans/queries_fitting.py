@@ -89,7 +89,7 @@ def y08_numeric_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_OLS + """SELECT shape, CASE shape WHEN 0 THEN '(c0 + (c1 * x0))' WHEN 1 THEN '(c0 * (x0 ^ c1))' WHEN 2 THEN '(c0 + ((c1 * x0) + (c2 * (x0 * x0))))' WHEN 3 THEN '((c0 * exp(neg((c1 * x0)))) + c2)'
   WHEN 4 THEN '(c0 / (x0 + c1))' WHEN 5 THEN '((c0 * sin((c1 * x1))) + c2)' WHEN 6 THEN '((c0 * log((x1 + x2))) + c1)' ELSE '(x0 + x1)' END AS infix,
-  CAST(CASE shape WHEN 1 THEN 1 WHEN 3 THEN 1 WHEN 4 THEN 2 WHEN 5 THEN 1 ELSE 0 END AS INTEGER) AS inner_, CAST(count(*) AS BIGINT) AS n FROM trees GROUP BY ALL""")
+  CAST(CASE shape WHEN 1 THEN 1 WHEN 3 THEN 1 WHEN 4 THEN 1 WHEN 5 THEN 1 ELSE 0 END AS INTEGER) AS inner_, CAST(count(*) AS BIGINT) AS n FROM trees GROUP BY ALL""")
 def t07_y03_read_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Infix texts and inner constants of all trees."""
     rows = p.trees(spark, sf_dir).withColumn("out", search.read_out("nodes"))

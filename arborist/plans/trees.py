@@ -159,14 +159,28 @@ def canonical(tree: Tree) -> Tree:
     return renamed(ordered(tree))
 
 
-def inner_constants(tree: Tree, inside: bool = False) -> int:
-    """Constants below an operator other than + - and * with a constant-free factor."""
-    if tree.op == "c":
-        return int(inside)
-    if tree.op == "x":
-        return 0
-    deeper = inside or tree.op not in ("ADD", "SUB", "MUL", "NEG")
-    return sum(inner_constants(a, deeper) for a in tree.args)
+def has_variable(tree: Tree) -> bool:
+    return tree.op == "x" or tree.op != "c" and any(map(has_variable, tree.args))
+
+
+def inner_constants(tree: Tree) -> int:
+    """How many constants stand where a variable makes them nonlinear: in a power, a denominator or
+    the operand of a function that holds a variable too. Sums and products alone make none."""
+    found: set[int] = set()
+
+    def walk(t: Tree, inner: bool) -> None:
+        if t.op == "c":
+            found.update(t.args if inner else ())
+        elif t.op in ("DIV", "LOOSE_DIV"):  # the denominator is a power
+            walk(t.args[0], inner)
+            walk(t.args[1], inner or has_variable(t.args[1]))
+        elif t.op != "x":
+            plain = t.op in ("ADD", "SUB", "MUL", "NEG", "LT", "GT", "LE", "GE")
+            for a in t.args:
+                walk(a, inner or not plain and has_variable(t))
+
+    walk(tree, False)
+    return len(found)
 
 
 # ---- structure, as columns over arrays of nodes
