@@ -66,13 +66,17 @@ class Options:
     pivot_floor: added to the diagonal before the solve (0 in the standard form).
     order: "improve" takes a step only if the loss doesn't grow, and only then asks whether it was
     small; "step" asks first and takes a small step even uphill (the ablation that claims too much).
-    plan: "tasks" or "rounds" whatever the sizes, or "size", which chooses for each problem."""
+    plan: "tasks" or "rounds" whatever the sizes, or "size", which chooses for each problem.
+    xtol: the relative step that counts as small.
+    method: "lm", or in tasks "bfgs", which minimises the mean square by its gradient alone."""
 
     jacobian: str = "reverse"
     damping: str = "relative"
     pivot_floor: float = 0.0
     order: str = "improve"
     plan: str = "size"
+    xtol: float = XTOL
+    method: str = "lm"
 
 
 def square(upper: list[float], k: int) -> np.ndarray:
@@ -88,9 +92,9 @@ def solved(matrix: np.ndarray, down: np.ndarray, damping: float, options: Option
     damped[diagonal] = (matrix[diagonal] * (1 + damping) if options.damping == "relative" else matrix[diagonal] + damping) + options.pivot_floor
     try:
         low = np.linalg.cholesky(damped)
+        return -np.linalg.solve(low.T, np.linalg.solve(low, down))
     except np.linalg.LinAlgError:
         return None
-    return -np.linalg.solve(low.T, np.linalg.solve(low, down))
 
 
 def damped_step(jtj: Column, jtr: Column, damping: Column, options: Options = Options()) -> Column:
@@ -127,7 +131,7 @@ def fit_one(nodes: list[dict], c: np.ndarray, points: tuple[np.ndarray, np.ndarr
         t_loss, t_jtj, t_jtr = arrays.numbers(nodes, there, points, options.jacobian)
         if not np.isfinite(t_loss):
             return c, FAIL_NAN, i, first, loss
-        small = np.linalg.norm(step) < XTOL * (np.linalg.norm(there) + XTOL)
+        small = np.linalg.norm(step) < options.xtol * (np.linalg.norm(there) + options.xtol)
         better = t_loss <= loss
         if better or (small and options.order == "step"):
             c, loss, jtj, jtr = there, t_loss, t_jtj, t_jtr
@@ -151,6 +155,16 @@ def differences(tree: t.Tree, x: Callable[[int], Column], c: Callable[[int], Col
     return out
 
 
+def central(tree: t.Tree, x: Callable[[int], Column], c: Callable[[int], Column], k: int, relative: float = 1e-6) -> dict[int, Column]:
+    """Central differences by each of k constants."""
+    out = {}
+    for i in range(k):
+        h = relative * F.greatest(F.abs(c(i)), F.lit(1.0))
+        up, down = (t.compiled(tree, x, lambda j, i=i, s=s, h=h: c(j) + s * h if j == i else c(j)) for s in (1, -1))
+        out[i] = (up - down) / (2 * h)
+    return out
+
+
 @F.arrow_udf(T.StructType([T.StructField("rank", T.IntegerType()), T.StructField("condition", T.DoubleType())]))
 def conditioning(jtj: pa.Array, k: pa.Array) -> pa.Array:
     """Numeric rank (1e-12 of the largest eigenvalue) and condition number of each normal matrix."""
@@ -188,12 +202,45 @@ def pass_over(state: DataFrame, points: DataFrame, known: list[tuple[str, t.Tree
     return sums.select("tree_id", "loss", F.array_compact(upper).alias("jtj"), F.array_compact(down).alias("jtr"))
 
 
+def minimise_one(nodes: list[dict], c: np.ndarray, points: tuple[np.ndarray, np.ndarray, np.ndarray], max_iter: int, options: Options) -> tuple:
+    """As fit_one by BFGS: an inverse Hessian from gradients, steps halved until the loss falls enough.
+
+    Converged if the gradient is small, or if no step along it lowers the loss after some did.
+    """
+    n = max(int(points[2].sum()), 1)
+    loss, _, down = arrays.numbers(nodes, c, points, options.jacobian)
+    first, inverse, slope = loss, np.eye(len(c)), 2 * down / n
+    if not np.isfinite(loss) or not np.isfinite(slope).all():
+        return c, FAIL_NAN, 0, first, loss
+    for i in range(1, max_iter + 1):
+        if np.abs(slope).max() < 1e-8:
+            return c, CONVERGED, i - 1, first, loss
+        way = -inverse @ slope
+        if way @ slope >= 0:
+            inverse, way = np.eye(len(c)), -slope
+        for halving in range(40):
+            step = way * 0.5**halving
+            t_loss, _, t_down = arrays.numbers(nodes, c + step, points, options.jacobian)
+            if np.isfinite(t_loss) and np.isfinite(t_down).all() and t_loss <= loss + 1e-4 * n / 2 * (slope @ step):
+                break
+        else:
+            return c, CONVERGED if loss < first else FAIL_NAN, i, first, loss
+        change = 2 * t_down / n - slope
+        c, loss, slope = c + step, t_loss, slope + change
+        bend = step @ change
+        if bend > 1e-300:
+            turn = np.eye(len(c)) - np.outer(step, change) / bend
+            inverse = turn @ inverse @ turn.T + np.outer(step, step) / bend
+    return c, MAXITER, max_iter, first, loss
+
+
 _DONE = ["tree_id", "c_final", "status", "n_iter", "loss_init", "loss_final"]
 
 
 def fit_in_tasks(some: DataFrame, points: DataFrame, max_iter: int, options: Options, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The fits of some (tree_id, problem_id, nodes, c), each in one task; problems of few points alone."""
     arrays.small_batches(some)
+    one = fit_one if options.method == "lm" else minimise_one
     counts = save(some.groupBy("problem_id").agg(F.ceil(F.count("*") / LOCAL_TREES).alias("parts")))
     gathered = points.groupBy("problem_id").agg(F.collect_list(F.struct("x", "y")).alias("block")).join(counts, "problem_id")
     blocks = gathered.select("problem_id", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
@@ -207,7 +254,7 @@ def fit_in_tasks(some: DataFrame, points: DataFrame, max_iter: int, options: Opt
         for batch in batches:
             rows = zip(batch.column("nodes").to_pylist(), batch.column("c").to_pylist(), batch.column("block"))
             with np.errstate(all="ignore"):
-                done = [fit_one(n, np.array(c, dtype=float), arrays.points_of(b.values), max_iter, options) for n, c, b in rows]
+                done = [one(n, np.array(c, dtype=float), arrays.points_of(b.values), max_iter, options) for n, c, b in rows]
             c, status, n_iter, first, last = zip(*done) if done else ((),) * 5
             columns = [batch.column("tree_id"), pa.array([v.tolist() for v in c], pa.list_(pa.float64())), pa.array(status, pa.int32()), pa.array(n_iter, pa.int32())]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(first, pa.float64()), pa.array(last, pa.float64())], names=_DONE)
@@ -243,7 +290,7 @@ def fit_in_rounds(some: DataFrame, points: DataFrame, max_iter: int, options: Op
         tried = tried.select("tree_id", F.col("loss").alias("t_loss"), F.col("jtj").alias("t_jtj"), F.col("jtr").alias("t_jtr"))
         met = trial.join(tried, "tree_id", "left")
         fine = F.coalesce(is_finite(F.col("t_loss")), F.lit(False))
-        small = F.coalesce(norm(F.col("step")) < XTOL * (norm(F.col("at")) + XTOL), F.lit(False))
+        small = F.coalesce(norm(F.col("step")) < options.xtol * (norm(F.col("at")) + options.xtol), F.lit(False))
         taken = fine & (F.col("t_loss") <= F.col("loss"))
         if options.order == "step":
             taken = fine & ((F.col("t_loss") <= F.col("loss")) | small)
@@ -273,6 +320,8 @@ def fit(population: DataFrame, points: DataFrame, max_iter: int = 50, save: Call
     what is computed and cuts the lineage.
     """
     save = save or (lambda df: df.checkpoint())
+    if options.method != "lm" and options.plan != "tasks":
+        raise ValueError("only Levenberg-Marquardt has a plan in rounds; ask for the one in tasks")
     base = population.select("tree_id", "problem_id", "nodes", "c")
     some = base.where(F.size("c") > 0)
     large = None

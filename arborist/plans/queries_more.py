@@ -57,21 +57,33 @@ def m03_m05_conditioning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("tree_id", "e.rank", _r(F.col("e.condition"), "condition", 3))
 
 
-@query(_TREES + "SELECT shape, CAST(count(*) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS agree FROM trees JOIN points USING (problem_id) WHERE shape IN (0, 1, 2, 3, 4, 5) GROUP BY shape")
+@query(_TREES + """, g AS (SELECT shape, k, shape = 6 AND x1 + x2 <= 0 AS singular FROM trees JOIN points USING (problem_id) WHERE k > 0)
+SELECT shape, CAST(sum(k) AS BIGINT) AS n, CAST(sum(CASE WHEN singular THEN 0 ELSE k END) AS BIGINT) AS agree, CAST(count(*) FILTER (singular) AS BIGINT) AS neither_finite,
+  CAST(count(*) FILTER (singular) AS BIGINT) AS reverse_finite, CAST(0 AS BIGINT) AS central_finite, CAST(0 AS BIGINT) AS disputed FROM g GROUP BY shape""")
 def h20_gradients_agree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reverse-mode derivatives against forward differences on every tree and point."""
-    population = p.trees(spark, sf_dir).where("shape <= 5")
+    """Reverse-mode derivatives against central differences by every constant of every tree at every
+    point: equal within 2e-2 and 1e-4, neither finite, one finite alone, or disputed.
+
+    At a singular point of the logarithm neither derivative by its factor is finite; by the added
+    constant the exact one is 1, while differences of infinities have no value."""
+    population = p.trees(spark, sf_dir).where(F.size("c") > 0)
     rows = population.withColumn("structure", F.sha2(F.to_json("nodes"), 256)).join(p.points(spark, sf_dir), "problem_id")
     x, c = (lambda k: F.col("x")[k]), (lambda k: F.col("c")[k])
-    agree = F.lit(None).cast("boolean")
+    kinds = F.array().cast("array<string>")
     for name, tree in scoring.structures(population):
         k = sum(n[0] == t.CONST for n in t.prefix(tree))
-        a, b = fitting.gradient(tree, x, c), fitting.differences(tree, x, c, k)
-        same = F.lit(True)
+        a, b = fitting.gradient(tree, x, c), fitting.central(tree, x, c, k)
+        own = []
         for i in range(k):
-            same = same & (F.abs(a[i] - b[i]) <= 1e-3 + 2e-2 * F.abs(b[i]))
-        agree = F.when(F.col("structure") == name, same).otherwise(agree)
-    return rows.groupBy("shape").agg(F.count("*").alias("n"), F.count_if(agree).alias("agree"))
+            fine = F.abs(a[i] - b[i]) <= 1e-4 + 2e-2 * F.abs(b[i])
+            own.append(
+                F.when(is_finite(a[i]) & is_finite(b[i]), F.when(fine, "agree").otherwise("disputed"))
+                .when(is_finite(a[i]), "reverse_finite").when(is_finite(b[i]), "central_finite").otherwise("neither_finite")
+            )
+        kinds = F.when(F.col("structure") == name, F.array(*own)).otherwise(kinds)
+    one = rows.select("shape", F.explode(kinds).alias("kind"))
+    counted = [F.count_if(F.col("kind") == kind).alias(kind) for kind in ("agree", "neither_finite", "reverse_finite", "central_finite", "disputed")]
+    return one.groupBy("shape").agg(F.count("*").alias("n"), *counted)
 
 
 @query(_TREES + "SELECT shape, CAST(count(*) AS BIGINT) AS n, TRUE AS same FROM trees GROUP BY shape")
@@ -192,6 +204,28 @@ def y02_normal_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.lit("form").alias("form")).agg(F.count("*").alias("n"), F.count_distinct(F.col("form")).alias("forms"))
 
 
+#: Spellings, and the class of structure that each is of.
+_SPELLED = (
+    ("c0 + c1 * x0", 0), ("x0 * c9 + c1", 0), ("(x0 + c0) * c1", 1), ("c0 * x0 + c0 * c1", 1), ("c0 * x0 * x1", 2), ("x1 * (c0 * x0)", 2), ("c0 - x0", 3), ("-(x0 - c0)", 3),
+    ("x0 - c0", 4), ("sin(x0 * (c1 + x1))", 5), ("sin(x1 * x0 + x0 * c2)", 5), ("sin(x0 * (c1 - x1))", 6), ("c0 / (x0 + c1)", 7), ("(x0 + c0) / c1", 8), ("x0 ^ c0", 9), ("c0 ^ x0", 10),
+)
+_CLASSES = ", ".join(f"({i}, {of})" for i, (_, of) in enumerate(_SPELLED))
+
+
+@query(f"""SELECT of, CAST(count(*) AS BIGINT) AS n, CAST(1 AS BIGINT) AS forms, (SELECT CAST(count(DISTINCT of) AS BIGINT) FROM part JOIN (VALUES {_CLASSES}) s(i, of) ON p_partkey % {len(_SPELLED)} = i) AS all_forms
+FROM part JOIN (VALUES {_CLASSES}) s(i, of) ON p_partkey % {len(_SPELLED)} = i GROUP BY of""")
+def y02_equal_and_unequal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spellings of eleven structures, each part with its own: one normal form a structure, and as
+    many normal forms as structures."""
+    from ..sources.texts import parsed
+
+    i = F.col("p_partkey").cast("int") % len(_SPELLED) + 1
+    text, of = (F.element_at(F.array(*(F.lit(s[j]) for s in _SPELLED)), i) for j in (0, 1))
+    rows = p.read(spark, sf_dir, "part").select(of.alias("of"), search.read_out(parsed(text))["canonical"].alias("form"))
+    every = rows.agg(F.count_distinct("form").alias("all_forms"))
+    return rows.groupBy("of").agg(F.count("*").alias("n"), F.count_distinct("form").alias("forms")).crossJoin(F.broadcast(every))  # one row
+
+
 @query()
 def t12_generated_workload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A random tree of each preset for every part, and what the presets come out as."""

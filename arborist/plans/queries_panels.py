@@ -294,18 +294,18 @@ def h22_worse_than_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _wide(spark, sf_dir).where("k > 0").agg(F.count_if(F.col("la") > F.col("l0") * (1 + 1e-6) + 1e-9).alias("worse"), F.count("*").alias("n"))
 
 
-@query(_BASE + """, j AS (SELECT o.tree_id, o.loss AS l0, a.loss AS la, b.loss AS lb FROM losses o JOIN losses a USING (tree_id) JOIN losses b USING (tree_id)
-  WHERE o.engine = 'start' AND a.engine = 'low' AND b.engine = 'high')
-SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (isfinite(l0) AND isfinite(la) AND isfinite(lb)) AS BIGINT) AS finite,
+@query(_BASE + """, j AS (SELECT o.loss AS l0, a.loss AS la, b.loss AS lb FROM (FROM losses WHERE engine = 'start') o
+  FULL JOIN (FROM losses WHERE engine = 'low') a USING (tree_id) FULL JOIN (FROM losses WHERE engine = 'high') b USING (tree_id))
+SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (l0 IS NULL OR la IS NULL OR lb IS NULL) AS BIGINT) AS lacking, CAST(count(*) FILTER (isfinite(l0) AND isfinite(la) AND isfinite(lb)) AS BIGINT) AS finite,
   CAST(count(*) FILTER (la < l0 AND la <= lb) AS BIGINT) AS low_best, CAST(count(*) FILTER (lb < l0 AND lb < la) AS BIGINT) AS high_best FROM j""")
 def j04_engine_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three engines joined on the tree; trees that an engine lacks would be an error here."""
+    """Three engines joined on the tree; trees that an engine lacks are counted."""
     rows = _losses(spark, sf_dir)
     side = lambda e, name: rows.where(F.col("engine") == e).select("tree_id", F.col("loss").alias(name))
-    met = side("start", "l0").join(side("low", "la"), "tree_id").join(side("high", "lb"), "tree_id")
+    met = side("start", "l0").join(side("low", "la"), "tree_id", "full").join(side("high", "lb"), "tree_id", "full")
     l0, la, lb = F.col("l0"), F.col("la"), F.col("lb")
     return met.agg(
-        F.count("*").alias("n"), F.count_if(is_finite(l0) & is_finite(la) & is_finite(lb)).alias("finite"),
+        F.count("*").alias("n"), F.count_if(l0.isNull() | la.isNull() | lb.isNull()).alias("lacking"), F.count_if(is_finite(l0) & is_finite(la) & is_finite(lb)).alias("finite"),
         F.count_if((la < l0) & (la <= lb)).alias("low_best"), F.count_if((lb < l0) & (lb < la)).alias("high_best"),
     )
 

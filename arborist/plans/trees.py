@@ -137,18 +137,47 @@ def compiled(tree: Tree, x: Callable[[int], Column], c: Callable[[int], Column])
     return BY_NAME[tree.op].column(*(compiled(a, x, c) for a in tree.args))
 
 
-def canonical(tree: Tree) -> Tree:
-    """Operands of ADD and MUL in a fixed order that ignores constants' numbers, constants numbered anew."""
+def _terms(tree: Tree) -> list[tuple[bool, list[Tree]]]:
+    """The tree as a sum, products multiplied out: whether each term is negative, and its factors."""
+    if tree.op in ("ADD", "SUB"):
+        left, right = (_terms(a) for a in tree.args)
+        return left + [(negative != (tree.op == "SUB"), factors) for negative, factors in right]
+    if tree.op == "NEG":
+        return [(not negative, factors) for negative, factors in _terms(tree.args[0])]
+    if tree.op == "MUL":
+        left, right = (_terms(a) for a in tree.args)
+        return [(m != n, f + g) for m, f in left for n, g in right]
+    if tree.op in "xc":
+        return [(False, [tree])]
+    return [(False, [Tree(tree.op, tuple(map(_expanded, tree.args)))])]
+
 
-    def shape(t: Tree) -> str:
-        return "c" if t.op == "c" else f"x{t.args[0]}" if t.op == "x" else f"{t.op}({','.join(map(shape, t.args))})"
+def _shape(t: Tree) -> str:
+    return "c" if t.op == "c" else f"x{t.args[0]}" if t.op == "x" else f"{t.op}({','.join(map(_shape, t.args))})"
 
-    def ordered(t: Tree) -> Tree:
-        if t.op in "xc":
-            return t
-        args = tuple(map(ordered, t.args))
-        return Tree(t.op, tuple(sorted(args, key=shape)) if t.op in ("ADD", "MUL") else args)
 
+def _expanded(tree: Tree) -> Tree:
+    """Products multiplied out; terms and factors in a fixed order that ignores constants' numbers:
+    like constants of a product by the shapes of all products that they occur in."""
+    terms, products = [], _terms(tree)
+    shapes = [",".join(sorted(map(_shape, factors))) for _, factors in products]
+    uses = {f.args[0]: sorted(s for s, (_, fs) in zip(shapes, products) if f in fs) for _, factors in products for f in factors if f.op == "c"}
+    for negative, factors in products:
+        factors = sorted(factors, key=lambda f: (_shape(f), uses[f.args[0]] if f.op == "c" else []))
+        term = factors[0]
+        for factor in factors[1:]:
+            term = Tree("MUL", (term, factor))
+        terms.append(Tree("NEG", (term,)) if negative else term)
+    terms.sort(key=_shape)
+    out = terms[0]
+    for term in terms[1:]:
+        out = Tree("ADD", (out, term))
+    return out
+
+
+def canonical(tree: Tree) -> Tree:
+    """The normal form: products multiplied out, commuting operands ordered whatever their constants'
+    numbers, constants numbered anew by first occurrence."""
     names: dict[int, int] = {}
 
     def renamed(t: Tree) -> Tree:
@@ -156,7 +185,7 @@ def canonical(tree: Tree) -> Tree:
             return Tree("c", (names.setdefault(t.args[0], len(names)),))
         return t if t.op == "x" else Tree(t.op, tuple(map(renamed, t.args)))
 
-    return renamed(ordered(tree))
+    return renamed(_expanded(tree))
 
 
 def has_variable(tree: Tree) -> bool:

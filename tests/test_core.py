@@ -277,3 +277,90 @@ def test_population_fits_run_as_many_rounds_as_fit_does(spark, monkeypatch):
     monkeypatch.setattr(queries_fitting.fitting, "fit", fit)
     queries_fitting.l01_l22_population_fits(spark, "/root/testdata/sf0.001")
     assert bound == [50]
+
+
+def test_both_plans_give_the_same_fits(spark):
+    """Whole fits in tasks and passes over the points, in either order of the schedule."""
+    rng, gen = random.Random(9), np.random.default_rng(5)
+    rows = []
+    for i in range(24):
+        nodes = t.prefix(numbered(random_tree(rng, 3, True)))
+        rows.append((i, i % 3, nodes, gen.uniform(0.5, 1.5, sum(n[0] == 1 for n in nodes)).tolist()))
+    population = kept(spark.createDataFrame(rows, f"tree_id long, problem_id long, nodes {t.NODES}, c array<double>"))
+    x = gen.uniform(0.5, 1.5, (90, 3))
+    points = kept(spark.createDataFrame([(i % 3, a.tolist(), float(a.sum())) for i, a in enumerate(x)], "problem_id long, x array<double>, y double"))
+    for order in ("improve", "step"):
+        tasks, rounds = ({r.tree_id: r for r in fitting.fit(population, points, 4, kept, fitting.Options(order=order, plan=plan)).collect()} for plan in ("tasks", "rounds"))
+        assert set(tasks) == set(rounds) == set(range(24))
+        for i, a in tasks.items():
+            b = rounds[i]
+            assert (a.status, a.n_iter) == (b.status, b.n_iter)
+            assert a.loss_final is None and b.loss_final is None or a.loss_final == pytest.approx(b.loss_final, rel=1e-6, abs=1e-9)
+
+
+def test_large_problems_are_fitted_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(fitting, "LOCAL_POINTS", 20)
+    tree = t.prefix(t.parse("c0 + c1 * x0"))
+    points = kept(spark.createDataFrame([(p, [i / 10], 2.0 + 3.0 * i / 10) for p, n in ((1, 10), (2, 60)) for i in range(n)], "problem_id long, x array<double>, y double"))
+    population = spark.createDataFrame([(p, p, tree, [1.0, 1.0]) for p in (1, 2, 3)], f"tree_id long, problem_id long, nodes {t.NODES}, c array<double>")
+    got = {r.tree_id: r for r in fitting.fit(population, points, 30, kept).collect()}
+    assert set(got) == {1, 2}  # a problem without points has no loss
+    assert all(r.c_final == pytest.approx([2.0, 3.0], rel=1e-6) for r in got.values())
+
+
+def test_statuses_of_the_schedule(monkeypatch):
+    """Each way to end, on a fit whose losses are given."""
+    options, points = fitting.Options(), None
+
+    def ends(losses, jtj=1.0, down=1.0, max_iter=50, **named):
+        given = iter(losses)
+        monkeypatch.setattr(fitting.arrays, "numbers", lambda *_: (next(given), np.array([[jtj]]), np.array([down])))
+        return fitting.fit_one([], np.array([1.0]), points, max_iter, fitting.Options(**named))[1:3]
+
+    inf = math.inf
+    assert ends([inf]) == (fitting.FAIL_NAN, 0)
+    assert ends([1.0, inf]) == (fitting.FAIL_NAN, 1)
+    assert ends([1.0, 0.9, inf]) == (fitting.FAIL_NAN, 2)
+    assert ends([1.0], jtj=-1.0) == (fitting.FAIL_CHOLESKY, 16)
+    assert ends([1.0] + [2.0] * 50) == (fitting.FAIL_NAN, 16)  # uphill until lambda is too large, however small the step
+    assert ends([1.0] + [2.0] * 50, down=1e-9, order="step") == (fitting.CONVERGED, 1)
+    assert ends([1.0, 0.5], down=1e-9) == (fitting.CONVERGED, 1)
+    assert ends([1.0, 0.9, 0.8], max_iter=2) == (fitting.MAXITER, 2)
+    assert options.order == "improve"
+
+
+@pytest.mark.parametrize(
+    ("text", "n"),
+    [("c0 / (x0 + c1)", 1), ("exp(c0) * x0", 0), ("c0 * sin(c1 * x0 + c2)", 2), ("c0 * x0 + c1", 0), ("x0 ^ c0", 1), ("c0 ^ x0", 1), ("sin(c0) ^ c1 * x0", 0), ("(c0 + x0) * (c1 - x0)", 0), ("sqrt(c0 * x0) / c1", 1), ("log(x0 + c0 * c0)", 1)],
+)
+def test_inner_constants(text, n):
+    assert t.inner_constants(t.parse(text)) == n
+
+
+def test_normal_form_keeps_values():
+    rng, gen = random.Random(3), np.random.default_rng(1)
+    for _ in range(60):
+        tree = numbered(random_tree(rng, 3, True))
+        form = t._expanded(tree)
+        x, c = gen.uniform(0.5, 1.5, 3), gen.uniform(0.5, 1.5, 16)
+        with np.errstate(all="ignore"):
+            a, b = value(tree, x, c), value(form, x, c)
+        assert a == pytest.approx(b, rel=1e-9, abs=1e-9, nan_ok=True)
+
+
+def test_generated_trees_are_as_their_presets(spark):
+    from arborist.operators import workload
+
+    for name, shape in workload.PRESETS.items():
+        rows = spark.range(400).select(workload.generated_trees(F.col("id"), name, 3).alias("g")).select("g.*").collect()
+        operators = [n.nv for r in rows for n in r.nodes if n.nt > t.CONST]
+        trig = sum(v in (14, 15, 16) for v in operators) / len(operators)
+        assert abs(trig - max(shape.trig, 0.02)) < 0.06, name
+        assert all(shape.low <= len(r.nodes) <= shape.high for r in rows)
+        assert all(t.infix(t.from_prefix([(n.nt, n.nv, n.ci) for n in r.nodes])) for r in rows)
+        for r in rows:
+            k = sum(n.nt == t.CONST for n in r.nodes)
+            assert len(r.c_true) == len(r.c_init) == k and all(0.5 <= abs(v) <= 3 for v in r.c_true)
+            assert all(abs(b - a) <= 0.3 * abs(a) + 0.15 for a, b in zip(r.c_true, r.c_init))
+        without = sum(not r.c_true for r in rows) / len(rows)
+        assert without >= shape.all_variable - 0.03
