@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions.ops import INF, is_finite
 from ..plans import trees as t
+from ..sources.shared import kept
 from . import arrays
+from .ranking import joined, ordinal_ranks
 
 #: More structures than this go the array path (arrays.py), which evaluates them as data.
 MAX_STRUCTURES = 64
@@ -88,14 +90,10 @@ def normal_equations(rows: DataFrame, keys: list[str], jacobian: list[Column], r
 
 
 def median_finite(x: Column) -> Column:
-    """The median of the finite values, +inf if there is none."""
+    """The median of the finite values of a bounded group, +inf if there is none (ranking.percentiles takes any group)."""
     return F.coalesce(F.percentile(F.when(is_finite(x), x), F.lit(0.5)), F.lit(INF))
 
 
-def percentiles(x: Column, *at: float) -> list[Column]:
-    return [F.percentile(F.when(is_finite(x), x), F.lit(p)).alias(f"p{round(100 * p)}") for p in at]
-
-
 def nearest_percentile(x: Column, p: int) -> Column:
     """The value at index n * p / 100 of the sorted values: of one bounded group."""
     return F.element_at(F.sort_array(F.collect_list(x)), (F.floor(F.count(x) * p / 100) + 1).cast("int"))
@@ -118,16 +116,6 @@ def envelope(loss: Column, best: Column, *factors: float) -> list[Column]:
     return [rate(is_finite(loss) & (loss <= best * f)).alias(f"within_{str(f).replace('.', '_')}") for f in factors]
 
 
-def ordinal_rank(value: Column, key: Column, *by: Column) -> Column:
-    """Rank by value, ties by key, within groups."""
-    return F.row_number().over(Window.partitionBy(*by).orderBy(value, key))
-
-
-def average_rank(value: Column, *by: Column) -> Column:
-    """Rank by value, ties sharing their mean rank."""
-    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
-
-
 def correlation(a: Column, b: Column) -> Column:
     """Pearson's coefficient, NaN where a side doesn't vary."""
     varies = (F.stddev_pop(a) > 0) & (F.stddev_pop(b) > 0)
@@ -137,9 +125,9 @@ def correlation(a: Column, b: Column) -> Column:
 
 def top_overlap(rows: DataFrame, by: list[str], a: str, b: str, key: str, *shares: float) -> DataFrame:
     """by, k and the share of a's top k by loss that are in b's, for k of a few shares of the rows."""
-    keys = [F.col(c) for c in by]
-    n = F.count("*").over(Window.partitionBy(*keys))
-    ranked = rows.select(*by, n.alias("n"), ordinal_rank(F.col(a), F.col(key), *keys).alias("ra"), ordinal_rank(F.col(b), F.col(key), *keys).alias("rb"))
+    rows = kept(rows.select(*by, key, F.col(a).alias("__a"), F.col(b).alias("__b")))
+    first = ordinal_ranks(rows.drop("__b"), by, "__a", key, "ra").withColumnRenamed("total", "n")
+    ranked = joined(first, ordinal_ranks(rows.drop("__a"), by, "__b", key, "rb").drop("total"), [*by, key])
     out = []
     for share in shares:
         k = F.greatest(F.lit(1), F.floor(F.col("n") * share)).cast("int")

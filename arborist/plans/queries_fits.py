@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ops import is_finite
 from ..operators import fitting, scoring, search, workload
+from ..operators.ranking import joined, percentiles
 from ..sources.shared import kept
 from . import population as p
 from . import trees as t
@@ -93,6 +94,8 @@ def h17_n05_restart_from_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     for start, rows in (("true", truth), ("scattered", given)):
         again = fitting.fit(rows.join(missed.select("tree_id"), "tree_id", "left_semi"), points, save=kept).join(missed, "tree_id")
         reach = scoring.tiers(F.col("loss_final"), F.col("floor"))[1]
-        one = again.agg(F.count("*").alias("n"), F.count_if(reach).alias("reach"), F.round(F.percentile(F.col("loss_final") / F.col("floor"), F.lit(0.5)), 6).alias("median"))
-        out.append(one.select(F.lit(start).alias("start"), "*"))
+        again = kept(again.select("loss_final", "floor", (F.col("loss_final") / F.col("floor")).alias("q"), F.lit(start).alias("start")))
+        counts = again.agg(F.count("*").alias("n"), F.count_if(reach).alias("reach")).withColumn("start", F.lit(start))
+        one = joined(counts, percentiles(again, ["start"], "q", {"median": 0.5}), ["start"])
+        out.append(one.select("start", "n", "reach", F.round("median", 6).alias("median")))
     return out[0].unionByName(out[1])

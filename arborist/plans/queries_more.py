@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.ops import is_finite
 from ..operators import fitting, scoring, search, workload
+from ..operators.ranking import joined, percentiles
+from ..sources.shared import kept
 from . import population as p
 from . import queries_panels as panels
 from . import trees as t
@@ -183,8 +185,10 @@ def h17_substituted_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = scoring.losses(whole, points).select("tree_id", F.col("loss").alias("l0"))
     other = scoring.losses(whole.withColumn("c", F.transform("c", lambda v: v * 1.1)), points).select("tree_id", F.col("loss").alias("lb"))
     met = whole.select("tree_id", "shape").join(given, "tree_id").join(other, "tree_id").where(is_finite(F.col("l0")) & is_finite(F.col("lb")) & (F.col("l0") > 0))
+    met = kept(met.select("shape", "l0", "lb", (F.col("lb") / F.col("l0")).alias("q")))
     reach = scoring.rate(scoring.tiers(F.col("lb"), F.col("l0"))[1])
-    return met.groupBy("shape").agg(F.count("*").alias("n"), _r(reach, "reach"), _r(F.percentile(F.col("lb") / F.col("l0"), F.lit(0.5)), "median"))
+    counts = met.groupBy("shape").agg(F.count("*").alias("n"), _r(reach, "reach"))
+    return joined(counts, percentiles(met, ["shape"], "q", {"median": 0.5}), ["shape"]).withColumn("median", F.round("median", 6))
 
 
 @query(_LOSSES + "SELECT tree_id, round(la, 3) AS la FROM wide WHERE isfinite(la) AND tree_id % 5 = 0 ORDER BY la DESC, tree_id LIMIT 5")

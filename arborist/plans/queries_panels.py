@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.ops import is_finite
+from ..functions.ops import INF, is_finite
 from ..operators import scoring as s
+from ..operators.ranking import average_ranks, joined, ordinal_ranks, percentiles
+from ..sources.shared import kept
 from . import population as p
 from .registry import query
 
@@ -32,6 +34,11 @@ def _r(x: Column, name: str, digits: int = 6) -> Column:
     return F.round(x, digits).alias(name)
 
 
+def _finite(rows: DataFrame) -> DataFrame:
+    """Rows with a loss that isn't finite as null."""
+    return rows.withColumn("loss", F.when(is_finite(F.col("loss")), F.col("loss")))
+
+
 _FINITE_SQL = "CASE WHEN isfinite(loss) THEN loss END"
 
 
@@ -68,15 +75,18 @@ def a04_normal_equations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_BASE + f"SELECT engine, shape, round(coalesce(quantile_cont({_FINITE_SQL}, 0.5), 'inf'::DOUBLE), 4) AS median FROM losses GROUP BY ALL")
 def a07_median_of_finite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _losses(spark, sf_dir).groupBy("engine", "shape").agg(_r(s.median_finite(F.col("loss")), "median", 4))
+    rows = percentiles(_finite(_losses(spark, sf_dir)), ["engine", "shape"], "loss", {"median": 0.5})
+    return rows.select("engine", "shape", _r(F.coalesce("median", F.lit(INF)), "median", 4))
 
 
 @query(_BASE + """SELECT shape, CAST(count(*) AS BIGINT) AS n, round(quantile_cont(la, 0.5), 4) AS low, round(quantile_cont(lb, 0.5), 4) AS high
 FROM wide WHERE isfinite(la) AND isfinite(lb) GROUP BY shape""")
 def a08_common_set_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Medians of two engines over the trees that both have finite."""
-    both = _wide(spark, sf_dir).where(is_finite(F.col("la")) & is_finite(F.col("lb")))
-    return both.groupBy("shape").agg(F.count("*").alias("n"), _r(F.percentile("la", F.lit(0.5)), "low", 4), _r(F.percentile("lb", F.lit(0.5)), "high", 4))
+    both = kept(_finite_pairs(spark, sf_dir))
+    medians = joined(percentiles(both, ["shape"], "la", {"low": 0.5}), percentiles(both, ["shape"], "lb", {"high": 0.5}), ["shape"])
+    n = both.groupBy("shape").agg(F.count("*").alias("n"))
+    return joined(n, medians, ["shape"]).select("shape", "n", _r(F.col("low"), "low", 4), _r(F.col("high"), "high", 4))
 
 
 _P = ", ".join(f"round(quantile_cont({_FINITE_SQL}, {x}), 4) AS p{round(100 * x)}" for x in (0.1, 0.5, 0.9, 0.99))
@@ -84,7 +94,7 @@ _P = ", ".join(f"round(quantile_cont({_FINITE_SQL}, {x}), 4) AS p{round(100 * x)
 
 @query(_BASE + f"SELECT engine, {_P} FROM losses GROUP BY engine")
 def a09_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _losses(spark, sf_dir).groupBy("engine").agg(*s.percentiles(F.col("loss"), 0.1, 0.5, 0.9, 0.99))
+    rows = percentiles(_finite(_losses(spark, sf_dir)), ["engine"], "loss", {"p10": 0.1, "p50": 0.5, "p90": 0.9, "p99": 0.99})
     return rows.select("engine", *(_r(F.col(c), c, 4) for c in ("p10", "p50", "p90", "p99")))
 
 
@@ -149,7 +159,9 @@ SELECT shape, CAST(count(e) AS BIGINT) AS n, round(quantile_cont(e, 0.5), 9) AS
 def a21_constant_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = p.trees(spark, sf_dir).select("shape", F.explode("c").alias("c"))
     error = F.abs(F.col("c") * 0.9 - F.col("c")) / F.greatest(F.abs("c"), F.lit(1e-9))
-    return rows.groupBy("shape").agg(F.count("*").alias("n"), _r(F.percentile(error, F.lit(0.5)), "median", 9))
+    rows = rows.select("shape", error.alias("error"))
+    met = joined(rows.groupBy("shape").agg(F.count("*").alias("n")), percentiles(rows, ["shape"], "error", {"median": 0.5}), ["shape"])
+    return met.withColumn("median", F.round("median", 9))
 
 
 _RATIO = _BASE + ", r AS (SELECT *, la / l0 AS q FROM wide WHERE isfinite(la) AND isfinite(l0) AND l0 > 0 AND k > 0)"
@@ -163,20 +175,19 @@ def _ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_RATIO + """SELECT shape, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (q < 1) AS BIGINT) AS improved, CAST(count(*) FILTER (q > 1) AS BIGINT) AS worsened,
   CAST(count(*) FILTER (q > 10) AS BIGINT) AS diverged, round(quantile_cont(q, 0.5), 6) AS p50, round(quantile_cont(q, 0.9), 6) AS p90 FROM r GROUP BY shape""")
 def a31_loss_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = F.col("q")
-    return _ratios(spark, sf_dir).groupBy("shape").agg(
-        F.count("*").alias("n"), F.count_if(q < 1).alias("improved"), F.count_if(q > 1).alias("worsened"), F.count_if(q > 10).alias("diverged"),
-        _r(F.percentile(q, F.lit(0.5)), "p50"), _r(F.percentile(q, F.lit(0.9)), "p90"),
-    )
+    q, rows = F.col("q"), kept(_ratios(spark, sf_dir).select("shape", "q"))
+    counts = rows.groupBy("shape").agg(F.count("*").alias("n"), F.count_if(q < 1).alias("improved"), F.count_if(q > 1).alias("worsened"), F.count_if(q > 10).alias("diverged"))
+    met = joined(counts, percentiles(rows, ["shape"], "q", {"p50": 0.5, "p90": 0.9}), ["shape"])
+    return met.withColumns({"p50": F.round("p50", 6), "p90": F.round("p90", 6)})
 
 
 @query(_RATIO + """SELECT round(avg(log10(q)), 6) AS mean_log, round(quantile_cont(log10(q), 0.5), 6) AS median_log,
   CAST(count(*) FILTER (q < 1 / 1.05) AS BIGINT) AS wins, CAST(count(*) FILTER (q > 1.05) AS BIGINT) AS losses FROM r""")
 def a32_log_ratio_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = F.col("q")
-    return _ratios(spark, sf_dir).agg(
-        _r(F.avg(F.log10(q)), "mean_log"), _r(F.percentile(F.log10(q), F.lit(0.5)), "median_log"), F.count_if(q < 1 / 1.05).alias("wins"), F.count_if(q > 1.05).alias("losses")
-    )
+    q, rows = F.col("q"), kept(_ratios(spark, sf_dir).select("q", F.log10("q").alias("log"), F.lit(0).alias("all")))
+    counts = rows.agg(_r(F.avg("log"), "mean_log"), F.count_if(q < 1 / 1.05).alias("wins"), F.count_if(q > 1.05).alias("losses")).withColumn("all", F.lit(0))
+    met = joined(counts, percentiles(rows, ["all"], "log", {"median_log": 0.5}), ["all"])
+    return met.select("mean_log", _r(F.col("median_log"), "median_log"), "wins", "losses")
 
 
 _MEDIANS = _BASE + """, m AS (SELECT problem_id, quantile_cont(CASE WHEN isfinite(la) THEN la END, 0.5) AS a, quantile_cont(CASE WHEN isfinite(lb) THEN lb END, 0.5) AS b
@@ -234,15 +245,13 @@ def _finite_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_RANKED + "SELECT shape, round(corr(ra, rb), 6) AS spearman, round(corr(va, vb), 6) AS spearman_ties FROM ranks GROUP BY shape")
 def w01_w02_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, by = _finite_pairs(spark, sf_dir), F.col("shape")
-    rows = rows.select(
-        "shape",
-        s.ordinal_rank(F.col("la"), F.col("tree_id"), by).cast("double").alias("ra"),
-        s.ordinal_rank(F.col("lb"), F.col("tree_id"), by).cast("double").alias("rb"),
-        s.average_rank(F.round("la", 0), by).alias("va"),
-        s.average_rank(F.round("lb", 0), by).alias("vb"),
-    )
-    return rows.groupBy("shape").agg(_r(s.correlation(F.col("ra"), F.col("rb")), "spearman"), _r(s.correlation(F.col("va"), F.col("vb")), "spearman_ties"))
+    rows = kept(_finite_pairs(spark, sf_dir).select("shape", "tree_id", "la", "lb", F.round("la", 0).alias("ta"), F.round("lb", 0).alias("tb")))
+    met = rows
+    for side in "ab":
+        place = ordinal_ranks(rows.select("shape", "tree_id", f"l{side}"), ["shape"], f"l{side}", "tree_id", f"r{side}")
+        met = joined(met, place.select("shape", "tree_id", F.col(f"r{side}").cast("double").alias(f"r{side}")), ["shape", "tree_id"])
+        met = joined(met, average_ranks(rows, ["shape"], f"t{side}", f"v{side}").drop("n"), ["shape", f"t{side}"])
+    return met.groupBy("shape").agg(_r(s.correlation(F.col("ra"), F.col("rb")), "spearman"), _r(s.correlation(F.col("va"), F.col("vb")), "spearman_ties"))
 
 
 def _top_sql(share: float) -> str:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import records as r
+from ..operators.ranking import joined, percentiles
+from ..sources.shared import kept
 from . import population as p
 from .registry import query
 
@@ -91,10 +93,10 @@ def f09_f10_h03_h04_run_or_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_REC + "SELECT preset, backend, CAST(count(*) AS BIGINT) AS reps, round(quantile_cont(throughput, 0.5), 6) AS med, round(min(throughput), 6) AS low, round(max(throughput), 6) AS high, round(quantile_cont(throughput, 0.1), 6) AS p10 FROM rec GROUP BY ALL")
 def h23_throughput_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.col("throughput")
-    return _records(spark, sf_dir).groupBy("preset", "backend").agg(
-        F.count("*").alias("reps"), _r(F.percentile(v, F.lit(0.5)), "med"), _r(F.min(v), "low"), _r(F.max(v), "high"), _r(F.percentile(v, F.lit(0.1)), "p10")
-    )
+    v, by, rows = F.col("throughput"), ["preset", "backend"], _records(spark, sf_dir)
+    ends = rows.groupBy(*by).agg(F.count("*").alias("reps"), _r(F.min(v), "low"), _r(F.max(v), "high"))
+    met = joined(ends, percentiles(rows, by, "throughput", {"med": 0.5, "p10": 0.1}), by)
+    return met.withColumns({"med": F.round("med", 6), "p10": F.round("p10", 6)})
 
 
 _CELL = _REC + """, cell AS (SELECT preset, m, seed, quantile_cont(CASE WHEN backend = 'F' THEN throughput END, 0.5) AS f, quantile_cont(CASE WHEN backend = 'O' THEN throughput END, 0.5) AS o
@@ -103,17 +105,18 @@ _CELL = _REC + """, cell AS (SELECT preset, m, seed, quantile_cont(CASE WHEN bac
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each cell, the backends' medians side by side."""
-    med = lambda b: F.percentile(F.when(F.col("backend") == b, F.col("throughput")), F.lit(0.5))
-    return _records(spark, sf_dir).groupBy("preset", "m", "seed").agg(med("F").alias("f"), med("O").alias("o"))
+    cell = ["preset", "m", "seed"]
+    rows = percentiles(_records(spark, sf_dir), [*cell, "backend"], "throughput", {"med": 0.5})
+    med = lambda b: F.max(F.when(F.col("backend") == b, F.col("med")))
+    return rows.groupBy(*cell).agg(med("F").alias("f"), med("O").alias("o"))
 
 
 @query(_CELL + "SELECT preset, CAST(count(*) AS BIGINT) AS n, round(quantile_cont(f / o, 0.5), 6) AS median, round(min(f / o), 6) AS low, round(max(f / o), 6) AS high, CAST(arg_max(m * 10 + seed, f / o) AS BIGINT) AS at_cell FROM cell WHERE f > 0 AND o > 0 GROUP BY preset")
 def a36_a37_j06_speed_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ratios of two backends over the cells that both have, and where they are largest."""
-    q = F.col("f") / F.col("o")
-    return _cells(spark, sf_dir).where("f > 0 and o > 0").groupBy("preset").agg(
-        F.count("*").alias("n"), _r(F.percentile(q, F.lit(0.5)), "median"), _r(F.min(q), "low"), _r(F.max(q), "high"), F.max_by(F.col("m") * 10 + F.col("seed"), q).alias("at_cell")
-    )
+    q, rows = F.col("q"), kept(_cells(spark, sf_dir).where("f > 0 and o > 0").withColumn("q", F.col("f") / F.col("o")))
+    ends = rows.groupBy("preset").agg(F.count("*").alias("n"), _r(F.min(q), "low"), _r(F.max(q), "high"), F.max_by(F.col("m") * 10 + F.col("seed"), q).alias("at_cell"))
+    return joined(ends, percentiles(rows, ["preset"], "q", {"median": 0.5}), ["preset"]).withColumn("median", F.round("median", 6))
 
 
 @query(_REC + "SELECT preset, CAST(m AS BIGINT) AS m, CAST(count(DISTINCT backend) AS BIGINT) AS backends, count(DISTINCT backend) = 1 AS one FROM rec GROUP BY preset, m")
@@ -128,7 +131,9 @@ SELECT preset, CAST(m AS BIGINT) AS m, CASE WHEN spread <= 0.25 THEN round(med *
 def m12_project_or_omit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twice the median, unless the cell's values lie more than a quarter apart."""
     v = F.col("throughput")
-    cells = _records(spark, sf_dir).where(v > 0).groupBy("preset", "m").agg(F.percentile(v, F.lit(0.5)).alias("med"), (F.max(v) / F.min(v) - 1).alias("spread"))
+    rows = _records(spark, sf_dir).where(v > 0)
+    ends = rows.groupBy("preset", "m").agg((F.max(v) / F.min(v) - 1).alias("spread"))
+    cells = joined(ends, percentiles(rows, ["preset", "m"], "throughput", {"med": 0.5}), ["preset", "m"])
     return cells.select("preset", "m", F.when(F.col("spread") <= 0.25, F.round(F.col("med") * 2, 4)).alias("projected"))
 
 

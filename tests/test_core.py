@@ -5,10 +5,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from arborist.functions import ops
-from arborist.operators import fitting, records, scoring, search, studies
+from arborist.operators import fitting, ranking, records, scoring, search, studies
 from arborist.plans import population as p
 from arborist.plans import trees as t
 from arborist.sources import popfile, texts
@@ -364,3 +365,31 @@ def test_generated_trees_are_as_their_presets(spark):
             assert all(abs(b - a) <= 0.3 * abs(a) + 0.15 for a, b in zip(r.c_true, r.c_init))
         without = sum(not r.c_true for r in rows) / len(rows)
         assert without >= shape.all_variable - 0.03
+
+
+def _few_groups(spark):
+    values = [("a", float(v % 7), v) for v in range(60)] + [("b", None, 1), ("b", 2.0, 2), (None, 3.0, 1), (None, 5.0, 2), ("c", None, 1), ("d", float("inf"), 1), ("d", -1.5, 2)]
+    return spark.createDataFrame(values, "g string, v double, k long")
+
+
+def test_percentiles_by_ranges(spark):
+    """Against the aggregate that holds a group: ties, nulls alone, a null group, an empty table."""
+    rows = _few_groups(spark)
+    got = ranking.percentiles(rows, ["g"], "v", {"low": 0.0, "q": 0.31, "med": 0.5, "top": 1.0})
+    want = rows.groupBy("g").agg(*(F.percentile("v", F.lit(s)).alias(n) for n, s in (("low", 0.0), ("q", 0.31), ("med", 0.5), ("top", 1.0))))
+    assert {r.g for r in got.collect()} == {"a", "b", "c", "d", None}
+    near = lambda r: tuple(v if v is None or isinstance(v, str) else round(v, 9) for v in r)
+    assert set(map(near, got.collect())) == set(map(near, want.collect()))
+    assert ranking.percentiles(rows.where("g = 'none'"), ["g"], "v", {"med": 0.5}).count() == 0
+    assert ranking.percentiles(rows.where("g = 'a'"), [], "v", {"med": 0.5}).first() == (3.0,)
+
+
+def test_ranks_by_ranges(spark):
+    """Against windows over whole groups; ranges cut through a group of one value."""
+    rows = _few_groups(spark).repartition(3)
+    over = Window.partitionBy("g")
+    want = rows.withColumns({"place": F.row_number().over(over.orderBy("v", "k")), "mean": F.rank().over(over.orderBy("v")) + (F.count("*").over(Window.partitionBy("g", "v")) - 1) / 2})
+    got = ranking.ordinal_ranks(rows, ["g"], "v", "k", "place").drop("total")
+    got = ranking.joined(got, ranking.average_ranks(rows, ["g"], "v", "mean").drop("n"), ["g", "v"])
+    assert set(got.select("g", "v", "k", "place", "mean").collect()) == set(want.select("g", "v", "k", "place", "mean").collect())
+    assert ranking.ordinal_ranks(rows.where("k < 0"), ["g"], "v", "k", "place").count() == 0
