@@ -98,6 +98,43 @@ def differences(nodes: list[dict], x: Array, c: Array) -> tuple[Array, Array]:
     return here, out
 
 
+def dual(nodes: list[dict], x: Array, c: Array) -> tuple[Array, Array]:
+    """The values and their derivatives, each node's tangents made from those of its operands."""
+    values, below = _taped(nodes, x, c)
+    tangents: list[dict[int, Array]] = [{} for _ in nodes]
+    for at in range(len(nodes) - 1, -1, -1):
+        node = nodes[at]
+        if node["nt"] == CONST:
+            tangents[at] = {node["ci"]: np.ones(len(x))}
+        elif below[at]:
+            op = BY_CODE[int(node["nv"])]
+            if op.partials is None:
+                raise ValueError(f"{op.name} has no derivative here")
+            for b, partial in zip(below[at], op.partials(Arrays, *(values[b] for b in below[at]), values[at])):
+                for k, tangent in tangents[b].items():
+                    term = np.where((tangent == 0) | (partial == 0), 0.0, partial * tangent)
+                    tangents[at][k] = tangents[at][k] + term if k in tangents[at] else term
+    return values[0], np.array([tangents[0].get(k, np.zeros(len(x))) for k in range(len(c))]).reshape(len(c), len(x))
+
+
+def central(nodes: list[dict], x: Array, c: Array) -> tuple[Array, Array]:
+    """The values and central differences, with the steps of fitting.central."""
+    out = np.zeros((len(c), len(x)))
+    for i in range(len(c)):
+        h = 1e-6 * max(abs(c[i]), 1.0)
+        ends = []
+        for side in (1, -1):
+            moved = c.copy()
+            moved[i] += side * h
+            ends.append(value(nodes, x, moved))
+        out[i] = (ends[0] - ends[1]) / (2 * h)
+    return value(nodes, x, c), out
+
+
+#: Ways to a derivative by name; fitting.by_constants has the same names over columns.
+JACOBIANS = {"reverse": slopes, "dual": dual, "forward": differences, "central": central}
+
+
 def _doubles(values: pa.Array) -> Array:
     """Doubles of a flat array, NaN for nulls."""
     return values.cast(pa.float64()).to_numpy(zero_copy_only=False)
@@ -127,7 +164,7 @@ def predictions(nodes: pa.Array, c: pa.Array, block: pa.Array) -> pa.Array:
 def numbers(nodes: list[dict], c: Array, points: tuple[Array, Array, Array], jacobian: str) -> tuple[float, Array, Array]:
     """loss, jtj and jtr of a tree over all points of its problem, as the passes over blocks add them up."""
     x, y, there = points
-    yh, j = (slopes if jacobian == "reverse" else differences)(nodes, x, c)
+    yh, j = JACOBIANS[jacobian](nodes, x, c)
     r = yh - y
     loss = 0.5 * float((r[there] ** 2).sum()) if np.isfinite(yh).all() else float("inf")
     return loss, j @ j.T, j[:, there] @ r[there]
@@ -136,7 +173,7 @@ def numbers(nodes: list[dict], c: Array, points: tuple[Array, Array, Array], jac
 def sums(nodes: Column, c: Column, block: Column, jacobian: str) -> Column:
     """Half the squared residuals, predictions that aren't finite, then the sums of the derivatives'
     products with the residual (K) and each other (upper triangle by rows)."""
-    run = slopes if jacobian == "reverse" else differences
+    run = JACOBIANS[jacobian]
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def summed(nodes: pa.Array, c: pa.Array, block: pa.Array) -> pa.Array:

@@ -59,9 +59,28 @@ def gradient(tree: t.Tree, x: Callable[[int], Column], c: Callable[[int], Column
     return out
 
 
+def dual(tree: t.Tree, x: Callable[[int], Column], c: Callable[[int], Column]) -> dict[int, Column]:
+    """The derivative by each constant, made from the operands' own on the way up."""
+    if tree.op == "x":
+        return {}
+    if tree.op == "c":
+        return {tree.args[0]: F.lit(1.0)}
+    op = BY_NAME[tree.op]
+    if op.partials is None:
+        raise ValueError(f"{tree.op} has no derivative here")
+    operands = [t.compiled(a, x, c) for a in tree.args]
+    out: dict[int, Column] = {}
+    for below, partial in zip(tree.args, op.partials(Columns, *operands, op.column(*operands))):
+        for k, tangent in dual(below, x, c).items():
+            term = partial * tangent if isinstance(partial, float) else annihilating(partial, tangent)
+            out[k] = out[k] + term if k in out else term
+    return out
+
+
 @dataclass(frozen=True)
 class Options:
-    """jacobian: "reverse" derivatives, or "forward" differences of relative step 1e-3 (an ablation).
+    """jacobian: "reverse" derivatives, "dual" ones (the same by tangents from the leaves up), or
+    "forward" differences of relative step 1e-3 or "central" ones of 1e-6 (ablations).
     damping: "relative" scales the diagonal by 1 + lambda, "absolute" adds lambda to it.
     pivot_floor: added to the diagonal before the solve (0 in the standard form).
     order: "improve" takes a step only if the loss doesn't grow, and only then asks whether it was
@@ -165,6 +184,13 @@ def central(tree: t.Tree, x: Callable[[int], Column], c: Callable[[int], Column]
     return out
 
 
+def by_constants(tree: t.Tree, x: Callable[[int], Column], c: Callable[[int], Column], jacobian: str) -> dict[int, Column]:
+    """The derivative by each constant, in the way that jacobian names."""
+    k = sum(n[0] == t.CONST for n in t.prefix(tree))
+    ways = {"reverse": lambda: gradient(tree, x, c), "dual": lambda: dual(tree, x, c), "forward": lambda: differences(tree, x, c, k), "central": lambda: central(tree, x, c, k)}
+    return ways[jacobian]()
+
+
 @F.arrow_udf(T.StructType([T.StructField("rank", T.IntegerType()), T.StructField("condition", T.DoubleType())]))
 def conditioning(jtj: pa.Array, k: pa.Array) -> pa.Array:
     """Numeric rank (1e-12 of the largest eigenvalue) and condition number of each normal matrix."""
@@ -184,7 +210,7 @@ def pass_over(state: DataFrame, points: DataFrame, known: list[tuple[str, t.Tree
     slopes = [F.lit(0.0)] * widest
     for name, tree in known:
         here = F.col("structure") == name
-        own = gradient(tree, x, c) if options.jacobian == "reverse" else differences(tree, x, c, sum(n[0] == t.CONST for n in t.prefix(tree)))
+        own = by_constants(tree, x, c, options.jacobian)
         value = F.when(here, t.compiled(tree, x, c)).otherwise(value)
         slopes = [F.when(here, own[k]).otherwise(old) if k in own else old for k, old in enumerate(slopes)]
     rows = state.select("tree_id", "problem_id", "structure", "at").join(points, "problem_id")
@@ -350,6 +376,30 @@ def written_back(population: DataFrame, fits: DataFrame) -> DataFrame:
     return met.select(*kept, F.when(fine, F.col("c_final")).otherwise(F.col("c")).alias("c"), F.coalesce("status", F.lit(FAIL_NAN)).alias("status"))
 
 
+def progressed(status: Column, first: Column, last: Column) -> tuple[Column, Column]:
+    """(converged, why it stopped): a solver's word counts only where the loss fell, and below 1e18."""
+    fell = F.coalesce(is_finite(last) & (last < first) & (last < 1e18), F.lit(False))
+    why = F.when(status == K0_SKIP, "no_constants").when(~is_finite(last), "nan").when(~fell, "no_progress").when(status == CONVERGED, "small_step").when(status == MAXITER, "max_iter").otherwise("unsolved")
+    return (status == CONVERGED) & fell, why
+
+
+#: Named ways to fit; a caller may add its own under a new name.
+BACKENDS = {
+    "lm": Options(),
+    "lm_dual": Options(jacobian="dual"),
+    "lm_differences": Options(jacobian="forward"),
+    "lm_step_first": Options(order="step"),
+    "tight": Options(xtol=1e-10),
+    "bfgs": Options(method="bfgs", plan="tasks"),
+}
+
+
+def backend(name: str) -> Options:
+    if name not in BACKENDS:
+        raise ValueError(f"no backend {name!r}; there are {', '.join(sorted(BACKENDS))}")
+    return BACKENDS[name]
+
+
 def starts(population: DataFrame, n: int, scale: float, seed: int) -> DataFrame:
     """n starts for each tree (trial 0 as it is, the others scattered), by draws that follow from
     the seed, tree and trial alone."""

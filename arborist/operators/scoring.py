@@ -107,6 +107,16 @@ def tiers(loss: Column, best: Column) -> tuple[Column, Column]:
     )
 
 
+def quality_matched(a: Column, b: Column, tolerance: float = 1.05) -> Column:
+    """Whether a median is no worse than another by more than the tolerance; never if one isn't finite."""
+    return is_finite(a) & is_finite(b) & (a <= b * tolerance)
+
+
+def good_enough(loss: Column, n: Column, variance: Column, r2: float) -> Column:
+    """Whether a search may stop: the mean square leaves at most 1 - r2 of the target's variance."""
+    return is_finite(loss) & (2 * loss / n <= (1 - r2) * variance)
+
+
 def rate(test: Column) -> Column:
     """The share of true over the rows, null over none."""
     return F.avg(test.cast("double"))

@@ -11,8 +11,10 @@ from pyspark.sql import types as T
 
 from ..functions.ops import is_finite
 from ..plans import trees as t
+from ..sources.shared import kept
 from . import scoring as s
 from .fitting import fit, written_back
+from .ranking import joined, placed
 
 
 def memetic_step(population: DataFrame, points: DataFrame, k: int, max_iter: int, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -30,9 +32,9 @@ def memetic_step(population: DataFrame, points: DataFrame, k: int, max_iter: int
     met = before.join(fitted.join(again, "tree_id"), "tree_id", "left")
     better = F.coalesce(is_finite(F.col("loss_new")) & (F.col("loss_new") < F.col("loss")), F.lit(False))
     outcome = F.when(F.col("c_new").isNull(), "not_chosen").when(better, "improved").otherwise("rolled_back")
-    kept = [c for c in population.columns if c != "c"]
+    rest = [c for c in population.columns if c != "c"]
     return met.select(
-        *kept,
+        *rest,
         F.when(better, F.col("c_new")).otherwise(F.col("c")).alias("c"),
         F.col("loss").alias("loss_before"),
         F.when(better, F.col("loss_new")).otherwise(F.col("loss")).alias("loss"),
@@ -75,8 +77,57 @@ def gaussian(seed: int, *keys: Column | str) -> Column:
     return F.sqrt(-2 * F.ln(1 - u)) * F.cos(2 * 3.141592653589793 * v)
 
 
+#: Relative jitters of the truth, scales of further starts, and blind starts, in a certification.
+JITTERS, JITTER, SCALES, BLIND = 4, 0.10, (0.1, 0.5, 1.0, 2.0, 10.0), 16
+
+
+def certifying_starts(population: DataFrame, seed: int, blind: bool = False) -> DataFrame:
+    """population with trial and its start in c: the given constants, jitters of them and one draw a
+    scale; or, blind, draws as large as three times the given ones."""
+    known = 1 + JITTERS + len(SCALES)
+    trials = population.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit((BLIND if blind else known) - 1))))
+    at, swing = F.col("trial"), lambda k: 2 * unit(seed, "tree_id", "trial", k, F.lit(3)) - 1
+    if blind:
+        return trials.withColumn("c", F.transform("c", lambda v, k: swing(k) * F.greatest(F.abs(v), F.lit(1.0)) * 3))
+    scale = F.element_at(F.array(*map(F.lit, SCALES)), F.greatest(at - JITTERS, F.lit(1)))
+    near = lambda v, k: v * (1 + JITTER * gaussian(seed, "tree_id", "trial", k))
+    start = F.when(at == 0, F.col("c")).when(at <= JITTERS, F.transform("c", near)).otherwise(F.transform("c", lambda v, k: swing(k) * scale))
+    return trials.withColumn("c", start)
+
+
+def certified(population: DataFrame, points: DataFrame, seed: int, max_iter: int, save: Callable[[DataFrame], DataFrame], blind: bool = False) -> DataFrame:
+    """tree_id, trials, c and r2: the best fit from all its starts; null where none has a finite loss."""
+    trials = certifying_starts(population, seed, blind).withColumn("tree", F.col("tree_id"))
+    trials = save(trials.withColumn("tree_id", F.col("tree_id") * 32 + F.col("trial")))
+    spread = points.groupBy("problem_id").agg((F.var_pop("y") * F.count("y")).alias("total"))
+    fits = fit(trials, points, max_iter, save).join(trials.select("tree_id", "tree", "problem_id", "trial"), "tree_id").join(spread, "problem_id")
+    r2 = F.when(is_finite(F.col("loss_final")), 1 - F.try_divide(2 * F.col("loss_final"), F.col("total")))
+    best = fits.withColumn("r2", r2).groupBy(F.col("tree").alias("tree_id"))
+    order = F.when(F.col("r2").isNotNull(), F.struct("r2", -F.col("trial")))
+    return best.agg(F.count("*").alias("trials"), F.max_by("c_final", order).alias("c"), F.max("r2").alias("r2"))
+
+
+def tournament(rows: DataFrame, by: list[str], fitness: str, key: str, size: int, share: float) -> DataFrame:
+    """by, contest and winner: as many contests as a share of the group, each among size members drawn
+    with replacement; the fittest wins, ties go to the smaller key. Draws follow from group, contest
+    and draw; NaN and null are the least fit. key tells members apart.
+    """
+    fit_ = F.when(F.isnan(fitness) | F.col(fitness).isNull(), F.lit(float("-inf"))).otherwise(F.col(fitness))
+    members = rows.select(*by, F.col(key).alias("__key"), fit_.alias("__fit"), F.lit(1).alias("__one"))
+    members = kept(placed(members, by, ["__key"], "__one").drop("__one"))
+    contests = members.where(F.col("before") < F.ceil(F.col("total") * share)).select(*by, F.col("before").alias("contest"), "total")
+    draws = contests.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+    text = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in [*by, "contest", "draw"]))
+    draws = draws.withColumn("before", F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), F.col("total")))
+    met = joined(draws.drop("total"), members.select(*by, "before", "__key", "__fit"), [*by, "before"])
+    return met.groupBy(*by, "contest").agg(F.min_by("__key", F.struct(-F.col("__fit"), F.col("__key"))).alias("winner"))
+
+
 def noisy(rows: DataFrame, key: list[str], value: str, sigma: float, seed: int, ids: list[str], relative: str = "std") -> DataFrame:
-    """value with Gaussian noise of sigma times the group's deviation or RMS (sigma itself where that is 0)."""
+    """value with Gaussian noise of sigma times the group's deviation or RMS (sigma itself where that
+    is 0), or of sigma alone ("absolute")."""
+    if relative == "absolute":
+        return rows.withColumn(value, F.col(value) + sigma * gaussian(seed, *ids))
     spread = F.stddev_pop(value) if relative == "std" else F.sqrt(F.avg(F.col(value) * F.col(value)))
     scale = rows.groupBy(*key).agg(spread.alias("__scale"))
     met = rows.join(scale, key)

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from arborist.functions import ops
-from arborist.operators import fitting, ranking, records, scoring, search, studies
+from arborist.operators import arrays, fitting, ranking, records, scoring, search, studies, workload
 from arborist.plans import population as p
 from arborist.plans import trees as t
 from arborist.sources import popfile, texts
@@ -393,3 +393,51 @@ def test_ranks_by_ranges(spark):
     got = ranking.joined(got, ranking.average_ranks(rows, ["g"], "v", "mean").drop("n"), ["g", "v"])
     assert set(got.select("g", "v", "k", "place", "mean").collect()) == set(want.select("g", "v", "k", "place", "mean").collect())
     assert ranking.ordinal_ranks(rows.where("k < 0"), ["g"], "v", "k", "place").count() == 0
+
+
+@pytest.mark.parametrize("text", [*p.SHAPES[:7], "c0 * x0 ^ c1 + sin(c2 * x1) / (c1 + exp(c0 * x2))"])
+def test_dual_derivatives_equal_reverse(spark, text):
+    """As columns and over arrays, and central differences near both."""
+    tree = t.parse(text)
+    nodes = [dict(zip(("nt", "nv", "ci"), n)) for n in t.prefix(tree)]
+    x, c = np.random.default_rng(3).uniform(0.3, 2.0, (20, 3)), np.array([0.7, 1.3, -0.4])[: sum(n["nt"] == t.CONST for n in nodes)]
+    yh, want = arrays.slopes(nodes, x, c)
+    for way, rel in (("dual", 1e-12), ("central", 1e-5)):
+        got = arrays.JACOBIANS[way](nodes, x, c)
+        assert got[0] == pytest.approx(yh) and got[1] == pytest.approx(want, rel=rel, abs=1e-7)
+    rows = spark.createDataFrame([(row.tolist(), c.tolist()) for row in x], "x array<double>, c array<double>")
+    own = fitting.by_constants(tree, lambda k: F.col("x")[k], lambda k: F.col("c")[k], "dual")
+    got = np.array(rows.select(*(own[k] for k in range(len(c)))).collect()).T
+    assert got == pytest.approx(want, rel=1e-9)
+
+
+def test_verdicts_of_solvers(spark):
+    rows = [(0, 2.0, 1.0), (0, 2.0, 2.0), (0, 1e20, 1e19), (1, 2.0, 1.0), (2, 2.0, math.nan), (3, None, None), (4, 2.0, 1.0)]
+    converged, why = fitting.progressed(F.col("s"), F.col("a"), F.col("b"))
+    got = spark.createDataFrame(rows, "s int, a double, b double").select(converged.alias("c"), why.alias("w")).collect()
+    assert [r.w for r in got] == ["small_step", "no_progress", "no_progress", "max_iter", "nan", "no_constants", "unsolved"]
+    assert [r.c for r in got] == [True] + [False] * 6
+    with pytest.raises(ValueError, match="no backend"):
+        fitting.backend("none")
+
+
+def test_selection_and_tournament(spark):
+    rows = spark.createDataFrame([(i, i % 3, i % 4) for i in range(24)], "id long, v int, k int")
+    ids = lambda **limits: {r.id for r in workload.selected(rows, "id", F.col("v"), F.col("k"), **limits).collect()}
+    assert ids(max_vars=1, max_constants=2, exclude=(0,)) == {i for i in range(1, 24) if i % 3 <= 1 and i % 4 <= 2}
+    assert ids(max_vars=0, include=(5, 6, 7), exclude=(7,)) == {5, 6}
+    assert ids() == set(range(24))
+    members = spark.createDataFrame([("a", i, float("nan") if i == 3 else float(i)) for i in range(10)] + [(None, 1, 2.0), ("b", 1, None)], "g string, id long, f double")
+    won = search.tournament(members, ["g"], "f", "id", 200, 0.5)
+    assert {(r.g, r.contest, r.winner) for r in won.collect()} == {("a", i, 9) for i in range(5)} | {(None, 0, 1), ("b", 0, 1)}
+    assert search.tournament(members.where("id > 99"), ["g"], "f", "id", 2, 0.5).count() == 0
+
+
+def test_certifying_starts(spark):
+    trees = spark.createDataFrame([(1, [4.0, -2.0])], "tree_id long, c array<double>")
+    seeded = {r.trial: r.c for r in search.certifying_starts(trees, 1).collect()}
+    assert len(seeded) == 10 and seeded[0] == [4.0, -2.0]
+    assert all(0 < abs(seeded[i][0] - 4.0) < 2.5 for i in range(1, 5))
+    assert all(abs(v) <= s for i, s in zip(range(5, 10), search.SCALES) for v in seeded[i])
+    blind = search.certifying_starts(trees, 1, blind=True).collect()
+    assert len(blind) == 16 and all(abs(r.c[0]) <= 12 and abs(r.c[1]) <= 6 for r in blind)
