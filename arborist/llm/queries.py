@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embeddings, exact_dedup, langid, licences, mixing, quality, sharding, simhash, warc
+from . import bpe, chat, embeddings, exact_dedup, langid, licences, mixing, periodic, quality, search, sharding, simhash, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op10(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.op11(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.op12(spark, table(spark, sf_dir, "conversations"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.op13(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -71,6 +83,9 @@ QUERIES: dict[str, Query] = {
         op8_sharding,
         op9_simhash_near_dedup,
         op10_bpe,
+        op11_ranked_search,
+        op12_chat_format,
+        op13_periodic_runs,
     )
 }
-SQL = {"op2_license_scan": licences.SQL, "op4_exact_dedup": exact_dedup.SQL, "op5_warc": warc.SQL}
+SQL = {"op2_license_scan": licences.SQL, "op4_exact_dedup": exact_dedup.SQL, "op5_warc": warc.SQL, "op11_ranked_search": search.SQL, "op12_chat_format": chat.SQL}
