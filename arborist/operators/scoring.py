@@ -42,10 +42,11 @@ def evaluated(population: DataFrame, points: DataFrame, known: list[tuple[str, t
     known = known if known is not None else few_structures(population)
     if known is None:
         return _evaluated_as_data(population, points)
-    keyed = population.withColumn("structure", F.sha2(F.to_json("nodes"), 256))
+    numbers = F.create_map(*(F.lit(v) for i, (digest, _) in enumerate(known) for v in (digest, i))) if known else F.create_map().cast("map<string,int>")
+    keyed = population.withColumn("structure", F.try_element_at(numbers, F.sha2(F.to_json("nodes"), 256)))
     case = reduce(
-        lambda done, one: done.when(F.col("structure") == one[0], t.compiled(one[1], lambda k: F.col("x")[k], lambda k: F.col("c")[k])),
-        known,
+        lambda done, one: done.when(F.col("structure") == one[0], t.compiled(one[1][1], lambda k: F.col("x")[k], lambda k: F.col("c")[k])),
+        enumerate(known),
         F.when(F.lit(False), F.lit(None).cast("double")),
     )
     return keyed.join(points, "problem_id").withColumn("yh", case).drop("structure", "x")

@@ -42,18 +42,20 @@ def memetic_step(population: DataFrame, points: DataFrame, k: int, max_iter: int
     )
 
 
-def recovered(rows: DataFrame, key: list[str], truth: str, found: str, tolerance: float = 1e-4) -> DataFrame:
-    """key with scale_ok and offset_ok: whether found equals truth up to one factor, or one offset.
-
-    Two passes: the factor and offset that fit best, then the largest deviation from each.
-    """
+def deviations(rows: DataFrame, key: list[str], truth: str, found: str) -> DataFrame:
+    """key with a and b, the factor and the offset that bring found nearest to truth, scaled and moved, the
+    largest deviations after either, and top, the largest size of truth: two passes over the rows."""
     y, f = F.col(truth), F.col(found)
     best = rows.groupBy(*key).agg(F.try_divide(F.sum(y * f), F.sum(f * f)).alias("__a"), F.avg(y - f).alias("__b"), F.max(F.abs(y)).alias("__top"))
-    far = rows.join(best, key).groupBy(*key).agg(
-        F.first("__a").alias("a"), F.max(F.abs(y - F.col("__a") * f)).alias("scaled"), F.max(F.abs(y - f - F.col("__b"))).alias("moved"), F.first("__top").alias("top")
+    return rows.join(best, key).groupBy(*key).agg(
+        F.first("__a").alias("a"), F.first("__b").alias("b"), F.max(F.abs(y - F.col("__a") * f)).alias("scaled"), F.max(F.abs(y - f - F.col("__b"))).alias("moved"), F.first("__top").alias("top")
     )
+
+
+def recovered(rows: DataFrame, key: list[str], truth: str, found: str, tolerance: float = 1e-4) -> DataFrame:
+    """key with scale_ok and offset_ok: whether found equals truth up to one factor, or one offset."""
     limit = tolerance * F.greatest(F.lit(1.0), F.col("top"))
-    return far.select(*key, F.coalesce((F.col("scaled") < limit) & (F.abs("a") >= 1e-9), F.lit(False)).alias("scale_ok"), (F.col("moved") < limit).alias("offset_ok"))
+    return deviations(rows, key, truth, found).select(*key, F.coalesce((F.col("scaled") < limit) & (F.abs("a") >= 1e-9), F.lit(False)).alias("scale_ok"), (F.col("moved") < limit).alias("offset_ok"))
 
 
 @F.arrow_udf(T.StructType([T.StructField("infix", T.StringType()), T.StructField("canonical", T.StringType()), T.StructField("inner", T.IntegerType())]))

@@ -192,8 +192,8 @@ def has_variable(tree: Tree) -> bool:
     return tree.op == "x" or tree.op != "c" and any(map(has_variable, tree.args))
 
 
-def inner_constants(tree: Tree) -> int:
-    """How many constants stand where a variable makes them nonlinear: in a power, a denominator or
+def inner_set(tree: Tree) -> set[int]:
+    """The constants that stand where a variable makes them nonlinear: in a power, a denominator or
     the operand of a function that holds a variable too. Sums and products alone make none."""
     found: set[int] = set()
 
@@ -209,7 +209,11 @@ def inner_constants(tree: Tree) -> int:
                 walk(a, inner or not plain and has_variable(t))
 
     walk(tree, False)
-    return len(found)
+    return found
+
+
+def inner_constants(tree: Tree) -> int:
+    return len(inner_set(tree))
 
 
 # ---- structure, as columns over arrays of nodes
