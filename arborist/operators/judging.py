@@ -55,15 +55,15 @@ def judged(candidates: DataFrame, truths: DataFrame, points: DataFrame) -> DataF
     rows = compared(candidates, truths, points)
     fine = is_finite(F.col("y")) & is_finite(F.col("yh"))
     keys = ["tree_id", "form"]
-    equal = rows.groupBy(*keys).agg(
-        F.count_if(is_finite(F.col("y")) != is_finite(F.col("yh"))).alias("__split"), F.max(F.when(fine, F.abs(F.col("y") - F.col("yh")))).alias("__far")
+    met = deviations(
+        rows, keys, "y", "yh", fine, __split=F.count_if(is_finite(F.col("y")) != is_finite(F.col("yh"))), __far=F.max(F.when(fine, F.abs(F.col("y") - F.col("yh"))))
     )
-    met = equal.join(deviations(rows.where(fine), keys, "y", "yh"), keys)
 
     def within(share: float) -> Column:
         limit = share * F.greatest(F.lit(1.0), F.col("top"))
         return F.coalesce((F.col("scaled") < limit) & (F.abs("a") >= 1e-9), F.lit(False)) | (F.col("moved") < limit)
 
+    # without a point that says something, all of these are null
     same = F.col("__far") <= ROUNDING * F.greatest(F.lit(1.0), F.col("top"))
     says = lambda form, test: F.coalesce(F.bool_or((F.col("form") == form) & (F.col("__split") == 0) & test), F.lit(False))
     found = met.groupBy("tree_id").agg(

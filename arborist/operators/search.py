@@ -42,14 +42,17 @@ def memetic_step(population: DataFrame, points: DataFrame, k: int, max_iter: int
     )
 
 
-def deviations(rows: DataFrame, key: list[str], truth: str, found: str) -> DataFrame:
+def deviations(rows: DataFrame, key: list[str], truth: str, found: str, usable: Column | None = None, **more: Column) -> DataFrame:
     """key with a and b, the factor and the offset that bring found nearest to truth, scaled and moved, the
-    largest deviations after either, and top, the largest size of truth: two passes over the rows."""
+    largest deviations after either, and top, the largest size of truth: two passes over the rows, of
+    which only usable ones count. more: further aggregates of the first pass."""
     y, f = F.col(truth), F.col(found)
-    best = rows.groupBy(*key).agg(F.try_divide(F.sum(y * f), F.sum(f * f)).alias("__a"), F.avg(y - f).alias("__b"), F.max(F.abs(y)).alias("__top"))
-    return rows.join(best, key).groupBy(*key).agg(
-        F.first("__a").alias("a"), F.first("__b").alias("b"), F.max(F.abs(y - F.col("__a") * f)).alias("scaled"), F.max(F.abs(y - f - F.col("__b"))).alias("moved"), F.first("__top").alias("top")
+    one = (lambda v: F.when(usable, v)) if usable is not None else lambda v: v
+    best = rows.groupBy(*key).agg(
+        F.try_divide(F.sum(one(y * f)), F.sum(one(f * f))).alias("a"), F.avg(one(y - f)).alias("b"), F.max(one(F.abs(y))).alias("top"), *(v.alias(k) for k, v in more.items())
     )
+    far = rows.join(best, key).groupBy(*key).agg(F.max(one(F.abs(y - F.col("a") * f))).alias("scaled"), F.max(one(F.abs(y - f - F.col("b")))).alias("moved"), *(F.first(k).alias(k) for k in ("a", "b", "top", *more)))
+    return far
 
 
 def recovered(rows: DataFrame, key: list[str], truth: str, found: str, tolerance: float = 1e-4) -> DataFrame:

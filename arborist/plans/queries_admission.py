@@ -80,9 +80,9 @@ def m10_polynomial_absorbable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _JUDGED = f"""WITH {p.TREES_SQL},
 cand AS (
-  SELECT tree_id, problem_id, shape, way, CASE way WHEN 'near' THEN c0 * (1 + 1e-7) WHEN 'off' THEN c0 * 1.01 WHEN 'first' THEN c0 * 2 WHEN 'small' THEN c0 * 1.00001 ELSE c0 END AS k0,
-    CASE way WHEN 'near' THEN c1 * (1 + 1e-7) WHEN 'off' THEN c1 * 1.01 WHEN 'small' THEN c1 * 1.00001 ELSE c1 END AS k1, CASE way WHEN 'near' THEN c2 * (1 + 1e-7) WHEN 'off' THEN c2 * 1.01 WHEN 'small' THEN c2 * 1.00001 ELSE c2 END AS k2, c0, c1, c2
-  FROM trees, (VALUES ('same'), ('near'), ('off'), ('first'), ('small')) v(way)),
+  SELECT tree_id, problem_id, shape, way, CASE way WHEN 'near' THEN c0 * (1 + 1e-7) WHEN 'off' THEN c0 * 1.01 WHEN 'first' THEN c0 * 2 ELSE c0 END AS k0,
+    CASE way WHEN 'near' THEN c1 * (1 + 1e-7) WHEN 'off' THEN c1 * 1.01 ELSE c1 END AS k1, CASE way WHEN 'near' THEN c2 * (1 + 1e-7) WHEN 'off' THEN c2 * 1.01 ELSE c2 END AS k2, c0, c1, c2
+  FROM trees, (VALUES ('near'), ('off'), ('first')) v(way)),
 forms AS (SELECT * FROM (VALUES ('digits'), ('decimals'), ('given')) f(form)),
 r AS (
   SELECT tree_id, problem_id, shape, way, form, {", ".join(f"CASE form WHEN 'digits' THEN round({c} * pow(10, 2 - floor(log10(abs({c}))))) / pow(10, 2 - floor(log10(abs({c})))) WHEN 'decimals' THEN CASE WHEN abs({c}) < 1e-4 THEN 0 ELSE round({c}, 3) END ELSE {c} END AS r{c}" for c in ("c0", "c1", "c2", "k0", "k1", "k2"))}
@@ -108,10 +108,10 @@ SELECT shape, way, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (strict)
 
 @query(_JUDGED)
 def y07_y09_y10_judge_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each tree as a law, and five finds of it: the same, nearly the same, off by a hundredth, the first
-    constant doubled (a factor or an added constant, by the shape), and off by a hundred-thousandth."""
+    """Each tree as a law, and three finds of it: nearly the same, off by a hundredth, and with the first
+    constant doubled (a factor or an added constant, by the shape)."""
     truths = kept(p.trees(spark, sf_dir))
-    ways = {"same": lambda v, i: v, "near": lambda v, i: v * (1 + 1e-7), "off": lambda v, i: v * 1.01, "first": lambda v, i: F.when(i == 0, v * 2).otherwise(v), "small": lambda v, i: v * 1.00001}
+    ways = {"near": lambda v, i: v * (1 + 1e-7), "off": lambda v, i: v * 1.01, "first": lambda v, i: F.when(i == 0, v * 2).otherwise(v)}
     finds = None
     for place, (way, moved) in enumerate(ways.items()):
         one = truths.withColumns({"way": F.lit(way), "law": F.col("tree_id"), "tree_id": F.col("tree_id") * len(ways) + place, "c": F.transform("c", moved)})

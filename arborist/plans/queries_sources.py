@@ -31,12 +31,12 @@ def s01_k01_population_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT 'c0 + c1 * x' || (p_size % 3) AS expr, CAST(5 AS BIGINT) AS nodes, CAST(2 AS BIGINT) AS k, CAST(count(*) AS BIGINT) AS n FROM part GROUP BY 1
-UNION ALL SELECT 'import os' AS expr, NULL, NULL, CAST(count(*) AS BIGINT) FROM part WHERE p_partkey % 50 = 0""")
+UNION ALL SELECT 'import os' AS expr, NULL, NULL, CAST(count(*) AS BIGINT) FROM part WHERE p_size = 50""")
 def s06_k04_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fit requests written as JSON lines and read with the expression grammar; others are no trees."""
     part = p.read(spark, sf_dir, "part")
     good = part.select(F.concat(F.lit("c0 + c1 * x"), (F.col("p_size") % 3).cast("string")).alias("expr"), F.col("p_type").alias("dataset"))
-    bad = part.where("p_partkey % 50 = 0").select(F.lit("import os").alias("expr"), F.col("p_type").alias("dataset"))
+    bad = part.where("p_size = 50").select(F.lit("import os").alias("expr"), F.col("p_type").alias("dataset"))
     path = new_path(spark, "requests")
     good.unionByName(bad).write.json(path)
     rows = texts.requests(spark, path)
@@ -103,12 +103,12 @@ def s05_n06_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.resolved(registry)
 
 
-@query("""WITH old AS (SELECT p_partkey AS id, p_type AS path FROM part WHERE p_partkey % 3 <> 0), new_ AS (SELECT p_partkey AS id, p_brand AS path FROM part WHERE p_partkey % 5 = 0)
+@query("""WITH old AS (SELECT p_partkey AS id, p_type AS path FROM part WHERE p_size <= 35), new_ AS (SELECT p_partkey AS id, p_brand AS path FROM part WHERE p_size > 25)
 SELECT path, CAST(count(*) AS BIGINT) AS n FROM (SELECT * FROM old ANTI JOIN new_ USING (id) UNION ALL SELECT * FROM new_) GROUP BY 1""")
 def k09_registry_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = p.read(spark, sf_dir, "part")
-    old = part.where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("path"))
-    new = part.where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("path"))
+    old = part.where("p_size <= 35").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("path"))
+    new = part.where("p_size > 25").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("path"))
     return texts.upserted(old, new).groupBy("path").agg(F.count("*").alias("n"))
 
 
