@@ -13,11 +13,11 @@ from ..functions.ops import is_finite
 from ..plans import trees as t
 from ..sources.shared import kept
 from . import scoring as s
-from .fitting import fit, written_back
+from .fitting import Options, fit, written_back
 from .ranking import joined, placed
 
 
-def memetic_step(population: DataFrame, points: DataFrame, k: int, max_iter: int, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def memetic_step(population: DataFrame, points: DataFrame, k: int, max_iter: int, save: Callable[[DataFrame], DataFrame], options: Options = Options()) -> DataFrame:
     """The population after one step, with outcome: the best k trees of each problem, one for each
     structure, are fitted; fitted constants go back where they are finite and lower the loss, and
     are rolled back where not.
@@ -26,7 +26,7 @@ def memetic_step(population: DataFrame, points: DataFrame, k: int, max_iter: int
     unique = Window.partitionBy("problem_id", F.to_json("nodes")).orderBy("loss", "tree_id")
     chosen = before.where(is_finite(F.col("loss")) & (F.size("c") > 0)).withColumn("rn", F.row_number().over(unique)).where("rn = 1").drop("rn")
     chosen = s.top_k(chosen, ["problem_id"], [F.col("loss"), F.col("tree_id")], k).select(*population.columns)
-    fits = fit(chosen, points, max_iter, save)
+    fits = fit(chosen, points, max_iter, save, options)
     fitted = written_back(chosen, fits).select("tree_id", F.col("c").alias("c_new"))
     again = s.losses(written_back(chosen, fits).select(*population.columns), points).select("tree_id", F.col("loss").alias("loss_new"))
     met = before.join(fitted.join(again, "tree_id"), "tree_id", "left")

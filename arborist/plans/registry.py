@@ -23,4 +23,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from . import queries_admission, queries_fits, queries_fitting, queries_more, queries_panels, queries_records, queries_relational, queries_scalar, queries_search, queries_solvers, queries_sources  # noqa: F401
+    from . import queries_admission, queries_evolution, queries_fits, queries_fitting, queries_more, queries_panels, queries_records, queries_relational, queries_scalar, queries_search, queries_solvers, queries_sources  # noqa: F401
