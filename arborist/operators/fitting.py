@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from ..functions.ops import BY_NAME, INF, Columns, annihilating, is_finite
 from ..plans import trees as t
 from . import arrays
+from .minimise import METHODS, minimise_in_rounds, minimise_one
 from .scoring import few_structures, half_sse
 
 #: Statuses of a fit.
@@ -87,7 +88,7 @@ class Options:
     small; "step" asks first and takes a small step even uphill (the ablation that claims too much).
     plan: "tasks" or "rounds" whatever the sizes, or "size", which chooses for each problem.
     xtol: the relative step that counts as small.
-    method: "lm", or in tasks "bfgs", which minimises the mean square by its gradient alone."""
+    method: "lm", or "bfgs", "l-bfgs" or "cg", which minimise the mean square by its gradient alone."""
 
     jacobian: str = "reverse"
     damping: str = "relative"
@@ -228,38 +229,6 @@ def pass_over(state: DataFrame, points: DataFrame, known: list[tuple[str, t.Tree
     return sums.select("tree_id", "loss", F.array_compact(upper).alias("jtj"), F.array_compact(down).alias("jtr"))
 
 
-def minimise_one(nodes: list[dict], c: np.ndarray, points: tuple[np.ndarray, np.ndarray, np.ndarray], max_iter: int, options: Options) -> tuple:
-    """As fit_one by BFGS: an inverse Hessian from gradients, steps halved until the loss falls enough.
-
-    Converged if the gradient is small, or if no step along it lowers the loss after some did.
-    """
-    n = max(int(points[2].sum()), 1)
-    loss, _, down = arrays.numbers(nodes, c, points, options.jacobian)
-    first, inverse, slope = loss, np.eye(len(c)), 2 * down / n
-    if not np.isfinite(loss) or not np.isfinite(slope).all():
-        return c, FAIL_NAN, 0, first, loss
-    for i in range(1, max_iter + 1):
-        if np.abs(slope).max() < 1e-8:
-            return c, CONVERGED, i - 1, first, loss
-        way = -inverse @ slope
-        if way @ slope >= 0:
-            inverse, way = np.eye(len(c)), -slope
-        for halving in range(40):
-            step = way * 0.5**halving
-            t_loss, _, t_down = arrays.numbers(nodes, c + step, points, options.jacobian)
-            if np.isfinite(t_loss) and np.isfinite(t_down).all() and t_loss <= loss + 1e-4 * n / 2 * (slope @ step):
-                break
-        else:
-            return c, CONVERGED if loss < first else FAIL_NAN, i, first, loss
-        change = 2 * t_down / n - slope
-        c, loss, slope = c + step, t_loss, slope + change
-        bend = step @ change
-        if bend > 1e-300:
-            turn = np.eye(len(c)) - np.outer(step, change) / bend
-            inverse = turn @ inverse @ turn.T + np.outer(step, step) / bend
-    return c, MAXITER, max_iter, first, loss
-
-
 _DONE = ["tree_id", "c_final", "status", "n_iter", "loss_init", "loss_final"]
 
 
@@ -301,6 +270,8 @@ def fit_in_rounds(some: DataFrame, points: DataFrame, max_iter: int, options: Op
     else:
         blocks = save(arrays.blocked(points))
         over = lambda rows: arrays.pass_over(rows.withColumnRenamed("structure", "nodes"), blocks, options.jacobian)
+    if options.method in METHODS:
+        return minimise_in_rounds(some, points, over, max_iter, options, save)
     first = over(some.withColumn("at", F.col("c")))
     state = some.join(first, "tree_id").withColumns(
         {"lambda": F.lit(LAMBDA0), "n_iter": F.lit(0), "loss_init": F.col("loss"), "status": F.when(~is_finite(F.col("loss")), F.lit(FAIL_NAN))}
@@ -346,8 +317,8 @@ def fit(population: DataFrame, points: DataFrame, max_iter: int = 50, save: Call
     what is computed and cuts the lineage.
     """
     save = save or (lambda df: df.checkpoint())
-    if options.method != "lm" and options.plan != "tasks":
-        raise ValueError("only Levenberg-Marquardt has a plan in rounds; ask for the one in tasks")
+    if options.method not in ("lm", *METHODS):
+        raise ValueError(f"no method {options.method!r}")
     base = population.select("tree_id", "problem_id", "nodes", "c")
     some = base.where(F.size("c") > 0)
     large = None
@@ -390,7 +361,9 @@ BACKENDS = {
     "lm_differences": Options(jacobian="forward"),
     "lm_step_first": Options(order="step"),
     "tight": Options(xtol=1e-10),
-    "bfgs": Options(method="bfgs", plan="tasks"),
+    "bfgs": Options(method="bfgs"),
+    "l-bfgs": Options(method="l-bfgs"),
+    "cg": Options(method="cg"),
 }
 
 

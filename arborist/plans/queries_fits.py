@@ -67,10 +67,27 @@ def l12_oracle_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_TREES + _OLS.replace(", 6)", ", 3)"))
 def l15_l18_bfgs_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The minimiser by gradients alone, on the linear shape."""
-    fits = fitting.fit(p.trees(spark, sf_dir).where("shape = 0"), p.points(spark, sf_dir), 200, kept, fitting.Options(method="bfgs", plan="tasks"))
+    fits = fitting.fit(p.trees(spark, sf_dir).where("shape = 0"), p.points(spark, sf_dir), 200, kept, fitting.backend("bfgs"))
     return fits.select("tree_id", *(F.round(F.col("c_final")[i], 3).alias(f"c{i}") for i in (0, 1)))
 
 
+@query(_TREES + """, f AS (SELECT tree_id, round(regr_intercept(y, x0), 3) AS c0, round(regr_slope(y, x0), 3) AS c1 FROM trees JOIN points USING (problem_id) WHERE shape = 0 GROUP BY tree_id)
+SELECT method, restart, tree_id, c0, c1 FROM f, (VALUES ('bfgs', TRUE), ('l-bfgs', FALSE), ('cg', FALSE)) m(method, restart)""")
+def l15_l18_minimisers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minimisers by gradients alone on the linear shape, one of them from its best of three starts: all end at
+    least squares."""
+    population, points = p.trees(spark, sf_dir).where("shape = 0"), p.points(spark, sf_dir)
+    out = None
+    for method in ("bfgs", "l-bfgs", "cg"):
+        trials = fitting.starts(population, 3 if method == "bfgs" else 1, 0.5, 2)
+        trials = trials.withColumns({"tree": F.col("tree_id"), "tree_id": F.col("tree_id") * 3 + F.col("trial")})
+        fits = fitting.fit(trials, points, 2000, kept, fitting.backend(method)).join(trials.select("tree_id", "tree", "trial"), "tree_id")
+        best = fitting.best_of(fits.drop("tree_id").withColumnRenamed("tree", "tree_id"))
+        one = best.select(F.lit(method).alias("method"), F.lit(method == "bfgs").alias("restart"), "tree_id", *(F.round(F.col("c_final")[i], 3).alias(f"c{i}") for i in (0, 1)))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query()
 def h17_n05_restart_from_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generated trees with a known law, fitted from scattered constants; those that converged above
