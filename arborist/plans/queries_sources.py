@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import popfile, texts
-from ..sources.shared import new_path
+from ..sources import catalogue, popfile, texts
+from ..sources.shared import kept, new_path
 from . import population as p
 from . import trees as t
 from .registry import query
@@ -120,3 +120,29 @@ def s04_k06_dataset_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows.repartition("problem_id").sortWithinPartitions("problem_id").write.parquet(path)
     back = spark.read.parquet(path).select("problem_id", "x0", "y")
     return back.groupBy("problem_id").agg(F.count("*").alias("n"), F.round(F.sum("x0"), 4).alias("x0"), F.round(F.sum("y"), 4).alias("y"))
+
+
+@query("""WITH e AS (SELECT p_partkey AS id, p_size AS size, p_retailprice / 1000 AS price FROM part)
+SELECT CASE WHEN size % 2 = 0 THEN 'c0*x0**2 + 1.5' ELSE 'c0*sqrt(x0)/(x1 + 2)' END AS expr, CAST(3 AS BIGINT) AS k, CAST(count(*) AS BIGINT) AS problems, CAST(sum(2 + size % 3) AS BIGINT) AS points,
+  CAST(0 AS BIGINT) AS bad, round(sum(price), 4) AS c0, TRUE AS agree FROM e WHERE size % 2 = 0 GROUP BY 1
+UNION ALL SELECT 'c0*sqrt(x0)/(x1 + 2)' AS expr, CAST(2 AS BIGINT), CAST(count(*) AS BIGINT), CAST(sum(2 + size % 3) AS BIGINT), CAST(0 AS BIGINT), round(sum(price), 4), TRUE FROM e WHERE size % 2 = 1""")
+def s07_s08_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalogue with a formula for each part, written as text, read back, and sampled: numbers in formulas are
+    constants, and every point has its law's value."""
+    even = F.col("p_size") % 2 == 0
+    entries = p.read(spark, sf_dir, "part").select(
+        F.col("p_partkey").cast("string").alias("id"), F.when(even, "c0*x0**2 + 1.5").otherwise("c0*sqrt(x0)/(x1 + 2)").alias("expr"), F.array(F.col("p_retailprice") / 1000).alias("known"),
+        F.expr("if(p_size % 2 = 0, array(array(0.5D, 2.5D)), array(array(1.0D, 3.0D), array(0.0D, 5.0D)))").alias("ranges"), (2 + F.col("p_size") % 3).alias("n_samples"),
+    )
+    path = new_path(spark, "catalogue")
+    catalogue.written(entries).write.text(path)
+    rows = kept(catalogue.problems(spark, path))
+    points = catalogue.materialised(rows)
+    c, x = F.col("c"), F.col("x")
+    met = points.join(rows.select(F.col("id").alias("problem_id"), "expr", "c"), "problem_id")
+    law = F.when(F.size("x") == 1, c[0] * x[0] * x[0] + 1.5).otherwise(c[0] * F.sqrt(x[0]) / (x[1] + 2))
+    near = met.groupBy("problem_id").agg(F.bool_and(F.abs(F.col("y") - law) < 1e-9).alias("near"), F.count("*").alias("n"), F.count_if(F.col("y").isNull()).alias("bad"))
+    both = rows.join(near, rows["id"] == near["problem_id"])
+    return both.groupBy("expr").agg(
+        F.max(F.size("c")).cast("long").alias("k"), F.count("*").alias("problems"), F.sum("n").alias("points"), F.sum("bad").alias("bad"), F.round(F.sum(c[0]), 4).alias("c0"), F.bool_and("near").alias("agree")
+    )

@@ -27,10 +27,11 @@ class Tree:
     args: tuple = ()
 
 
-def parse(text: str) -> Tree:
-    """A tree from its infix text: numbers of variables x0.. and constants c0.., + - * / ^, and
-    functions by the opcodes' names. Nothing else is accepted, and nothing is evaluated."""
-    tokens = re.findall(r"\s*([xc]\d+|[A-Za-z_]+|[-+*/^(),])", text)
+def parse(text: str, literals: list[float] | None = None) -> Tree:
+    """A tree from its infix text: variables x0.. and constants c0.., + - * / ^ (or **), and
+    functions by the opcodes' names. Nothing else is accepted, and nothing is evaluated; numbers only
+    if literals is given, which takes them: the i-th is then the constant -1 - i."""
+    tokens = re.findall(r"\s*([xc]\d+|\d+(?:\.\d*)?(?:[eE][-+]?\d+)?|[A-Za-z_]+|\*\*|[-+*/^(),])", text)
     if "".join(tokens) != re.sub(r"\s+", "", text):
         raise ValueError(f"not an expression: {text!r}")
     at = 0
@@ -50,7 +51,7 @@ def parse(text: str) -> Tree:
 
     def power() -> Tree:
         left = atom()
-        if at < len(tokens) and tokens[at] == "^":
+        if at < len(tokens) and tokens[at] in ("^", "**"):
             take()
             return Tree("POW", (left, unary()))
         return left
@@ -75,6 +76,9 @@ def parse(text: str) -> Tree:
             return inner
         if re.fullmatch(r"[xc]\d+", token):
             return Tree(token[0], (int(token[1:]),))
+        if token[0].isdigit() and literals is not None:
+            literals.append(float(token))
+            return Tree("c", (-len(literals),))
         op = BY_NAME.get(token.upper())
         if op is None:
             raise ValueError(f"unknown name {token!r}")
@@ -92,6 +96,18 @@ def parse(text: str) -> Tree:
     return tree
 
 
+def lifted(text: str, constants: list[float]) -> tuple[list[Node], list[float]]:
+    """Prefix nodes of a text with numbers in it, and its constants: numbers become constants with their
+    value, and all are numbered by first occurrence."""
+    literals: list[float] = []
+    nodes, order, values = prefix(parse(text, literals)), {}, []
+    for nt, _, ci in nodes:
+        if nt == CONST and ci not in order:
+            order[ci] = len(order)
+            values.append(literals[-1 - ci] if ci < 0 else constants[ci])
+    return [(nt, nv, order[ci] if nt == CONST else ci) for nt, nv, ci in nodes], values
+
+
 def prefix(tree: Tree) -> list[Node]:
     if tree.op == "x":
         return [(VAR, float(tree.args[0]), -1)]
