@@ -45,7 +45,7 @@ FROM said"""
 
 
 @query(_ADMISSION)
-def y05_y06_n07_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+def y04_y06_m01_m03_n07_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every supplier's problem, of the construction grid by its key, over its line items: admitted or why not."""
     suppliers = p.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("problem_id"))
     trees = F.array(*(p.node_literal(t.prefix(t.parse(tree))) for _, tree, _, _ in _CELLS))

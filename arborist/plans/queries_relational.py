@@ -101,6 +101,19 @@ def m08_signed_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.signed_ranks(_pairs(spark, sf_dir), "va", "vb").select("n", _r(F.col("w_plus").cast("double"), "w_plus", 1), _r(F.col("z"), "z"))
 
 
+@query(_STUDY + """, pr AS (SELECT problem, avg(CASE WHEN arm = 'BUILDING' THEN r2 END) AS va, avg(CASE WHEN arm = 'MACHINERY' THEN r2 END) AS vb FROM study GROUP BY problem),
+d AS (SELECT va - vb AS d FROM pr WHERE va <> vb), k AS (SELECT d, rank() OVER (ORDER BY abs(d)) AS rank FROM d),
+w AS (SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN d > 0 THEN rank ELSE 0 END) AS BIGINT) AS w FROM k),
+ways AS (SELECT n, w, list_reduce(list_concat([[1.0::DOUBLE]], list_transform(range(1, n + 1), lambda r: [r::DOUBLE])), lambda acc, r: list_transform(range(1, n * (n + 1) // 2 + 2), lambda i:
+  coalesce(acc[i], 0) + CASE WHEN i > r[1] THEN coalesce(acc[i - CAST(r[1] AS BIGINT)], 0) ELSE 0 END)) AS ways FROM w)
+SELECT n, round(w, 1) AS w_plus, round(least(1, 2 * least(list_sum(ways[1:w + 1]), list_sum(ways[w + 1:])) / list_sum(ways)), 6) AS p FROM ways""")
+def m08_signed_rank_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact two-sided p of the signed-rank test between two arms, over problems."""
+    pairs = st.paired(_study(spark, sf_dir), ["problem"], "arm", "BUILDING", "MACHINERY", "r2")
+    rows = st.signed_ranks(pairs, "va", "vb").withColumn("w_plus", F.col("w_plus").cast("double"))
+    return rows.select("n", _r(F.col("w_plus"), "w_plus", 1), _r(st.signed_rank_p("n", "w_plus", "ties"), "p"))
+
+
 @query(_STUDY + """, f AS (SELECT *, row_number() OVER (PARTITION BY arm, difficulty ORDER BY r2 DESC, id) AS rn FROM study)
 SELECT arm, difficulty, CAST(id AS BIGINT) AS id FROM f WHERE rn <= 2""")
 def f15_stratified_subset(spark: SparkSession, sf_dir: str) -> DataFrame:

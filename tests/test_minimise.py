@@ -62,3 +62,26 @@ def test_rounds_agree_with_tasks(spark, method):
 def test_unknown_methods(spark):
     with pytest.raises(ValueError):
         fitting.fit(spark.range(0).selectExpr("id tree_id", "id problem_id", f"cast(null as {t.NODES}) nodes", "cast(null as array<double>) c"), spark.range(0), options=fitting.Options(method="magic"))
+
+
+def test_signed_rank_p(spark):
+    """Exact against all signs of the ranks; with ties the normal distribution, against numbers by hand."""
+    import itertools
+    import math
+
+    from arborist.operators import studies
+
+    rows = [(n, float(w), 0.0) for n in range(9) for w in range(n * (n + 1) // 2 + 1)] + [(60, 700.0, 0.0), (10, 40.5, 24.0), (0, 0.0, 0.0)]
+    got = spark.createDataFrame(rows, "n long, w double, ties double").select("n", "w", "ties", studies.signed_rank_p("n", "w", "ties").alias("p")).collect()
+    for r in got:
+        if r.n == 0:
+            assert r.p is None
+        elif r.n > 50 or r.ties:
+            z = (r.w - r.n * (r.n + 1) / 4) / math.sqrt(r.n * (r.n + 1) * (2 * r.n + 1) / 24 - r.ties / 48)
+            assert r.p == pytest.approx(math.erfc(abs(z) / math.sqrt(2)))
+        else:
+            sums = [sum(i + 1 for i, up in enumerate(signs) if up) for signs in itertools.product((0, 1), repeat=r.n)]
+            want = min(1.0, 2 * min(sum(s <= r.w for s in sums), sum(s >= r.w for s in sums)) / len(sums))
+            assert r.p == pytest.approx(want)
+    tied = spark.createDataFrame([(1.0, 0.0), (0.0, 1.0), (3.0, 0.0), (2.0, 2.0)], "a double, b double")
+    assert tuple(studies.signed_ranks(tied, "a", "b").select("n", "w_plus", "ties").first()) == (3, 4.5, 6.0)
