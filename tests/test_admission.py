@@ -88,8 +88,8 @@ def test_least_squares_in_rounds(spark, monkeypatch):
     for r in admission.polynomial_fits(points, 4, kept).collect():
         want = [1 - ((np.polyval(np.polyfit(x, y, d), x) - y) ** 2).sum() / ((y - y.mean()) ** 2).sum() for d in range(1, 5)]
         assert np.allclose(r.r2, want)
-    blocks = admission.arrays.blocked(points).withColumns({"columns": F.array(*(F.array(F.struct(F.lit(0).alias("nt"), F.lit(0.0).cast("float").alias("nv"), F.lit(-1).alias("ci"))) for _ in range(2))), "c": F.array().cast("array<double>")})
-    twice = squares.reduced(blocks.withColumn("r", squares.block_triangles("columns", "c", "block")), ["problem_id"], kept)
+    blocks = admission.arrays.blocked(points).withColumns({"columns": F.array(*(F.array(F.struct(F.lit(0).alias("nt"), F.lit(0.0).cast("float").alias("nv"), F.lit(-1).alias("ci"))) for _ in range(2))), "tried": F.array(F.array().cast("array<double>"))})
+    twice = squares.reduced(blocks.withColumn("r", squares.block_triangles("columns", "tried", "block")[0]), ["problem_id"], kept)
     line = 1 - ((np.polyval(np.polyfit(x, y, 1), x) - y) ** 2).sum() / ((y - y.mean()) ** 2).sum()
     assert all(np.isclose(r.r2, line) for r in twice.select(squares.least_squares("r")["r2"].alias("r2")).collect())
 
