@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import catalogue, popfile, texts
+from ..functions.ops import is_finite
+from ..operators import scoring
+from ..sources import catalogue, pinned, popfile, texts
 from ..sources.shared import kept, new_path
 from . import population as p
 from . import trees as t
@@ -146,3 +148,20 @@ def s07_s08_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("expr").agg(
         F.max(F.size("c")).cast("long").alias("k"), F.count("*").alias("problems"), F.sum("n").alias("points"), F.sum("bad").alias("bad"), F.round(F.sum(c[0]), 4).alias("c0"), F.bool_and("near").alias("agree")
     )
+
+
+@query("WITH " + p.LOSSES_SQL + "SELECT shape, CAST(count(*) AS BIGINT) AS n, round(sum(CASE WHEN isfinite(loss) THEN loss END), 2) AS total FROM losses WHERE engine = 'start' GROUP BY shape")
+def s16_k07_pinned_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees known by a preset's name and digest, and their losses, computed once and read the second time."""
+    path, root = new_path(spark, "preset"), new_path(spark, "results")
+    p.trees(spark, sf_dir).write.parquet(path)
+    found = pinned.resolved(spark, "preset:suppliers", {"suppliers": (path, pinned.digest(spark, path))})
+    trees = spark.read.parquet(found)
+    made = lambda: trees.select("tree_id", "shape").join(scoring.losses(trees, p.points(spark, sf_dir)), "tree_id")
+
+    def again() -> DataFrame:
+        raise AssertionError("the result was kept")
+
+    pinned.remembered(spark, root, found, "all", made)
+    rows = pinned.remembered(spark, root, found, "all", again)
+    return rows.groupBy("shape").agg(F.count("*").alias("n"), F.round(F.sum(F.when(is_finite(F.col("loss")), F.col("loss"))), 2).alias("total"))

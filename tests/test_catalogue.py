@@ -83,3 +83,25 @@ def test_written_and_read(spark, tmp_path):
     catalogue.written(row).write.text(str(tmp_path / "x"))
     r = catalogue.problems(spark, str(tmp_path / "x")).first()
     assert (r.id, r.expr, r.c, r.ranges, r.n_samples) == ("a", "c0*x0 + 1", [2.5, 1.0], [[0.0, 1.0], [2.0, 3.5]], 7)
+
+
+def test_pinned(spark, tmp_path):
+    from arborist.sources import pinned
+
+    a, root = str(tmp_path / "a"), str(tmp_path / "kept")
+    spark.range(10).write.parquet(a)
+    pin = pinned.digest(spark, a)
+    assert pinned.digest(spark, a) == pin and pinned.resolved(spark, a, {}) == a
+    presets = {"a": (a, pin), "b": (a, "0" * 40), "free": (a, None)}
+    with pytest.raises(ValueError):
+        pinned.resolved(spark, "preset:c", presets)
+    with pytest.warns(UserWarning, match="pinned"):
+        assert pinned.resolved(spark, "preset:b", presets) == a
+    made = []
+    make = lambda n: lambda: made.append(n) or spark.range(n)
+    assert pinned.remembered(spark, root, a, "x", make(3)).count() == 3
+    assert pinned.remembered(spark, root, a, "x", make(4)).count() == 3
+    assert pinned.remembered(spark, root, a, "y", make(5)).count() == 5
+    spark.range(1).write.mode("append").parquet(a)
+    assert pinned.digest(spark, a) != pin and pinned.remembered(spark, root, a, "x", make(6)).count() == 6
+    assert made == [3, 5, 6]
