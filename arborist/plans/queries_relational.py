@@ -106,7 +106,7 @@ d AS (SELECT va - vb AS d FROM pr WHERE va <> vb), k AS (SELECT d, rank() OVER (
 w AS (SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN d > 0 THEN rank ELSE 0 END) AS BIGINT) AS w FROM k),
 ways AS (SELECT n, w, list_reduce(list_concat([[1.0::DOUBLE]], list_transform(range(1, n + 1), lambda r: [r::DOUBLE])), lambda acc, r: list_transform(range(1, n * (n + 1) // 2 + 2), lambda i:
   coalesce(acc[i], 0) + CASE WHEN i > r[1] THEN coalesce(acc[i - CAST(r[1] AS BIGINT)], 0) ELSE 0 END)) AS ways FROM w)
-SELECT n, round(w, 1) AS w_plus, round(least(1, 2 * least(list_sum(ways[1:w + 1]), list_sum(ways[w + 1:])) / list_sum(ways)), 6) AS p FROM ways""")
+SELECT n, round(CAST(w AS DOUBLE), 1) AS w_plus, round(least(1, 2 * least(list_sum(ways[1:w + 1]), list_sum(ways[w + 1:])) / list_sum(ways)), 6) AS p FROM ways""")
 def m08_signed_rank_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exact two-sided p of the signed-rank test between two arms, over problems."""
     pairs = st.paired(_study(spark, sf_dir), ["problem"], "arm", "BUILDING", "MACHINERY", "r2")
