@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ops import is_finite
-from ..operators import scoring
-from ..sources import catalogue, pinned, popfile, texts
+from ..operators import fitting, scoring
+from ..sources import catalogue, pinned, popfile, sidecar, texts
 from ..sources.shared import kept, new_path
 from . import population as p
 from . import trees as t
@@ -32,6 +32,35 @@ def s01_k01_population_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("WITH " + p.TREES_SQL + """
+SELECT problem_id AS part, CAST(8 AS BIGINT) AS trees, CAST(1 AS BIGINT) AS skipped, CAST(17 AS BIGINT) AS constants, CAST(17 AS BIGINT) AS raw, CAST(0 AS BIGINT) AS worse,
+  round(regr_intercept(y, x0), 2) AS c0, round(regr_slope(y, x0), 2) AS c1, TRUE AS as_fitted FROM points GROUP BY problem_id""")
+def s19_k03_result_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each supplier's trees as a population file and what their fits return as raw arrays, read back beside the file
+    and as plain arrays: the constants of each tree are its own, in single precision."""
+    popfile.register(spark)
+    sidecar.register(spark)
+    trees, out = new_path(spark, "population"), new_path(spark, "results")
+    population = p.trees(spark, sf_dir)
+    none = F.array().cast("array<double>")
+    rows = population.select(F.col("problem_id").alias("part"), F.col("shape").alias("place"), "nodes", "c", none.alias("x"), F.lit(0).alias("n_vars"), none.alias("y"))
+    rows.repartition("part").sortWithinPartitions("part", "place").write.format("population").mode("append").save(trees)
+    fits = kept(fitting.fit(population, p.points(spark, sf_dir), save=kept).join(population.select("tree_id", F.col("problem_id").alias("part"), F.col("shape").alias("place")), "tree_id"))
+    fits = fits.select("part", "place", "status", "c_final", "loss_init", "loss_final")
+    fits.repartition("part").sortWithinPartitions("part", "place").write.format("fitted").mode("append").save(out)
+    back = spark.read.format("fitted").option("populations", trees).load(out)
+    raw = spark.read.format("sidecar").option("kind", "<f4").load(out).where("array = 'c_final'")
+    raw = raw.groupBy(F.regexp_extract("file", r"part-(\d+)/", 1).cast("long").alias("part")).agg(F.count("*").alias("raw"))
+    single = F.transform(F.col("f.c_final"), lambda v: v.cast("float").cast("double"))
+    met = back.alias("b").join(fits.alias("f"), ["part", "place"]).withColumns({"as_fitted": (F.col("b.status") == F.col("f.status")) & (F.col("b.c_final") == single), "c": F.col("b.c_final")})
+    first = lambda i: F.round(F.max(F.when(F.col("place") == 0, F.col("c")[i])), 2)
+    sums = met.groupBy("part").agg(
+        F.count("*").alias("trees"), F.count_if(F.col("b.status") == fitting.K0_SKIP).alias("skipped"), F.sum(F.size("c")).alias("constants"),
+        F.count_if((F.col("b.status") != fitting.K0_SKIP) & (F.col("b.loss_final") > F.col("b.loss_init"))).alias("worse"), first(0).alias("c0"), first(1).alias("c1"), F.bool_and("as_fitted").alias("as_fitted"),
+    )
+    return sums.join(raw, "part")
+
+
 @query("""SELECT 'c0 + c1 * x' || (p_size % 3) AS expr, CAST(5 AS BIGINT) AS nodes, CAST(2 AS BIGINT) AS k, CAST(count(*) AS BIGINT) AS n FROM part GROUP BY 1
 UNION ALL SELECT 'import os' AS expr, NULL, NULL, CAST(count(*) AS BIGINT) FROM part WHERE p_size = 50""")
 def s06_k04_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
