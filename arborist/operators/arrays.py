@@ -131,8 +131,13 @@ def central(nodes: list[dict], x: Array, c: Array) -> tuple[Array, Array]:
     return value(nodes, x, c), out
 
 
+def flat(nodes: list[dict], x: Array, c: Array) -> tuple[Array, Array]:
+    """The values alone, for a minimiser that asks for no derivative."""
+    return value(nodes, x, c), np.zeros((len(c), len(x)))
+
+
 #: Ways to a derivative by name; fitting.by_constants has the same names over columns.
-JACOBIANS = {"reverse": slopes, "dual": dual, "forward": differences, "central": central}
+JACOBIANS = {"reverse": slopes, "dual": dual, "forward": differences, "central": central, "none": flat}
 
 
 def _doubles(values: pa.Array) -> Array:

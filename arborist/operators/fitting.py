@@ -81,14 +81,16 @@ def dual(tree: t.Tree, x: Callable[[int], Column], c: Callable[[int], Column]) -
 @dataclass(frozen=True)
 class Options:
     """jacobian: "reverse" derivatives, "dual" ones (the same by tangents from the leaves up), or
-    "forward" differences of relative step 1e-3 or "central" ones of 1e-6 (ablations).
+    "forward" differences of relative step 1e-3 or "central" ones of 1e-6 (ablations); "none" for "nelder-mead".
     damping: "relative" scales the diagonal by 1 + lambda, "absolute" adds lambda to it.
     pivot_floor: added to the diagonal before the solve (0 in the standard form).
     order: "improve" takes a step only if the loss doesn't grow, and only then asks whether it was
     small; "step" asks first and takes a small step even uphill (the ablation that claims too much).
     plan: "tasks" or "rounds" whatever the sizes, or "size", which chooses for each problem.
     xtol: the relative step that counts as small.
-    method: "lm", or "bfgs", "l-bfgs" or "cg", which minimise the mean square by its gradient alone."""
+    method: "lm", or "bfgs", "l-bfgs" or "cg", which minimise the mean square by its gradient alone, or
+    "nelder-mead", which does by its values alone.
+    bounds: low and high, between which the methods by gradient keep all constants; starts beyond are put on them."""
 
     jacobian: str = "reverse"
     damping: str = "relative"
@@ -97,6 +99,15 @@ class Options:
     plan: str = "size"
     xtol: float = XTOL
     method: str = "lm"
+    bounds: tuple[float, float] | None = None
+
+    def __post_init__(self) -> None:
+        if self.method not in ("lm", *METHODS):
+            raise ValueError(f"no method {self.method!r}")
+        if self.jacobian == "none" and self.method != "nelder-mead":
+            raise ValueError(f"{self.method} needs derivatives")
+        if self.bounds is not None and (self.method in ("lm", "nelder-mead") or not self.bounds[0] < self.bounds[1]):
+            raise ValueError("bounds are a low and a higher number, for the minimisers by gradient")
 
 
 def square(upper: list[float], k: int) -> np.ndarray:
@@ -188,7 +199,7 @@ def central(tree: t.Tree, x: Callable[[int], Column], c: Callable[[int], Column]
 def by_constants(tree: t.Tree, x: Callable[[int], Column], c: Callable[[int], Column], jacobian: str) -> dict[int, Column]:
     """The derivative by each constant, in the way that jacobian names."""
     k = sum(n[0] == t.CONST for n in t.prefix(tree))
-    ways = {"reverse": lambda: gradient(tree, x, c), "dual": lambda: dual(tree, x, c), "forward": lambda: differences(tree, x, c, k), "central": lambda: central(tree, x, c, k)}
+    ways = {"reverse": lambda: gradient(tree, x, c), "dual": lambda: dual(tree, x, c), "forward": lambda: differences(tree, x, c, k), "central": lambda: central(tree, x, c, k), "none": dict}
     return ways[jacobian]()
 
 
@@ -317,9 +328,10 @@ def fit(population: DataFrame, points: DataFrame, max_iter: int = 50, save: Call
     what is computed and cuts the lineage.
     """
     save = save or (lambda df: df.checkpoint())
-    if options.method not in ("lm", *METHODS):
-        raise ValueError(f"no method {options.method!r}")
     base = population.select("tree_id", "problem_id", "nodes", "c")
+    if options.bounds is not None:
+        low, high = map(F.lit, options.bounds)
+        base = base.withColumn("c", F.transform("c", lambda v: F.when(F.isnan(v), v).otherwise(F.least(F.greatest(v, low), high))))
     some = base.where(F.size("c") > 0)
     large = None
     if options.plan == "size":
@@ -364,6 +376,7 @@ BACKENDS = {
     "bfgs": Options(method="bfgs"),
     "l-bfgs": Options(method="l-bfgs"),
     "cg": Options(method="cg"),
+    "nelder-mead": Options(method="nelder-mead", jacobian="none"),
 }
 
 

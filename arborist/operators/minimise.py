@@ -1,4 +1,5 @@
-"""Minimisers of the mean square by its gradient alone: BFGS, L-BFGS and conjugate gradients.
+"""Minimisers of the mean square by its gradient alone (BFGS, L-BFGS and conjugate gradients) or by its
+values alone (Nelder and Mead's simplex); those by gradients within bounds where wanted.
 
 One schedule for all, as a walk that only asks for the loss and the gradient at its next trial point.
 So the same walk runs inside a task over a problem's points, and in rounds for large problems, where
@@ -18,9 +19,13 @@ from pyspark.sql import types as T
 
 from .arrays import numbers
 
-METHODS = ("bfgs", "l-bfgs", "cg")
+METHODS = ("bfgs", "l-bfgs", "cg", "nelder-mead")
 #: Pairs that L-BFGS remembers; halvings of a step before a walk ends; the gradient that counts as none.
 PAIRS, HALVINGS, FLAT = 10, 40, 1e-8
+#: The simplex: how far a corner is put from the start, of a constant or of 0, and the relative size that counts as a point.
+STRETCH, STRETCH_0, POINT = 0.05, 2.5e-4, 1e-8
+#: What the simplex tries: a corner of the first one, or one shrunk to the best; the worst reflected, beyond that, or pulled in.
+CORNER, REFLECTED, EXPANDED, OUTSIDE, INSIDE = range(5)
 #: Statuses as those of fitting.
 CONVERGED, MAXITER, FAIL_NAN = 0, 1, 2
 
@@ -28,7 +33,10 @@ CONVERGED, MAXITER, FAIL_NAN = 0, 1, 2
 @dataclass
 class Walk:
     """Where a minimiser stands: constants, loss (half the sum of squares), slope of the mean square, the
-    way it tries and how much of it, what it remembers, rounds done, and status once ended (-1 before)."""
+    way it tries and how much of it, what it remembers, rounds done, and status once ended (-1 before).
+
+    Constants stay between low and high: a trial beyond is put on the bound. The simplex, which knows no bounds
+    (put on one, it would go flat), has its corners in memory, and its way leads from the best to what it tries."""
 
     c: np.ndarray
     loss: float
@@ -39,10 +47,17 @@ class Walk:
     n_iter: int
     status: int
     first: float
+    low: float = -np.inf
+    high: float = np.inf
 
     @property
     def trial(self) -> np.ndarray:
-        return self.c + self.share * self.way
+        return np.clip(self.c + self.share * self.way, self.low, self.high)
+
+    @property
+    def held(self) -> np.ndarray:
+        """Constants on a bound that the slope leads beyond."""
+        return ((self.c <= self.low) & (self.slope > 0)) | ((self.c >= self.high) & (self.slope < 0))
 
 
 def _inverse(walk: Walk) -> np.ndarray:
@@ -75,34 +90,139 @@ def _way(walk: Walk, method: str) -> np.ndarray:
 
 def _set_out(walk: Walk, method: str, max_iter: int) -> Walk:
     """The walk with its next way, or ended: no slope is left, or no round."""
-    if np.abs(walk.slope).max(initial=0.0) < FLAT:
+    held = walk.held
+    if np.abs(walk.slope[~held]).max(initial=0.0) < FLAT:
         walk.status = CONVERGED
         return walk
     if walk.n_iter >= max_iter:
         walk.status = MAXITER
         return walk
-    walk.way = _way(walk, method)
+    walk.way = np.where(held, 0.0, _way(walk, method))
     if not np.isfinite(walk.way).all() or walk.way @ walk.slope >= 0:
-        walk.memory, walk.way = np.zeros(0), -walk.slope
+        walk.memory, walk.way = np.zeros(0), np.where(held, 0.0, -walk.slope)
     # conjugate gradients have no scale of their own, so a way begins where the last one ended
     walk.share = min(1.0, 2 * walk.share) if method == "cg" and walk.n_iter else 1.0
     walk.n_iter += 1
     return walk
 
 
-def begun(c: np.ndarray, loss: float, slope: np.ndarray, method: str, max_iter: int) -> Walk:
-    none = np.zeros(0)
-    walk = Walk(c, loss, slope, np.zeros(len(c)), 1.0, none, 0, -1, loss)
+@dataclass
+class Simplex:
+    """What a walk of the simplex remembers: what it tries (and which corner, if one), the loss when the simplex was
+    put up, the corners with their losses (NaN where not known), and the reflected point with its loss."""
+
+    tries: int
+    corner: int
+    began: float
+    points: np.ndarray
+    losses: np.ndarray
+    reflected: np.ndarray
+    its_loss: float
+
+    @classmethod
+    def of(cls, memory: np.ndarray, k: int) -> Simplex:
+        corners, rest = memory[3 : 3 + k * (k + 1)].reshape(k + 1, k), memory[3 + k * (k + 1) :]
+        return cls(int(memory[0]), int(memory[1]), float(memory[2]), corners.copy(), rest[: k + 1].copy(), rest[k + 1 : -1].copy(), float(rest[-1]))
+
+    @property
+    def memory(self) -> np.ndarray:
+        return np.concatenate([[self.tries, self.corner, self.began], self.points.ravel(), self.losses, self.reflected, [self.its_loss]])
+
+    def asks(self, walk: Walk, point: np.ndarray) -> Walk:
+        """The walk with this point to try next."""
+        walk.way, walk.share, walk.memory = point - walk.c, 1.0, self.memory
+        return walk
+
+
+def _simplex_begun(walk: Walk, max_iter: int) -> Walk:
+    """The walk with a simplex put up around its constants, or ended."""
+    k = len(walk.c)
+    if walk.loss == 0:
+        walk.status = CONVERGED
+        return walk
+    if walk.n_iter >= max_iter:
+        walk.status = MAXITER
+        return walk
+    points = np.tile(walk.c, (k + 1, 1))
+    for i, v in enumerate(walk.c):
+        points[i + 1, i] = v + (STRETCH * v if v else STRETCH_0)
+    simplex = Simplex(CORNER, 1, walk.loss, points, np.array([walk.loss] + [np.nan] * k), walk.c, np.nan)
+    return simplex.asks(walk, points[1])
+
+
+def _simplex_round(walk: Walk, simplex: Simplex, max_iter: int) -> Walk:
+    """All corners known: the walk's next round, or its end. A simplex may go flat away from a minimum, so one
+    that shrank to a point is put up again there, until that brings nothing."""
+    order = np.argsort(simplex.losses, kind="stable")
+    simplex.points, simplex.losses = simplex.points[order], simplex.losses[order]
+    walk.c, walk.loss = simplex.points[0].copy(), float(simplex.losses[0])
+    size = np.abs(simplex.points[1:] - walk.c).max(initial=0.0)
+    if walk.loss == 0 or size <= POINT * max(1.0, np.abs(walk.c).max(initial=0.0)):
+        if walk.loss < simplex.began * (1 - 1e-9):
+            return _simplex_begun(walk, max_iter)
+        walk.status = CONVERGED
+        return walk
+    if walk.n_iter >= max_iter:
+        walk.status = MAXITER
+        return walk
+    walk.n_iter += 1
+    middle = simplex.points[:-1].mean(axis=0)
+    simplex.tries, simplex.reflected = REFLECTED, 2 * middle - simplex.points[-1]
+    return simplex.asks(walk, simplex.reflected)
+
+
+def _simplex_went(walk: Walk, loss: float, max_iter: int) -> Walk:
+    """The walk after its trial point had this loss; one that isn't finite is worse than any."""
+    simplex, trial = Simplex.of(walk.memory, len(walk.c)), walk.trial
+    loss = loss if np.isfinite(loss) else np.inf
+    if simplex.tries == CORNER:
+        simplex.points[simplex.corner], simplex.losses[simplex.corner] = trial, loss
+        left = np.flatnonzero(np.isnan(simplex.losses))
+        if len(left):
+            simplex.corner = int(left[0])
+            return simplex.asks(walk, simplex.points[simplex.corner])
+        return _simplex_round(walk, simplex, max_iter)
+    losses, middle, worst = simplex.losses, simplex.points[:-1].mean(axis=0), simplex.points[-1]
+
+    def replaced(point: np.ndarray, its: float) -> Walk:
+        simplex.points[-1], simplex.losses[-1] = point, its
+        return _simplex_round(walk, simplex, max_iter)
+
+    if simplex.tries == REFLECTED:
+        if losses[0] <= loss < losses[-2]:
+            return replaced(trial, loss)
+        simplex.reflected, simplex.its_loss = trial, loss
+        simplex.tries = EXPANDED if loss < losses[0] else OUTSIDE if loss < losses[-1] else INSIDE
+        reach = {EXPANDED: 2.0, OUTSIDE: 0.5, INSIDE: -0.5}[simplex.tries]
+        return simplex.asks(walk, middle + reach * (middle - worst))
+    if simplex.tries == EXPANDED:
+        return replaced(trial, loss) if loss < simplex.its_loss else replaced(simplex.reflected, simplex.its_loss)
+    if loss < (losses[-1] if simplex.tries == INSIDE else simplex.its_loss):
+        return replaced(trial, loss)
+    simplex.points[1:] = (simplex.points[1:] + simplex.points[0]) / 2
+    simplex.losses[1:], simplex.tries, simplex.corner = np.nan, CORNER, 1
+    return simplex.asks(walk, simplex.points[1])
+
+
+def begun(c: np.ndarray, loss: float, slope: np.ndarray, options, max_iter: int) -> Walk:
+    none, bounds = np.zeros(0), options.bounds or (-np.inf, np.inf)
+    walk = Walk(c, loss, slope, np.zeros(len(c)), 1.0, none, 0, -1, loss, *bounds)
+    if options.method == "nelder-mead":
+        walk.slope = np.zeros(len(c))
+        if np.isfinite(loss):
+            return _simplex_begun(walk, max_iter)
     if not np.isfinite(loss) or not np.isfinite(slope).all():
         walk.status = FAIL_NAN
         return walk
-    return _set_out(walk, method, max_iter)
+    return _set_out(walk, options.method, max_iter)
 
 
 def went(walk: Walk, loss: float, slope: np.ndarray, n: int, method: str, max_iter: int) -> Walk:
     """The walk after its trial point had this loss and slope; n points. A step is taken if the loss falls
     enough along it, else halved; if none is, the walk has converged if it ever went down."""
-    step = walk.share * walk.way
+    if method == "nelder-mead":
+        return _simplex_went(walk, loss, max_iter)
+    step = walk.trial - walk.c if np.isfinite([walk.low, walk.high]).any() else walk.share * walk.way
     if not (np.isfinite(loss) and np.isfinite(slope).all() and loss <= walk.loss + 1e-4 * n / 2 * (walk.slope @ step)):
         walk.share *= 0.5
         if walk.share < 0.5**HALVINGS:
@@ -117,7 +237,7 @@ def went(walk: Walk, loss: float, slope: np.ndarray, n: int, method: str, max_it
         walk.memory = (turn @ _inverse(walk) @ turn.T + np.outer(step, step) / bend).ravel()
     elif bend > 1e-300:
         walk.memory = np.concatenate([walk.memory, step, change])[-2 * k * PAIRS :]
-    walk.c, walk.loss, walk.slope = walk.c + step, loss, slope
+    walk.c, walk.loss, walk.slope = walk.trial, loss, slope
     return _set_out(walk, method, max_iter)
 
 
@@ -125,7 +245,7 @@ def minimise_one(nodes: list[dict], c: np.ndarray, points: tuple[np.ndarray, np.
     """c_final, status, n_iter, loss_init, loss_final of one tree over its points."""
     n = max(int(points[2].sum()), 1)
     loss, _, down = numbers(nodes, c, points, options.jacobian)
-    walk = begun(c, loss, 2 * down / n, options.method, max_iter)
+    walk = begun(c, loss, 2 * down / n, options, max_iter)
     while walk.status < 0:
         loss, _, down = numbers(nodes, walk.trial, points, options.jacobian)
         walk = went(walk, loss, 2 * down / n, n, options.method, max_iter)
@@ -154,7 +274,7 @@ def minimise_in_rounds(some: DataFrame, points: DataFrame, passes: Callable[[Dat
     def set_out(c: pa.Array, loss: pa.Array, jtr: pa.Array, n: pa.Array) -> pa.Array:
         rows = zip(c.to_pylist(), loss.to_pylist(), jtr.to_pylist(), n.to_pylist())
         with np.errstate(all="ignore"):
-            return _packed([begun(np.array(a), x, 2 * np.array(g) / m, method, max_iter) for a, x, g, m in rows])
+            return _packed([begun(np.array(a, dtype=float), x, 2 * np.array(g, dtype=float) / m, options, max_iter) for a, x, g, m in rows])
 
     @F.arrow_udf(_WALK)
     def step(walk: pa.Array, loss: pa.Array, jtr: pa.Array, n: pa.Array) -> pa.Array:
@@ -162,12 +282,12 @@ def minimise_in_rounds(some: DataFrame, points: DataFrame, passes: Callable[[Dat
         with np.errstate(all="ignore"):
             for w, x, g, m in zip(walk.to_pylist(), loss.to_pylist(), jtr.to_pylist(), n.to_pylist()):
                 held = Walk(**{name: np.array(v, dtype=float) if name in _LISTS else v for name, v in w.items()})
-                out.append(went(held, x, 2 * np.array(g) / m, m, method, max_iter))
+                out.append(went(held, x, 2 * np.array(g, dtype=float) / m, m, method, max_iter))
             return _packed(out)
 
     here = passes(some.withColumn("at", F.col("c"))).select("tree_id", "loss", "jtr")
     state = save(some.join(here, "tree_id").select(*rest, "__n", set_out("c", "loss", "jtr", "__n").alias("walk")))
-    trial: Column = F.zip_with("walk.c", "walk.way", lambda a, d: a + F.col("walk.share") * d)
+    trial: Column = F.zip_with("walk.c", "walk.way", lambda a, d: F.least(F.greatest(a + F.col("walk.share") * d, F.col("walk.low")), F.col("walk.high")))
     while True:
         open_ = state.where("walk.status < 0")
         if open_.limit(1).count() == 0:

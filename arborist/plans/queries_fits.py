@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,6 +90,28 @@ def l15_l18_minimisers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@query(_TREES + """, s AS (SELECT problem_id, count(*) AS n, sum(x0) AS sx, sum(y) AS sy, sum(x0 * x0) AS sxx, sum(x0 * y) AS sxy, sum(y * y) AS syy, regr_intercept(y, x0) AS i, regr_slope(y, x0) AS b FROM points GROUP BY problem_id),
+edges AS (SELECT * FROM (VALUES (0.0::DOUBLE), (5.35)) v(e)),
+tried AS (
+  SELECT problem_id, i AS c0, b AS c1 FROM s WHERE i BETWEEN 0 AND 5.35 AND b BETWEEN 0 AND 5.35
+  UNION ALL SELECT problem_id, e, greatest(0, least(5.35, (sxy - e * sx) / sxx)) FROM s, edges
+  UNION ALL SELECT problem_id, greatest(0, least(5.35, (sy - e * sx) / n)), e FROM s, edges),
+boxed AS (SELECT problem_id, arg_min(c0, l) AS c0, arg_min(c1, l) AS c1 FROM (SELECT t.*, syy - 2 * c0 * sy - 2 * c1 * sxy + n * c0 * c0 + 2 * c0 * c1 * sx + c1 * c1 * sxx AS l FROM tried t JOIN s USING (problem_id)) GROUP BY problem_id)
+SELECT method, bounded, problem_id * 8 AS tree_id, round(CASE WHEN bounded THEN boxed.c0 ELSE i END, 3) + 0.0::DOUBLE AS c0, round(CASE WHEN bounded THEN boxed.c1 ELSE b END, 3) + 0.0::DOUBLE AS c1, TRUE AS ended
+FROM s JOIN boxed USING (problem_id), (VALUES ('l-bfgs', TRUE), ('bfgs', TRUE), ('nelder-mead', FALSE)) m(method, bounded)""")
+def l18_bounded_and_by_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least squares of the linear shape within bounds, where each fit ends at the best point of the box, for many
+    suppliers on an edge; and without bounds by values alone."""
+    population, points = p.trees(spark, sf_dir).where("shape = 0"), p.points(spark, sf_dir)
+    out = None
+    for method, bounds in (("l-bfgs", (0.0, 5.35)), ("bfgs", (0.0, 5.35)), ("nelder-mead", None)):
+        fits = fitting.fit(population, points, 2000, kept, replace(fitting.backend(method), bounds=bounds))
+        c = [F.round(F.col("c_final")[i], 3).alias(f"c{i}") for i in (0, 1)]
+        one = fits.select(F.lit(method).alias("method"), F.lit(bounds is not None).alias("bounded"), "tree_id", *c, (F.col("status") == fitting.CONVERGED).alias("ended"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query()
 def h17_n05_restart_from_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generated trees with a known law, fitted from scattered constants; those that converged above

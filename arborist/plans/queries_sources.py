@@ -34,7 +34,7 @@ def s01_k01_population_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + p.TREES_SQL + """
 SELECT problem_id AS part, CAST(8 AS BIGINT) AS trees, CAST(1 AS BIGINT) AS skipped, CAST(17 AS BIGINT) AS constants, CAST(17 AS BIGINT) AS raw, CAST(0 AS BIGINT) AS worse,
-  round(regr_intercept(y, x0), 2) AS c0, round(regr_slope(y, x0), 2) AS c1, TRUE AS as_fitted FROM points GROUP BY problem_id""")
+  round(regr_intercept(y, x0), 2) + 0.0::DOUBLE AS c0, round(regr_slope(y, x0), 2) + 0.0::DOUBLE AS c1, TRUE AS as_fitted FROM points GROUP BY problem_id""")
 def s19_k03_result_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each supplier's trees as a population file and what their fits return as raw arrays, read back beside the file
     and as plain arrays: the constants of each tree are its own, in single precision."""

@@ -59,6 +59,67 @@ def test_rounds_agree_with_tasks(spark, method):
     assert fitting.fit(population.where(F.lit(False)), points, 4, kept, fitting.Options(method=method, plan="rounds")).count() == 0
 
 
+def box(x, y, low, high):
+    """Least squares of c0 + c1 * x with both constants in the box, by its edges."""
+    found = []
+    free = np.linalg.lstsq(np.stack([np.ones_like(x), x], axis=1), y, rcond=None)[0]
+    if ((low <= free) & (free <= high)).all():
+        return free
+    for edge in (low, high):
+        found += [(edge, np.clip((x * (y - edge)).sum() / (x * x).sum(), low, high)), (np.clip((y - edge * x).mean(), low, high), edge)]
+    return min(found, key=lambda c: ((c[0] + c[1] * x - y) ** 2).sum())
+
+
+@pytest.mark.parametrize("method", ("bfgs", "l-bfgs", "cg"))
+def test_bounds(method):
+    rng = np.random.default_rng(11)
+    for low, high in ((-5.0, 5.0), (0.0, 1.0), (-0.5, 0.25), (2.0, 3.0), (2.0, 2.01), (-np.inf, 0.5)):
+        x, truth = rng.uniform(-1, 2, 50), rng.uniform(-2, 2, 2)
+        points = (x.reshape(-1, 1), truth[0] + truth[1] * x + rng.normal(0, 0.1, 50), np.ones(50, bool))
+        how = fitting.Options(method=method, bounds=(low, high))
+        start = np.clip([0.3, 0.3], low, high)
+        c, status, _, first, last = minimise.minimise_one(rows_of("c0 + c1 * x0"), start, points, 2000, how)
+        assert last <= first and (low <= c).all() and (c <= high).all()
+        want = box(x, points[1], low, high)
+        loss = lambda v: ((v[0] + v[1] * x - points[1]) ** 2).sum() / 2
+        assert loss(c) <= loss(want) * (1 + 1e-6) + 1e-12
+        assert status == minimise.CONVERGED
+
+
+def test_values_alone():
+    """A law without derivatives, steps to values that aren't finite, and one constant."""
+    x = np.linspace(0.1, 4, 200).reshape(-1, 1)
+    how = fitting.backend("nelder-mead")
+    for text, truth, start in (("c0 * loose_log(x0 + c1)", [2.0, 0.5], [1.0, 1.0]), ("c0 * max(x0, c1)", [2.0, 1.3], [1.0, 1.0]), ("sqrt(c0 - x0) + c1", [5.0, 1.0], [4.2, 0.5]), ("c0 * x0", [3.0], [0.0])):
+        points = (x, arrays.value(rows_of(text), x, np.array(truth)), np.ones(200, bool))
+        with np.errstate(all="ignore"):
+            c, status, n_iter, first, last = minimise.minimise_one(rows_of(text), np.array(start), points, 2000, how)
+        assert status == minimise.CONVERGED and last < 1e-6 < first, text
+        assert np.allclose(c[:1], truth[:1], atol=1e-3)
+
+
+def test_refused_options():
+    for bad in ({"bounds": (0.0, 1.0)}, {"method": "nelder-mead", "bounds": (0.0, 1.0)}, {"method": "cg", "bounds": (1.0, 1.0)}, {"jacobian": "none"}, {"method": "bfgs", "jacobian": "none"}):
+        with pytest.raises(ValueError):
+            fitting.Options(**bad)
+
+
+@pytest.mark.parametrize("how", [fitting.Options(method=m, bounds=(0.2, 1.2)) for m in ("bfgs", "l-bfgs", "cg")])
+def test_bounds_in_rounds(spark, how):
+    from dataclasses import replace
+
+    rng = np.random.default_rng(17)
+    points = spark.createDataFrame([(1, [float(x)], float(0.5 + 2 * x + rng.normal(0, 0.1))) for x in rng.uniform(0, 2, 60)], "problem_id long, x array<double>, y double")
+    rows = [(i, 1, [tuple(n) for n in t.prefix(t.parse("c0 + c1 * x0"))], c) for i, c in enumerate(([0.5, 0.5], [9.0, -9.0], [float("nan"), 0.5]))]
+    population = spark.createDataFrame(rows, f"tree_id long, problem_id long, nodes {t.NODES}, c array<double>")
+    sides = [{r.tree_id: r for r in fitting.fit(population, points, 5, kept, replace(how, plan=plan)).collect()} for plan in ("tasks", "rounds")]
+    assert sides[0][2].status == sides[1][2].status == fitting.FAIL_NAN
+    for i in (0, 1):
+        a, b = (side[i] for side in sides)
+        assert (a.status, a.n_iter) == (b.status, b.n_iter) and np.allclose(a.c_final, b.c_final) and np.isclose(a.loss_init, b.loss_init)
+        assert all(0.2 <= v <= 1.2 for v in a.c_final)
+
+
 def test_unknown_methods(spark):
     with pytest.raises(ValueError):
         fitting.fit(spark.range(0).selectExpr("id tree_id", "id problem_id", f"cast(null as {t.NODES}) nodes", "cast(null as array<double>) c"), spark.range(0), options=fitting.Options(method="magic"))
