@@ -1,8 +1,8 @@
 """Arrays beside populations as Spark data sources: ``sidecar`` and ``fitted``.
 
 ``spark.read.format("sidecar")`` reads a folder's (or one file's) ``.npy``, ``.npz`` and raw ``.bin`` arrays: a
-row for each entry along the first axis, with the file's path below the folder. Headers alone are read to plan a partition for each run of
-entries; a task seeks to its run. Members of a compressed ``.npz`` can't be entered in the middle, so each is
+row for each entry along the first axis, with the file's path below the folder. Headers alone are read to plan
+partitions of a run of entries, or of the runs of up to a hundred small files; a task seeks to its runs. Members of a compressed ``.npz`` can't be entered in the middle, so each is
 one partition, read in pieces. Filters on ``file`` and ``array`` choose what is planned.
 
 ``format("fitted")`` writes what fits return as the raw blobs ``status.bin``, ``c_final.bin``, ``loss_init.bin`` and
@@ -30,7 +30,7 @@ from .popfile import HEADER, META, TREES_PER_PARTITION, PopulationReader, Run
 
 ARRAYS = "file string, array string, place long, values array<double>"
 RESULTS = "part long, place int, status int, c_final array<double>, loss_init double, loss_final double"
-ENTRIES_PER_PARTITION, PIECE = 1_000_000, 65_536
+ENTRIES_PER_PARTITION, FILES_PER_PARTITION, PIECE = 1_000_000, 100, 65_536
 #: The blobs of a result and their kinds; the status of a tree that has none.
 BLOBS, MISSING = {"status": "<i4", "c_final": "<f4", "loss_init": "<f4", "loss_final": "<f4"}, 2
 
@@ -50,6 +50,27 @@ class Piece(InputPartition):
     end: int
 
 
+@dataclass
+class Bundle(InputPartition):
+    """What one task reads, in turn."""
+
+    members: list
+
+
+def bundled(members: list, step: int) -> list[InputPartition]:
+    """Runs (first to end) put together up to `step` entries; opening one counts as a hundredth of that."""
+    out: list[InputPartition] = []
+    held, full = [], 0
+    for m in members:
+        cost = max(m.end - m.first, step // FILES_PER_PARTITION)
+        if held and full + cost > step:
+            out.append(Bundle(held))
+            held, full = [], 0
+        held.append(m)
+        full += cost
+    return [*out, Bundle(held)]
+
+
 def _header(file, what: str) -> tuple[np.dtype, tuple[int, ...], int]:
     """dtype, shape and where the data begin of a .npy stream that is at its start."""
     version = np.lib.format.read_magic(file)
@@ -83,7 +104,7 @@ class SidecarReader(DataSourceReader):
     def _wanted(self, name: str, value: str) -> bool:
         return self.only.get(name, value) == value
 
-    def _cut(self, path: str, name: str, member: str, array: str, kind: np.dtype, shape: tuple[int, ...], start: int, whole: bool) -> list[InputPartition]:
+    def _cut(self, path: str, name: str, member: str, array: str, kind: np.dtype, shape: tuple[int, ...], start: int, whole: bool) -> list[Piece]:
         rows, width = (shape[0], math.prod(shape[1:])) if shape else (1, 1)
         step = max(rows, 1) if whole else self.entries
         return [Piece(path, name, member, array, kind.str, start, width, at, min(rows, at + step)) for at in range(0, rows, step)]
@@ -92,7 +113,7 @@ class SidecarReader(DataSourceReader):
         store, root = fs.FileSystem.from_uri(self.path)
         top = store.get_file_info(root)
         infos = [top] if top.is_file else store.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
-        out: list[InputPartition] = []
+        out: list[Piece] = []
         for info in infos:
             stem, _, ending = info.base_name.rpartition(".")
             name = info.path.removeprefix(root).lstrip("/") or info.base_name
@@ -120,18 +141,17 @@ class SidecarReader(DataSourceReader):
                         raise ValueError(f"{info.path}: not a whole number of {kind}")
                     shape = (info.size // kind.itemsize,)
                 out += self._cut(info.path, name, "", stem, kind, shape, start, False)
-        return out or [Piece("", "", "", "", "<f8", 0, 1, 0, 0)]
+        return bundled(out, self.entries)
 
-    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        if not partition.path:
-            return
+    def read(self, partition: Bundle) -> Iterator[pa.RecordBatch]:
         store = fs.FileSystem.from_uri(self.path)[0]
-        with store.open_input_file(partition.path) as file:
-            if not partition.member:
-                yield from self._batches(file, partition)
-                return
-            with zipfile.ZipFile(file) as archive, archive.open(partition.member) as inside:
-                yield from self._batches(inside, partition)
+        for piece in partition.members:
+            with store.open_input_file(piece.path) as file:
+                if not piece.member:
+                    yield from self._batches(file, piece)
+                    continue
+                with zipfile.ZipFile(file) as archive, archive.open(piece.member) as inside:
+                    yield from self._batches(inside, piece)
 
     @staticmethod
     def _batches(file, part: Piece) -> Iterator[pa.RecordBatch]:
@@ -174,15 +194,17 @@ class FittedReader(PopulationReader):
         return int(path.rsplit("/", 1)[1].split("-")[1])
 
     def partitions(self) -> list[InputPartition]:
-        runs = super().partitions()
-        files = {r.path for r in runs if r.path}
+        runs = [r for r in super().partitions() if r.path]
+        files = {r.path for r in runs}
         if len({self._part(f) for f in files}) < len(files):
             raise ValueError("a part of several population files has no results of its own")
-        return runs
+        return bundled(runs, self.step)
+
+    def read(self, partition: Bundle) -> Iterator[tuple]:
+        for run in partition.members:
+            yield from self._results(run)
 
-    def read(self, partition: Run) -> Iterator[tuple]:
-        if not partition.path:
-            return
+    def _results(self, partition: Run) -> Iterator[tuple]:
         part, m_own = self._part(partition.path), partition.end - partition.first
         with fs.FileSystem.from_uri(self.path)[0].open_input_file(partition.path) as file:
             _, _, m, nodes, total_c, *_ = self._header(file)

@@ -49,6 +49,13 @@ def test_filters_choose_what_is_planned(spark, arrays):
     assert read(spark, path).where("file = 'losses.npy' and file = 'grid.npy'").count() == 0
 
 
+def test_small_files_share_tasks():
+    runs = [sidecar.Piece(f"{i}", "", "", "", "<f8", 0, 1, 0, 3) for i in range(250)] + [sidecar.Piece("x", "", "", "", "<f8", 0, 1, 0, 1000)]
+    made = sidecar.bundled(runs, 1000)
+    assert [len(b.members) for b in made] == [100, 100, 50, 1] and [m for b in made for m in b.members] == runs
+    assert sidecar.bundled([], 5)[0].members == []
+
+
 def test_raw_arrays_and_refusals(spark, tmp_path):
     sidecar.register(spark)
     np.arange(10, dtype="<f4").tofile(tmp_path / "a.bin")
