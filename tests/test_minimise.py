@@ -86,6 +86,32 @@ def test_bounds(method):
         assert status == minimise.CONVERGED
 
 
+@pytest.mark.parametrize("method, bounds", (("bfgs", (0.0, 5.35)), ("l-bfgs", (0.0, 5.35)), ("cg", (0.0, 5.35)), ("bfgs", None), ("l-bfgs", None), ("cg", None)))
+def test_few_trials(monkeypatch, method, bounds):
+    """A walk ends after a few trials on a line, on the edge of its box too, and where losses differ by rounding alone."""
+    real, calls = minimise.numbers, []
+    monkeypatch.setattr(minimise, "numbers", lambda *a: calls.append(1) or real(*a))
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        x = rng.integers(1, 51, 600) / 10
+        y = 5.47 - 0.02 * x + rng.normal(0, 3, 600)
+        how = fitting.Options(method=method, bounds=bounds)
+        calls.clear()
+        c, status, _, _, _ = minimise.minimise_one(rows_of("c0 + c1 * x0"), np.array([1.0, 1.625]), (x.reshape(-1, 1), y, np.ones(600, bool)), 2000, how)
+        assert status == minimise.CONVERGED and len(calls) < 60
+        assert np.allclose(c, box(x, y, *(bounds or (-np.inf, np.inf))), atol=1e-6)
+
+
+def test_values_alone_end_at_the_lowest_point():
+    """The simplex tells points apart to the root of rounding; the surface at its end to more digits."""
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        x = rng.integers(1, 51, 600) / 10
+        y = 4.8 + 0.16 * x + rng.normal(0, 3, 600)
+        c, status, *_ = minimise.minimise_one(rows_of("c0 + c1 * x0"), np.array([1.0, 1.625]), (x.reshape(-1, 1), y, np.ones(600, bool)), 2000, fitting.backend("nelder-mead"))
+        assert status == minimise.CONVERGED and np.allclose(c, box(x, y, -np.inf, np.inf), rtol=0, atol=1e-9)
+
+
 def test_values_alone():
     """A law without derivatives, steps to values that aren't finite, and one constant."""
     x = np.linspace(0.1, 4, 200).reshape(-1, 1)
