@@ -234,7 +234,8 @@ def y02_equal_and_unequal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def t12_generated_workload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A random tree of each preset for every part, and what the presets come out as."""
-    part = p.read(spark, sf_dir, "part").select("p_partkey")
+    # by number: the table is small beside the work on its rows, and one file would be one task
+    part = kept(p.read(spark, sf_dir, "part").select("p_partkey").repartition(workload.tasks(spark), "p_partkey"))
     made = [part.select(F.lit(name).alias("preset"), workload.generated(F.col("p_partkey"), name, 3).alias("nodes")) for name in workload.PRESETS]
     rows = made[0].unionByName(made[1]).unionByName(made[2]).withColumn("k", t.constant_count(F.col("nodes")))
     return rows.groupBy("preset").agg(

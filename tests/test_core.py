@@ -441,3 +441,14 @@ def test_certifying_starts(spark):
     assert all(abs(v) <= s for i, s in zip(range(5, 10), search.SCALES) for v in seeded[i])
     blind = search.certifying_starts(trees, 1, blind=True).collect()
     assert len(blind) == 16 and all(abs(r.c[0]) <= 12 and abs(r.c[1]) <= 6 for r in blind)
+
+
+def test_generated_workload_is_spread(spark, monkeypatch):
+    """Trees of a table in one small file are made in as many tasks as the session has, not in one."""
+    from arborist.operators import workload
+    from arborist.plans import queries_more
+
+    node = lambda _: F.struct(F.lit(0).alias("nt"), F.lit(0.0).cast("float").alias("nv"), F.lit(-1).alias("ci"))
+    monkeypatch.setattr(workload, "generated", lambda *_: F.transform(F.sequence(F.lit(0), F.spark_partition_id()), node))
+    made = {r.preset: r.mean_nodes for r in queries_more.t12_generated_workload(spark, "/root/testdata/sf0.001").collect()}
+    assert made[next(iter(workload.PRESETS))] > 1.5  # 1 in one task
