@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.ops import is_finite
 from ..operators import fitting, scoring, search, workload
 from ..operators.ranking import joined, percentiles
-from ..sources.shared import kept
+from ..sources.shared import kept, shuffled
 from . import population as p
 from . import trees as t
 from .registry import query
@@ -118,22 +118,22 @@ def h17_n05_restart_from_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     the noise floor are fitted again from the true and from the scattered constants.
 
     reach: how many of them come within 1.05 of the floor; median: of their losses to it."""
-    ids = p.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("problem_id"))
+    ids = p.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("problem_id")).repartition(workload.tasks(spark), "problem_id")  # one file would be one task
     made = kept(ids.select("problem_id", workload.generated_trees(F.col("problem_id"), "early-gen", 5).alias("g")).select(F.col("problem_id").alias("tree_id"), "problem_id", "g.*"))
     made = made.where(F.size("c_true") > 0)
     spots = made.select("problem_id", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i"))
     spots = workload.sampled(spots, [workload.INPUTS] * workload.PRESETS["early-gen"].n_vars, 9, "problem_id", "i").withColumn("y", F.lit(0.0))
     truth = made.select("tree_id", "problem_id", "nodes", F.col("c_true").alias("c"))
     drawn = scoring.evaluated(truth, spots).where(is_finite(F.col("yh"))).select("problem_id", "i", F.col("yh").alias("y"))
-    drawn = drawn.join(spots.select("problem_id", "i", "x"), ["problem_id", "i"])
+    drawn = drawn.join(shuffled(spots.select("problem_id", "i", "x")), ["problem_id", "i"])
     points = kept(search.noisy(drawn, ["problem_id"], "y", 0.01, 3, ["problem_id", "i"], "rms"))
     floor = scoring.losses(truth, points).select("tree_id", F.col("loss").alias("floor"))
     given = made.select("tree_id", "problem_id", "nodes", F.col("c_init").alias("c"))
-    first = fitting.fit(given, points, save=kept).join(floor, "tree_id")
+    first = fitting.fit(given, points, save=kept).join(shuffled(floor), "tree_id")
     missed = kept(first.where((F.col("status") == fitting.CONVERGED) & (F.col("loss_final") > F.greatest(F.col("floor") * 1.05, F.col("floor") + 1e-10))).select("tree_id", "floor"))
     out = []
     for start, rows in (("true", truth), ("scattered", given)):
-        again = fitting.fit(rows.join(missed.select("tree_id"), "tree_id", "left_semi"), points, save=kept).join(missed, "tree_id")
+        again = fitting.fit(rows.join(shuffled(missed.select("tree_id")), "tree_id", "left_semi"), points, save=kept).join(shuffled(missed), "tree_id")
         reach = scoring.tiers(F.col("loss_final"), F.col("floor"))[1]
         again = kept(again.select("loss_final", "floor", (F.col("loss_final") / F.col("floor")).alias("q"), F.lit(start).alias("start")))
         counts = again.agg(F.count("*").alias("n"), F.count_if(reach).alias("reach")).withColumn("start", F.lit(start))
