@@ -172,3 +172,17 @@ def test_signed_rank_p(spark):
             assert r.p == pytest.approx(want)
     tied = spark.createDataFrame([(1.0, 0.0), (0.0, 1.0), (3.0, 0.0), (2.0, 2.0)], "a double, b double")
     assert tuple(studies.signed_ranks(tied, "a", "b").select("n", "w_plus", "ties").first()) == (3, 4.5, 6.0)
+
+
+def test_small_steps_are_those_of_a_library():
+    """Steps of few constants, solved for without a library: the same, and none for the same matrices."""
+    rng = np.random.default_rng(5)
+    for k in range(1, fitting.SMALL + 1):
+        for options in (fitting.Options(), fitting.Options(damping="absolute", pivot_floor=1e-3)):
+            j, down = rng.normal(size=(k, 30)), rng.normal(size=k)
+            matrix = j @ j.T
+            damped = matrix.copy()
+            damped[np.diag_indices(k)] = (np.diag(matrix) * 1.5 if options.damping == "relative" else np.diag(matrix) + 0.5) + options.pivot_floor
+            assert np.allclose(fitting._solved_small(matrix.tolist(), down.tolist(), 0.5, options), -np.linalg.solve(damped, down))
+        for bad in (-np.eye(k), np.zeros((k, k)), np.full((k, k), np.nan)):
+            assert fitting.solved(bad, down, 0.5, fitting.Options()) is None
