@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ops import is_finite, significant, small_to_zero
-from .scoring import evaluated
-from .search import deviations
+from ..sources.shared import kept, shuffled
+from .scoring import evaluated_pairs
 
 #: Digits that constants are rounded to, and the tolerance of the numeric proxy.
 DIGITS, PROXY = 3, 1e-4
@@ -25,38 +25,37 @@ ROUNDING = 1e-9
 FORMS = {"digits": lambda v: significant(v, DIGITS), "decimals": small_to_zero, "given": lambda v: v}
 
 
-def _in_forms(trees: DataFrame) -> DataFrame:
-    """trees once for each form, with its constants; problem_id then holds the form too."""
-    whole = [
-        trees.withColumns({"c": F.transform("c", form), "problem_id": F.struct("problem_id", F.lit(name).alias("form"))}) for name, form in FORMS.items()
-    ]
+def paired(candidates: DataFrame, truths: DataFrame) -> DataFrame:
+    """tree_id, problem_id, form, and both trees of each candidate and its law, in each form."""
+    own = "law" if "law" in candidates.columns else "problem_id"
+    laws = truths.select((F.col("tree_id") if own == "law" else F.col("problem_id")).alias("__law"), F.col("nodes").alias("law_nodes"), F.col("c").alias("law_c"))
+    pairs = candidates.select("tree_id", "problem_id", F.col(own).alias("__law"), "nodes", "c").join(shuffled(laws), "__law").drop("__law")
+    whole = [pairs.withColumns({"c": F.transform("c", form), "law_c": F.transform("law_c", form), "form": F.lit(name)}) for name, form in FORMS.items()]
     return reduce(DataFrame.unionByName, whole)
 
 
-def compared(candidates: DataFrame, truths: DataFrame, points: DataFrame) -> DataFrame:
-    """tree_id, form, y and yh: both trees at each point of the problem, in each form."""
-    forms = F.array(*map(F.lit, FORMS))
-    spots = points.select("problem_id", "x").withColumn("form", F.explode(forms))
-    spots = spots.select(F.struct("problem_id", "form").alias("problem_id"), "x", F.col("x").alias("__at"), F.lit(0.0).alias("y"))
-    law = evaluated(_in_forms(truths.select("tree_id", "problem_id", "nodes", "c")), spots)
-    law = law.select("problem_id", F.col("__at").alias("x"), F.col("yh").alias("y"))
-    rows = evaluated(_in_forms(candidates.select("tree_id", "problem_id", "nodes", "c")), law)
-    return rows.select("tree_id", F.col("problem_id.form").alias("form"), "y", "yh")
-
-
 def judged(candidates: DataFrame, truths: DataFrame, points: DataFrame) -> DataFrame:
     """tree_id, strict, lenient and srbench of each candidate (tree_id, problem_id, nodes, c).
 
     strict: the law itself, constants to DIGITS digits. lenient: up to one factor or one added constant,
     not both; or so by the numeric proxy, constants as they are. srbench: up to either, constants to three
-    decimals. truths: a law for each problem_id, with a tree_id. Points where both are not finite say
+    decimals. truths: a law for each problem_id, or, where candidates have a column law, for each law, its tree_id. Points where both are not finite say
     nothing; one where a single side is finite says no. A candidate without a point that says something is no law.
     """
-    rows = compared(candidates, truths, points)
-    fine = is_finite(F.col("y")) & is_finite(F.col("yh"))
     keys = ["tree_id", "form"]
-    met = deviations(
-        rows, keys, "y", "yh", fine, __split=F.count_if(is_finite(F.col("y")) != is_finite(F.col("yh"))), __far=F.max(F.when(fine, F.abs(F.col("y") - F.col("yh"))))
+    y, f = F.col("y"), F.col("yh")
+    fine = is_finite(y) & is_finite(f)
+    one = lambda v: F.when(fine, v)
+    pairs = kept(paired(candidates, truths))
+    # both passes go from pairs to points: what is shuffled is points once and sums by pair, never a row for each pair and point
+    best = evaluated_pairs(pairs, points).groupBy(*keys).agg(
+        F.try_divide(F.sum(one(y * f)), F.sum(one(f * f))).alias("a"), F.avg(one(y - f)).alias("b"), F.max(one(F.abs(y))).alias("top"),
+        F.count_if(is_finite(y) != is_finite(f)).alias("__split"), F.max(one(F.abs(y - f))).alias("__far"),
+    )
+    again = kept(pairs.join(shuffled(best), keys))
+    stats = ("a", "b", "top", "__split", "__far")
+    met = evaluated_pairs(again, points).groupBy(*keys).agg(
+        F.max(one(F.abs(y - F.col("a") * f))).alias("scaled"), F.max(one(F.abs(y - f - F.col("b")))).alias("moved"), *(F.first(c).alias(c) for c in stats)
     )
 
     def within(share: float) -> Column:
