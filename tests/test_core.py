@@ -452,3 +452,12 @@ def test_generated_workload_is_spread(spark, monkeypatch):
     monkeypatch.setattr(workload, "generated", lambda *_: F.transform(F.sequence(F.lit(0), F.spark_partition_id()), node))
     made = {r.preset: r.mean_nodes for r in queries_more.t12_generated_workload(spark, "/root/testdata/sf0.001").collect()}
     assert made[next(iter(workload.PRESETS))] > 1.5  # 1 in one task
+
+
+def test_trees_without_constants_are_never_split(spark, monkeypatch):
+    """Their losses under the engines are one, though sums in another order may differ in the last digit."""
+    from arborist.plans import queries_more
+
+    wide = spark.createDataFrame([(7, 1, 7, 0, 1.0, 1.0 + 2.0**-52, 1.0 - 2.0**-52), (8, 1, 0, 2, 1.0, 1.5, 0.5)], "tree_id long, problem_id long, shape int, k int, l0 double, la double, lb double")
+    monkeypatch.setattr(queries_more.panels, "_wide", lambda spark, sf_dir: wide)
+    assert queries_more.a33_generation_accounting(spark, "").first().split == 1
