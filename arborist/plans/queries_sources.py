@@ -24,7 +24,7 @@ def s01_k01_population_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("problem_id").alias("part"), F.col("shape").alias("place"), "nodes", "c", F.array().cast("array<double>").alias("x"), F.lit(0).alias("n_vars"),
         F.array().cast("array<double>").alias("y"),
     )
-    rows.repartition("part").sortWithinPartitions("part", "place").write.format("population").mode("append").save(path)
+    popfile.by_part(rows).write.format("population").mode("append").save(path)
     back = spark.read.format("population").load(path)
     total = F.aggregate("c", F.lit(0.0), lambda a, v: a + v)
     return back.groupBy("part").agg(
@@ -44,10 +44,10 @@ def s19_k03_result_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     population = p.trees(spark, sf_dir)
     none = F.array().cast("array<double>")
     rows = population.select(F.col("problem_id").alias("part"), F.col("shape").alias("place"), "nodes", "c", none.alias("x"), F.lit(0).alias("n_vars"), none.alias("y"))
-    rows.repartition("part").sortWithinPartitions("part", "place").write.format("population").mode("append").save(trees)
+    popfile.by_part(rows).write.format("population").mode("append").save(trees)
     fits = kept(fitting.fit(population, p.points(spark, sf_dir), save=kept).join(population.select("tree_id", F.col("problem_id").alias("part"), F.col("shape").alias("place")), "tree_id"))
     fits = fits.select("part", "place", "status", "c_final", "loss_init", "loss_final")
-    fits.repartition("part").sortWithinPartitions("part", "place").write.format("fitted").mode("append").save(out)
+    popfile.by_part(fits).write.format("fitted").mode("append").save(out)
     back = spark.read.format("fitted").option("populations", trees).load(out)
     raw = spark.read.format("sidecar").option("kind", "<f4").load(out).where("array = 'c_final'")
     raw = raw.groupBy(F.regexp_extract("file", r"part-(\d+)/", 1).cast("long").alias("part")).agg(F.count("*").alias("raw"))

@@ -2,9 +2,10 @@
 
 A folder holds files of the binary population format; each is a header, flat node arrays, a table
 of trees, initial constants, shared inputs and a target for each tree, all little-endian 32-bit.
-Reading checks magic, version, sizes and sums on the header and table alone, plans a partition for
-each run of trees, and seeks to what the run needs. Writing makes a file of each run of rows with
-one `part` value in a task, under a temporary name until the commit.
+Reading plans partitions of a run of trees, or of the runs of up to a thousand small files, which
+are planned by their sizes and not opened before; it checks magic, version, sizes and sums on the
+header and table alone, and seeks to what the run needs. Writing makes a file of each run of rows
+with one `part` value in a task, under a temporary name until the commit.
 """
 
 from __future__ import annotations
@@ -16,26 +17,56 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyarrow import fs
-from pyspark.sql import Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 SCHEMA = "part long, place int, nodes array<struct<nt:int,nv:float,ci:int>>, c array<double>, x array<double>, n_vars int, y array<double>"
 #: The format's magic number, version, header and table row.
 MAGIC, VERSION, HEADER, META = 0x4D4C344D, 1, struct.Struct("<16i"), struct.Struct("<4i")
-TREES_PER_PARTITION = 50_000
+TREES_PER_PARTITION, FILES_PER_PARTITION, PARTS_PER_TASK = 50_000, 1000, 500
 
 
 @dataclass
 class Run(InputPartition):
+    """Trees first to end, or fewer, where the file has fewer."""
+
     path: str
     first: int
     end: int
 
 
+@dataclass
+class Bundle(InputPartition):
+    """What one task reads, in turn."""
+
+    members: list
+
+
+def bundled(members: list, step: int, files: int) -> list[InputPartition]:
+    """Runs (first to end) put together up to `step` entries; opening one counts as step / files of them."""
+    out: list[InputPartition] = []
+    held, full = [], 0
+    for m in members:
+        cost = max(m.end - m.first, step // files)
+        if held and full + cost > step:
+            out.append(Bundle(held))
+            held, full = [], 0
+        held.append(m)
+        full += cost
+    return [*out, Bundle(held)]
+
+
 @dataclass
 class Done(WriterCommitMessage):
-    paths: list[tuple[str, str]]
+    names: list[str]
+
+
+def by_part(rows: DataFrame) -> DataFrame:
+    """rows for a writer: a part's in one task, in order, and more tasks the more parts there are."""
+    n = rows.select(F.approx_count_distinct("part").alias("n")).first().n
+    return rows.repartition(n // PARTS_PER_TASK + 1, "part").sortWithinPartitions("part", "place")
 
 
 def need_of(nodes: list) -> int:
@@ -73,33 +104,41 @@ class PopulationReader(DataSourceReader):
         self.path, self.step = path, trees_per_partition
 
     @staticmethod
-    def _header(file) -> tuple[int, ...]:
+    def _header(file, path: str) -> tuple[int, ...]:
         raw = file.read(HEADER.size)
         if len(raw) < HEADER.size:
-            raise ValueError("short file")
+            raise ValueError(f"{path}: short file")
         head = HEADER.unpack(raw)
         if head[0] != MAGIC or head[1] != VERSION:
-            raise ValueError("not a population of this version")
+            raise ValueError(f"{path}: not a population of this version")
+        _, _, m, nodes, c, n, n_vars, *_ = head
+        if file.size() != HEADER.size + 12 * nodes + META.size * m + 4 * (c + n * n_vars + m * n):
+            raise ValueError(f"{path}: size and header differ")
         return head
 
-    def partitions(self) -> list[InputPartition]:
+    def _runs(self) -> list[Run]:
         store, root = fs.FileSystem.from_uri(self.path)
         out = []
         for info in store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
             if info.is_file and info.base_name.endswith(".bin"):
-                with store.open_input_file(info.path) as file:
-                    _, _, m, nodes, c, n, n_vars, *_ = self._header(file)
-                if info.size != HEADER.size + 12 * nodes + META.size * m + 4 * (c + n * n_vars + m * n):
-                    raise ValueError(f"{info.path}: size and header differ")
+                m = max(1, (info.size - HEADER.size) // META.size)  # more trees than can be in it
+                if m > self.step:
+                    with store.open_input_file(info.path) as file:
+                        m = self._header(file, info.path)[2]
                 out += [Run(info.path, at, min(m, at + self.step)) for at in range(0, m, self.step)]
-        return out or [Run("", 0, 0)]
+        return out
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        if not partition.path:
-            return
+    def partitions(self) -> list[InputPartition]:
+        return bundled(self._runs(), self.step, FILES_PER_PARTITION)
+
+    def read(self, partition: Bundle) -> Iterator[tuple]:
         store = fs.FileSystem.from_uri(self.path)[0]
+        for run in partition.members:
+            yield from self._trees(store, run)
+
+    def _trees(self, store: fs.FileSystem, partition: Run) -> Iterator[tuple]:
         with store.open_input_file(partition.path) as file:
-            _, _, m, nodes, total_c, n, n_vars, *_ = self._header(file)
+            _, _, m, nodes, total_c, n, n_vars, *_ = self._header(file, partition.path)
 
             def array(at: int, count: int, kind: str) -> np.ndarray:
                 file.seek(at)
@@ -110,6 +149,8 @@ class PopulationReader(DataSourceReader):
             if metas[:, 1].sum() != nodes or metas[:, 3].sum() != total_c:
                 raise ValueError("the table's sums and the header differ")
             own = metas[partition.first : partition.end]
+            if not len(own):
+                return
             low, high = int(own[0, 0]), int(own[-1, 0] + own[-1, 1])
             nt, nv, ci = (array(start + 4 * (i * nodes + low), high - low, kind) for i, kind in enumerate(("<i4", "<f4", "<i4")))
             at_c = start + 12 * nodes + META.size * m
@@ -132,14 +173,14 @@ class PopulationWriter(DataSourceWriter):
     def write(self, rows: Iterator[Row]) -> WriterCommitMessage:
         store, root = fs.FileSystem.from_uri(self.path)
         store.create_dir(f"{root}/{self.temporary}")
-        paths, held = [], []
+        names, held = [], []
 
         def flush() -> None:
             if held:
                 name = f"part-{held[0].part}-{uuid.uuid4().hex}.bin"
                 with store.open_output_stream(f"{root}/{self.temporary}/{name}") as out:
                     out.write(encode(held))
-                paths.append((f"{root}/{self.temporary}/{name}", f"{root}/{name}"))
+                names.append(name)
                 held.clear()
 
         for row in rows:
@@ -147,13 +188,13 @@ class PopulationWriter(DataSourceWriter):
                 flush()
             held.append(row)
         flush()
-        return Done(paths)
+        return Done(names)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         store, root = fs.FileSystem.from_uri(self.path)
         for message in messages:
-            for old, new in message.paths if message else []:
-                store.move(old, new)
+            for name in message.names if message else []:
+                store.move(f"{root}/{self.temporary}/{name}", f"{root}/{name}")
         self._clear(store, root)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:

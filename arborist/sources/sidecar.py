@@ -26,7 +26,8 @@ from pyspark.sql import Row, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from .popfile import HEADER, META, TREES_PER_PARTITION, PopulationReader, Run
+from . import popfile
+from .popfile import HEADER, META, TREES_PER_PARTITION, Bundle, PopulationReader, Run
 
 ARRAYS = "file string, array string, place long, values array<double>"
 RESULTS = "part long, place int, status int, c_final array<double>, loss_init double, loss_final double"
@@ -50,25 +51,8 @@ class Piece(InputPartition):
     end: int
 
 
-@dataclass
-class Bundle(InputPartition):
-    """What one task reads, in turn."""
-
-    members: list
-
-
 def bundled(members: list, step: int) -> list[InputPartition]:
-    """Runs (first to end) put together up to `step` entries; opening one counts as a hundredth of that."""
-    out: list[InputPartition] = []
-    held, full = [], 0
-    for m in members:
-        cost = max(m.end - m.first, step // FILES_PER_PARTITION)
-        if held and full + cost > step:
-            out.append(Bundle(held))
-            held, full = [], 0
-        held.append(m)
-        full += cost
-    return [*out, Bundle(held)]
+    return popfile.bundled(members, step, FILES_PER_PARTITION)
 
 
 def _header(file, what: str) -> tuple[np.dtype, tuple[int, ...], int]:
@@ -194,29 +178,33 @@ class FittedReader(PopulationReader):
         return int(path.rsplit("/", 1)[1].split("-")[1])
 
     def partitions(self) -> list[InputPartition]:
-        runs = [r for r in super().partitions() if r.path]
+        runs = self._runs()
         files = {r.path for r in runs}
         if len({self._part(f) for f in files}) < len(files):
             raise ValueError("a part of several population files has no results of its own")
-        return bundled(runs, self.step)
+        return popfile.bundled(runs, self.step, popfile.FILES_PER_PARTITION)
 
     def read(self, partition: Bundle) -> Iterator[tuple]:
         for run in partition.members:
             yield from self._results(run)
 
     def _results(self, partition: Run) -> Iterator[tuple]:
-        part, m_own = self._part(partition.path), partition.end - partition.first
+        part = self._part(partition.path)
         with fs.FileSystem.from_uri(self.path)[0].open_input_file(partition.path) as file:
-            _, _, m, nodes, total_c, *_ = self._header(file)
+            _, _, m, nodes, total_c, *_ = self._header(file, partition.path)
+            end = min(m, partition.end)
+            m_own = end - partition.first
             file.seek(HEADER.size + 12 * nodes + META.size * partition.first)
             metas = np.frombuffer(file.read(META.size * m_own), "<i4").reshape(m_own, 4)
         store, root = fs.FileSystem.from_uri(self.results)
+        if not m_own:
+            return
         if store.get_file_info(f"{root}/part-{part}").type == fs.FileType.NotFound:
             return  # not fitted yet
         c0, c1 = int(metas[0, 2]), int(metas[-1, 2] + metas[-1, 3])
 
         def blob(name: str) -> np.ndarray:
-            low, high, whole = (c0, c1, total_c) if name == "c_final" else (partition.first, partition.end, m)
+            low, high, whole = (c0, c1, total_c) if name == "c_final" else (partition.first, end, m)
             path = f"{root}/part-{part}/{name}.bin"
             if store.get_file_info(path).size != 4 * whole:
                 raise ValueError(f"{path}: not as long as its population")

@@ -158,6 +158,21 @@ def test_population_files(spark):
         popfile.encode([df.collect()[0].__class__(part=1, place=0, nodes=[r for r in df.collect()[0].nodes][::-1], c=[1.0], x=[], n_vars=0, y=[1.0])])
 
 
+def test_small_population_files_share_tasks(spark, tmp_path):
+    popfile.register(spark)
+    nodes = t.prefix(t.parse("c0 + x0"))
+    df = spark.createDataFrame([(part, place, nodes, [1.0 * part], [], 0, []) for part in range(1200) for place in range(2)], popfile.SCHEMA)
+    popfile.by_part(df).write.format("population").mode("append").save(f"file://{tmp_path}")
+    assert len(list(tmp_path.glob("part-*.bin"))) == 1200 and len(list(tmp_path.iterdir())) == 1200
+    back = spark.read.format("population").load(f"file://{tmp_path}")
+    assert back.rdd.getNumPartitions() <= 3  # not a task for each file
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    one = next(tmp_path.glob("part-7-*.bin"))
+    one.write_bytes(one.read_bytes()[:-4])
+    with pytest.raises(Exception, match="size and header differ"):
+        back.count()
+
+
 def test_torn_lines_requests_and_stream(spark):
     path = new_path(spark, "lines")
     spark.createDataFrame([('{"a": 1}',), ('{"a": 2',)], "value string").write.text(path)
