@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -69,23 +72,26 @@ def h20_gradients_agree(spark: SparkSession, sf_dir: str) -> DataFrame:
     At a singular point of the logarithm neither derivative by its factor is finite; by the added
     constant the exact one is 1, while differences of infinities have no value."""
     population = p.trees(spark, sf_dir).where(F.size("c") > 0)
-    rows = population.withColumn("structure", F.sha2(F.to_json("nodes"), 256)).join(p.points(spark, sf_dir), "problem_id")
+    known = scoring.structures(population)
+    names = ("agree", "neither_finite", "reverse_finite", "central_finite", "disputed")
     x, c = (lambda k: F.col("x")[k]), (lambda k: F.col("c")[k])
-    kinds = F.array().cast("array<string>")
-    for name, tree in scoring.structures(population):
+    points, parts = p.points(spark, sf_dir).select("problem_id", "x"), []
+    for number, (_, tree) in enumerate(known):  # each by itself: all in one expression are too long to be compiled
         k = sum(n[0] == t.CONST for n in t.prefix(tree))
-        a, b = fitting.gradient(tree, x, c), fitting.central(tree, x, c, k)
-        own = []
+        exact, differed = fitting.gradient(tree, x, c), fitting.central(tree, x, c, k)
+        rows = scoring.met(population, points, known).where(F.col("structure") == number)
+        rows = rows.select("shape", *(v[i].alias(f"{name}{i}") for name, v in (("a", exact), ("b", differed)) for i in range(k)))
+        kinds = []
         for i in range(k):
-            fine = F.abs(a[i] - b[i]) <= 1e-4 + 2e-2 * F.abs(b[i])
-            own.append(
-                F.when(is_finite(a[i]) & is_finite(b[i]), F.when(fine, "agree").otherwise("disputed"))
-                .when(is_finite(a[i]), "reverse_finite").when(is_finite(b[i]), "central_finite").otherwise("neither_finite")
+            a, b = F.col(f"a{i}"), F.col(f"b{i}")
+            fine = F.abs(a - b) <= 1e-4 + 2e-2 * F.abs(b)
+            kinds.append(
+                F.when(is_finite(a) & is_finite(b), F.when(fine, "agree").otherwise("disputed"))
+                .when(is_finite(a), "reverse_finite").when(is_finite(b), "central_finite").otherwise("neither_finite").alias(f"k{i}")
             )
-        kinds = F.when(F.col("structure") == name, F.array(*own)).otherwise(kinds)
-    one = rows.select("shape", F.explode(kinds).alias("kind"))
-    counted = [F.count_if(F.col("kind") == kind).alias(kind) for kind in ("agree", "neither_finite", "reverse_finite", "central_finite", "disputed")]
-    return one.groupBy("shape").agg(F.count("*").alias("n"), *counted)
+        counted = lambda name: reduce(add, (F.count_if(F.col(f"k{i}") == name) for i in range(k))).alias(name)  # noqa: E731, B023
+        parts.append(rows.select("shape", *kinds).groupBy("shape").agg((k * F.count("*")).alias("n"), *map(counted, names)))
+    return reduce(DataFrame.unionByName, parts).groupBy("shape").agg(F.sum("n").alias("n"), *(F.sum(name).alias(name) for name in names))
 
 
 @query(_TREES + "SELECT shape, CAST(count(*) AS BIGINT) AS n, TRUE AS same FROM trees GROUP BY shape")

@@ -46,6 +46,22 @@ def test_query(spark, duck, name):
     assert rows(got) == rows(want)
 
 
+def plan_of(spark, name):
+    """The query's execution as planned without statistics of its run."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        execution = registry.QUERIES[name](spark, SF)._jdf.queryExecution()
+        return execution, execution.executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_gradients_are_compiled(spark):
+    stages = plan_of(spark, "h20_gradients_agree")[0].debug().codegenToSeq()
+    sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+    assert 0 < min(sizes) and max(sizes) < 8000  # -1: refused by the compiler; above 8000 bytes Java interprets a method
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
