@@ -92,8 +92,8 @@ def y08_numeric_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
   CAST(CASE shape WHEN 1 THEN 1 WHEN 3 THEN 1 WHEN 4 THEN 1 WHEN 5 THEN 1 ELSE 0 END AS INTEGER) AS inner_, CAST(count(*) AS BIGINT) AS n FROM trees GROUP BY ALL""")
 def t07_y03_read_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Infix texts and inner constants of all trees."""
-    rows = p.trees(spark, sf_dir).withColumn("out", search.read_out("nodes"))
-    return rows.groupBy("shape", F.col("out.infix").alias("infix"), F.col("out.inner").alias("inner_")).agg(F.count("*").alias("n"))
+    rows = p.trees(spark, sf_dir).groupBy("shape", "nodes").agg(F.count("*").alias("n")).withColumn("out", search.read_out("nodes"))
+    return rows.groupBy("shape", F.col("out.infix").alias("infix"), F.col("out.inner").alias("inner_")).agg(F.sum("n").alias("n"))
 
 
 @query(_OLS + """SELECT CASE WHEN k = 0 THEN 'skip' WHEN n_nodes > 10 THEN 'fallback' ELSE 'kernel' END AS route, CAST(count(*) AS BIGINT) AS n FROM trees GROUP BY 1""")

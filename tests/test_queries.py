@@ -62,6 +62,11 @@ def test_gradients_are_compiled(spark):
     assert 0 < min(sizes) and max(sizes) < 8000  # -1: refused by the compiler; above 8000 bytes Java interprets a method
 
 
+def test_each_structure_is_read_out_once(spark):
+    plan = plan_of(spark, "t07_y03_read_out")[1]
+    assert plan[plan.index("ArrowEvalPython") :].count("HashAggregate") == 2
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
