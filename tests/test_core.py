@@ -158,6 +158,17 @@ def test_population_files(spark):
         popfile.encode([df.collect()[0].__class__(part=1, place=0, nodes=[r for r in df.collect()[0].nodes][::-1], c=[1.0], x=[], n_vars=0, y=[1.0])])
 
 
+def test_structures_without_a_sort_of_all_trees(spark):
+    schema = "nodes array<struct<nt:int,nv:float,ci:int>>"
+    made = [[(0, v, -1)] for v in (0.1, 0.0, -0.0, 3e30, 1.17549435e-38, float("inf"))] + [t.prefix(t.parse("c0 + c1 * x0"))]
+    population = spark.createDataFrame([(nodes,) for nodes in made * 3], schema)
+    found = scoring._distinct(population)
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = {r.s: r.nodes for r in found.collect()}
+    want = {r.s: r.nodes for r in population.select(F.sha2(F.to_json("nodes"), 256).alias("s"), "nodes").collect()}
+    assert len(rows) == len(made) and repr(sorted(rows.items())) == repr(sorted(want.items()))  # -0.0 too
+
+
 def test_small_population_files_share_tasks(spark, tmp_path):
     popfile.register(spark)
     nodes = t.prefix(t.parse("c0 + x0"))
