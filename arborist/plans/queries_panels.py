@@ -323,9 +323,9 @@ def j04_engine_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT coalesce(status, 2) AS status, CAST(count(*) AS BIGINT) AS n, CAST(count(la) AS BIGINT) AS scored FROM wide LEFT JOIN (SELECT tree_id, la AS got, status FROM part) USING (tree_id) GROUP BY ALL""".replace("count(la)", "count(got)"))
 def j12_j13_scatter_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results of the trees with constants put back on all; a missing one reads as failed."""
-    rows = _wide(spark, sf_dir)
+    rows = kept(_wide(spark, sf_dir).select("tree_id", "k", "la"))
     results = rows.where("k > 0").select("tree_id", F.col("la").alias("got"), F.lit(0).alias("status"))
-    met = rows.join(results, "tree_id", "left").withColumn("status", F.coalesce("status", F.lit(2)))
+    met = rows.select("tree_id").join(results, "tree_id", "left").withColumn("status", F.coalesce("status", F.lit(2)))
     return met.groupBy("status").agg(F.count("*").alias("n"), F.count("got").alias("scored"))
 
 
