@@ -487,3 +487,33 @@ def test_trees_without_constants_are_never_split(spark, monkeypatch):
     wide = spark.createDataFrame([(7, 1, 7, 0, 1.0, 1.0 + 2.0**-52, 1.0 - 2.0**-52), (8, 1, 0, 2, 1.0, 1.5, 0.5)], "tree_id long, problem_id long, shape int, k int, l0 double, la double, lb double")
     monkeypatch.setattr(queries_more.panels, "_wide", lambda spark, sf_dir: wide)
     assert queries_more.a33_generation_accounting(spark, "").first().split == 1
+
+
+def test_trees_of_one_structure_are_fitted_together(monkeypatch):
+    """Their fits are those that each has alone, with as many calls as the longest of them needs."""
+    rng = np.random.default_rng(5)
+    texts = ("c0 + c1 * x0", "c0 * exp(-(c1 * x0)) + c2", "c0 * log(x0 + c1)", "c0 * x1 + c1")
+    trees, points = [], []
+    for i in range(60):
+        tree, n = t.prefix(t.parse(texts[i % 4])), int(rng.integers(1, 90))
+        trees.append({"nodes": [dict(zip(("nt", "nv", "ci"), node)) for node in tree], "c": rng.uniform(-1, 2, sum(node[0] == t.CONST for node in tree)).tolist()})
+        there = rng.random(n) < (0.8 if i % 3 else 2)
+        points.append((rng.uniform(0.1, 4, (n, 2)), np.where(there, rng.normal(2, 1, n), np.nan), there))
+    calls, many = [], fitting.arrays.numbers_of_many
+    monkeypatch.setattr(fitting.arrays, "numbers_of_many", lambda nodes, c, *rest: calls.append(len(c)) or many(nodes, c, *rest))
+    for options in (fitting.Options(), fitting.Options(damping="absolute", jacobian="central"), fitting.Options(jacobian="forward", order="step"), fitting.Options(jacobian="dual")):
+        calls.clear()
+        with np.errstate(all="ignore"):
+            got = fitting.fit_all(trees, points, 12, options)
+            want = [fitting.fit_one(tree["nodes"], np.array(tree["c"]), at, 12, options) for tree, at in zip(trees, points)]
+        assert {status for _, status, *_ in got} >= {fitting.CONVERGED, fitting.MAXITER, fitting.FAIL_NAN}
+        assert len(calls) <= 4 * 13 and max(calls) == 15
+        for (c, status, n_iter, first, last), (c_one, status_one, n_one, first_one, last_one) in zip(got, want):
+            assert first == pytest.approx(first_one, rel=1e-9)
+            if status in (fitting.FAIL_NAN, fitting.FAIL_CHOLESKY) and n_iter < 2:
+                assert (status, n_iter) == (status_one, n_one)
+            if math.isfinite(first):
+                assert last == pytest.approx(last_one, rel=1e-5, abs=1e-9)
+    monkeypatch.setattr(fitting, "MANY_POINTS", 100)
+    with np.errstate(all="ignore"):
+        assert len(fitting.fit_all(trees, points, 12, fitting.Options())) == 60
