@@ -9,6 +9,7 @@ from ..functions.ops import clamp_zero
 from ..operators import records as r
 from ..operators import studies as st
 from ..operators.ranking import joined, percentiles
+from ..sources.shared import dealt
 from . import population as p
 from .registry import query
 
@@ -38,13 +39,13 @@ _BLOCK = """CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (solved) AS BIGI
 
 @query(_STUDY + f"SELECT arm, {_BLOCK} FROM study GROUP BY arm")
 def a25_arm_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return st.arm_block(_study(spark, sf_dir), "arm")
+    return st.arm_block(dealt(_study(spark, sf_dir), "id"), "arm")
 
 
 @query(_STUDY + f"SELECT arm, difficulty, is_control, {_BLOCK} FROM study GROUP BY GROUPING SETS ((arm), (arm, difficulty), (arm, is_control))")
 def a26_arm_by_difficulty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By arm, by arm and difficulty, by arm and control."""
-    rows = _study(spark, sf_dir).withColumn("set", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    rows = dealt(_study(spark, sf_dir), "id").withColumn("set", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     rows = rows.withColumns({"difficulty": F.when(F.col("set") == 1, F.col("difficulty")), "is_control": F.when(F.col("set") == 2, F.col("is_control"))})
     return st.arm_block(rows, "set", "arm", "difficulty", "is_control").drop("set")
 
@@ -52,7 +53,7 @@ def a26_arm_by_difficulty(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_STUDY + """, pp AS (SELECT arm, problem, median(r2) AS m FROM study GROUP BY ALL)
 SELECT arm, CAST(count(*) AS BIGINT) AS problems, round(median(m), 6) AS median_of_medians, round(max(m), 6) AS best FROM pp GROUP BY arm""")
 def a27_two_level_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inner = percentiles(_study(spark, sf_dir), ["arm", "problem"], "r2", {"m": 0.5})
+    inner = percentiles(dealt(_study(spark, sf_dir), "id"), ["arm", "problem"], "r2", {"m": 0.5})
     arms = inner.groupBy("arm").agg(F.count("*").alias("problems"), _r(F.max("m"), "best"))
     return joined(arms, percentiles(inner, ["arm"], "m", {"median_of_medians": 0.5}), ["arm"]).withColumn("median_of_medians", F.round("median_of_medians", 6))
 

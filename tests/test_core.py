@@ -517,3 +517,17 @@ def test_trees_of_one_structure_are_fitted_together(monkeypatch):
     monkeypatch.setattr(fitting, "MANY_POINTS", 100)
     with np.errstate(all="ignore"):
         assert len(fitting.fit_all(trees, points, 12, fitting.Options())) == 60
+
+
+def test_study_rows_are_dealt_before_they_are_counted(spark, monkeypatch):
+    """One file's rows are counted by many tasks: each task that reads them would hold almost all of its values."""
+    from arborist.plans import queries_relational, registry
+
+    registry.load()
+    tasks = []
+    for module in (studies, queries_relational):
+        monkeypatch.setattr(module, "percentiles", lambda rows, *rest: tasks.append(rows.rdd.getNumPartitions()) or ranking.percentiles(rows, *rest))
+    for name in ("a25_arm_block", "a26_arm_by_difficulty", "a27_two_level_medians"):
+        tasks.clear()
+        registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert tasks[0] == 4 * spark.sparkContext.defaultParallelism
