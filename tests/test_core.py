@@ -531,3 +531,15 @@ def test_study_rows_are_dealt_before_they_are_counted(spark, monkeypatch):
         tasks.clear()
         registry.QUERIES[name](spark, "/root/testdata/sf0.001")
         assert tasks[0] == 4 * spark.sparkContext.defaultParallelism
+
+
+def test_tournaments_take_tasks_by_their_draws(spark, monkeypatch):
+    rows = [(g, i, float((i * 7) % 31)) for g in (None, 1) for i in range(60)]
+    members = spark.createDataFrame(rows, "g int, id long, f double")
+    few = search.tournament(members, ["g"], "f", "id", 5, 0.5)
+    want = sorted(few.collect(), key=str)
+    assert len(want) == 60 and {r.g for r in want} == {None, 1}
+    monkeypatch.setattr(search, "TASK_DRAWS", 10)
+    many = search.tournament(members, ["g"], "f", "id", 5, 0.5)
+    assert few.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism and many.rdd.getNumPartitions() == 31
+    assert sorted(many.collect(), key=str) == want
