@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -303,6 +304,33 @@ def test_every_pair_within_two_bits_meets(spark):
     assert simhash.anchored(nodes, blocks=3).count() < 300 * len(signed)
 
 
+def test_fingerprints_go_to_few_anchors(spark, monkeypatch):
+    """Six anchors a fingerprint, whatever the table's size: a third code's 250 of each were too many at 6 GB."""
+    rng = random.Random(4)
+    base = [rng.getrandbits(64) for _ in range(60)]
+    values = {b ^ sum(1 << i for i in rng.sample(range(64), k)) for b in base for k in (0, 1, 2, 3, 4, 4)} | {base[0] ^ 1 << i for i in range(64)}
+    signed = sorted(v - (1 << 64) if v >> 63 else v for v in values)
+    nodes = spark.createDataFrame([(v,) for v in signed], "fp long")
+    monkeypatch.setattr(simhash, "anchored", None)  # no codes
+    for threshold in (1, 2, 3):
+        want = Counter((a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= threshold)
+        assert Counter((r.u, r.v) for r in simhash.links(nodes, threshold).collect()) == want
+        assert simhash.meeting(nodes, threshold).count() == len(signed) * (threshold + 2) * (threshold + 1) // 2
+
+
+def test_texts_are_hashed_together(monkeypatch):
+    """Fingerprints don't depend on which texts are hashed together, nor in how many pieces."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcXYZé\u00a0") for _ in range(rng.randint(1, 30)))
+    texts = ["", " ", "a", "A b", "a\x0bb\x0c\tc d", "w " * 700, "\u0085 \u2003", "x" * 90, *("  ".join(word() for _ in range(rng.randint(0, 400))) for _ in range(60))]
+    want = [brute_fingerprint(t) for t in texts]
+    for together, piece in ((1 << 18, 1 << 13), (2000, 100), (1, 7)):
+        monkeypatch.setattr(simhash, "TOGETHER", together)
+        monkeypatch.setattr(simhash, "PIECE", piece)
+        got = [v for some in simhash._together(pa.array([t.encode() for t in texts])) for v in simhash._fingerprints_of(some).tolist()]
+        assert [v % (1 << 64) for v in got] == want
+
+
 def test_the_code_is_perfect():
     for code in simhash.BLOCKS:
         words = [bits for k in range(code.radius + 1) for bits in simhash.combinations(range(code.length), k)]
