@@ -17,10 +17,13 @@ _BASE = "WITH " + p.LOSSES_SQL
 
 def _losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """engine, tree_id, problem_id, shape, k, loss, n."""
-    population = p.variants(p.trees(spark, sf_dir))
-    scored = s.losses(population, p.points(spark, sf_dir), "engine")
-    own = population.select("engine", "tree_id", "problem_id", "shape", F.size("c").alias("k"))
-    return own.join(scored, ["engine", "tree_id"])
+    population = p.variants(p.trees(spark, sf_dir)).withColumn("k", F.size("c"))
+    # a tree without constants is one tree under all engines: it is scored once, so that its losses are equal whatever order their sums are added up in
+    once = population.where((F.col("k") > 0) | (F.col("engine") == "start"))
+    # what is known of a tree goes along in the sums' keys: a join with it later would send all trees to the driver
+    scored = s.losses(once, p.points(spark, sf_dir), "engine", "problem_id", "shape", "k")
+    engines = F.when(F.col("k") > 0, F.array("engine")).otherwise(F.array(*map(F.lit, p.ENGINES)))
+    return scored.select(F.explode(engines).alias("engine"), "tree_id", "problem_id", "shape", "k", "loss", "n")
 
 
 def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -489,6 +489,28 @@ def test_trees_without_constants_are_never_split(spark, monkeypatch):
     assert queries_more.a33_generation_accounting(spark, "").first().split == 1
 
 
+def test_engines_agree_on_trees_without_constants(spark, monkeypatch):
+    """They are scored once: sums of the same terms in another order may differ in the last digit, and a loss would be above itself."""
+    from arborist.plans import queries_panels as panels
+
+    exact = scoring.losses
+    off = lambda *args: exact(*args).withColumn("loss", F.col("loss") * F.when(F.col("engine") == "low", 1 + 2.0**-52).when(F.col("engine") == "high", 1 - 2.0**-53).otherwise(1.0))
+    monkeypatch.setattr(panels.s, "losses", off)
+    sf = "/root/testdata/sf0.001"
+    without = [r for r in panels.l09_boundary_audit(spark, sf).collect() if r.before == 3]
+    assert [(r.after, r.reverted) for r in without] == [(3, False)]
+    rows = panels._losses(spark, sf).where("k = 0").groupBy("tree_id").agg(F.count("*").alias("n"), F.count_distinct("engine").alias("engines"), F.count_distinct("loss").alias("losses")).collect()
+    assert rows and {(r.n, r.engines, r.losses) for r in rows} == {(3, 3, 1)}
+
+
+def test_losses_send_no_trees_to_the_driver(spark):
+    """The audit plans no broadcast, whatever Spark takes the trees' number for."""
+    from arborist.plans import queries_panels as panels
+
+    plan = panels.l09_boundary_audit(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+
+
 def test_trees_of_one_structure_are_fitted_together(monkeypatch):
     """Their fits are those that each has alone, with as many calls as the longest of them needs."""
     rng = np.random.default_rng(5)
