@@ -312,7 +312,7 @@ SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (l0 IS NULL OR la IS
   CAST(count(*) FILTER (la < l0 AND la <= lb) AS BIGINT) AS low_best, CAST(count(*) FILTER (lb < l0 AND lb < la) AS BIGINT) AS high_best FROM j""")
 def j04_engine_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three engines joined on the tree; trees that an engine lacks are counted."""
-    rows = _losses(spark, sf_dir)
+    rows = kept(_losses(spark, sf_dir))  # computed for each side, a tree's sums would be added up in three orders
     side = lambda e, name: rows.where(F.col("engine") == e).select("tree_id", F.col("loss").alias(name))
     met = side("start", "l0").join(side("low", "la"), "tree_id", "full").join(side("high", "lb"), "tree_id", "full")
     l0, la, lb = F.col("l0"), F.col("la"), F.col("lb")

@@ -503,6 +503,16 @@ def test_engines_agree_on_trees_without_constants(spark, monkeypatch):
     assert rows and {(r.n, r.engines, r.losses) for r in rows} == {(3, 3, 1)}
 
 
+def test_engines_are_aligned_on_losses_computed_once(spark):
+    """Not once for each side of the join: the sides' sums would be added up in different orders."""
+    from arborist.plans import queries_panels as panels
+
+    met = panels.j04_engine_alignment(spark, "/root/testdata/sf0.001")
+    assert "lineitem" not in met._jdf.queryExecution().executedPlan().toString()
+    row = met.first()
+    assert row.n > 0 and row.lacking == 0
+
+
 def test_losses_send_no_trees_to_the_driver(spark):
     """The audit plans no broadcast, whatever Spark takes the trees' number for."""
     from arborist.plans import queries_panels as panels
