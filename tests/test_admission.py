@@ -132,3 +132,26 @@ def test_laws_of_a_problem_share_its_points(spark):
     laws, finds = rows((1, 1, "c0 * x0", [2.0]), (2, 2, "c0 + x0", [1.0])), rows((10, 1, "c0 * x0", [2.0]), (11, 2, "c0 * x0", [2.0]))
     points = spark.createDataFrame([(7, [float(i)]) for i in range(1, 20)], "problem_id long, x array<double>")
     assert {r.tree_id: (r.strict, r.lenient, r.srbench) for r in judging.judged(finds, laws.drop("law"), points).collect()} == {10: (True,) * 3, 11: (False,) * 3}
+
+
+def test_finds_are_evaluated_once_and_in_blocks(spark, monkeypatch):
+    """Points of a problem meet its finds in blocks, whatever their number; equal functions are one, and only finds that a factor may
+    bring to the law are looked at again."""
+    calls, value = [], judging.arrays.value
+    node = lambda text: [dict(zip(("nt", "nv", "ci"), n)) for n in t.prefix(t.parse(text))]
+    monkeypatch.setattr(judging.arrays, "value", lambda nodes, x, c: calls.append(c.shape[1]) or value(nodes, x, c))
+    kind = judging.pa.list_(judging.pa.struct([("nt", judging.pa.int32()), ("nv", judging.pa.float32()), ("ci", judging.pa.int32())]))
+    forms = judging.pa.list_(judging.pa.list_(judging.pa.float64()))
+    pairs = [{"nodes": node("c0 * x0"), "law_nodes": node("c0 * x0"), "c": [[v]] * 3, "law_c": [[2.0]] * 3} for v in (2.0, 2.0, 5.0)] + [{"nodes": node("x0"), "law_nodes": node("c0 * x0"), "c": [[]] * 3, "law_c": [[2.0], [3.0], [2.0]]}]
+    some = judging.pa.array(pairs, judging.pa.struct([("nodes", kind), ("law_nodes", kind), ("c", forms), ("law_c", forms)]))
+    values, rows = judging._values(some, np.arange(4.0).reshape(4, 1), [True] * 12, {})
+    assert len(calls) == 2 and sum(calls) == 4 * 4 and [values[find][1] / values[law][1] for law, find in rows] == [1.0] * 6 + [2.5] * 3 + [0.5, 1 / 3, 0.5]
+    # against the same finds in blocks of a few points and chunks of two
+    law = spark.createDataFrame([(0, 0, nodes("c0 + c1 * x0"), [1.5, 2.0])], NODES)
+    texts = [("c0 + c1 * x0", [3.0, 4.0]), ("c0 + c1 * x0", [3.0, 4.001]), ("c0 + c1 * x0", [9.0, 2.0]), ("c0 + c1 * x0", [1.5, 2.0]), ("c0 * x0", [2.0]), ("c0 * sin(x0)", [2.0])]
+    finds = spark.createDataFrame([(i, 0, nodes(text), c) for i, (text, c) in enumerate(texts)], NODES)
+    points = spark.createDataFrame([(0, [float(x)]) for x in np.linspace(0.1, 3, 300)], "problem_id long, x array<double>")
+    monkeypatch.setattr(judging, "CHUNK", 2)
+    monkeypatch.setattr(judging.arrays, "BLOCK", 40)
+    got = {r.tree_id: (r.strict, r.lenient, r.srbench) for r in judging.judged(finds, law, points).collect()}
+    assert got == {0: (False, True, True), 1: (False, True, False), 2: (False, True, True), 3: (True, True, True), 4: (False, True, True), 5: (False, False, False)}
